@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
+from ..functions.columns import once
 from ..functions.text import context_window
 
 
@@ -86,10 +87,6 @@ def _first_match(rules: list[Rule], body: Column, low: Column, accept=None) -> C
     return F.coalesce(*branches)
 
 
-def _contains_any(text: Column, phrases: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [text.contains(p) for p in phrases])
-
-
 def _emit(df: DataFrame) -> DataFrame:
     return (
         df.filter(F.col("_hit").isNotNull())
@@ -101,20 +98,19 @@ def _emit(df: DataFrame) -> DataFrame:
 def first_match_scan(issues: DataFrame, rules: list[Rule] | None = None, body: str = "body") -> DataFrame:
     """Per issue the first rule that matches, ignoring case, with its first match."""
     hit = _first_match(rules or CATALOG, F.col(body), F.col("_low"))
-    return _emit(_lowered(issues, body).withColumn("_hit", hit))
+    return _emit(once(_lowered(issues, body), "_hit", hit))
 
 
 def strict_scan(issues: DataFrame, rules: list[Rule] | None = None, body: str = "body") -> DataFrame:
     """:func:`first_match_scan` without placeholders: bodies that mention one are
     dropped, and a rule whose match is one gives way to the next rule."""
-    real = lambda match: ~_contains_any(F.upper(match), fv.PLACEHOLDER_CANDIDATE)
+    # The phrases hold no metacharacters; one pattern names the match once.
+    real = lambda match: ~F.upper(match).rlike("|".join(fv.PLACEHOLDER_CANDIDATE))
     hit = _first_match(rules or CATALOG, F.col(body), F.col("_low"), accept=real)
-    kept = (
-        issues.withColumn("_up", F.upper(F.col(body)))
-        .filter(~_contains_any(F.col("_up"), fv.PLACEHOLDER_BODY))
-        .drop("_up")
-    )
-    return _emit(_lowered(kept, body).withColumn("_hit", hit))
+    raised = once(issues, "_up", F.upper(F.col(body)))
+    mentions = [F.coalesce(F.col("_up").contains(p), F.lit(False)) for p in fv.PLACEHOLDER_BODY]
+    kept = raised.filter(~reduce(lambda a, b: a | b, mentions)).drop("_up")
+    return _emit(once(_lowered(kept, body), "_hit", hit))
 
 
 def pattern_flags(
@@ -138,7 +134,8 @@ def pattern_flags(
     hits = F.array_compact(F.array(*tests))
     if per_issue is not None:
         hits = F.slice(hits, 1, per_issue)
-    return _emit(_lowered(issues, body).withColumn("_hits", hits).withColumn("_hit", F.explode("_hits")).drop("_hits"))
+    rows = once(_lowered(issues, body), "_hits", hits)
+    return _emit(rows.withColumn("_hit", F.explode("_hits")).drop("_hits"))
 
 
 def all_matches(issues: DataFrame, rules: list[Rule] | None = None, body: str = "body", keep: list[str] | None = None) -> DataFrame:
@@ -155,12 +152,8 @@ def all_matches(issues: DataFrame, rules: list[Rule] | None = None, body: str =
                 F.when(_present(rule, low), found).otherwise(none).alias("matches"),
             )
         )
-    rows = (
-        _lowered(issues, body)
-        .select(*(keep or ["issue_id"]), F.array(*per_rule).alias("_found"))
-        .withColumn("_found", F.filter("_found", lambda x: F.size(x.getField("matches")) > 0))
-        .withColumn("_rule", F.explode("_found"))
-    )
+    found = F.filter(F.array(*per_rule), lambda x: F.size(x.getField("matches")) > 0)
+    rows = once(_lowered(issues, body), "_found", found).select(*(keep or ["issue_id"]), F.explode("_found").alias("_rule"))
     return rows.select(
         *(keep or ["issue_id"]), F.col("_rule.pattern_rank"), F.col("_rule.secret_type"),
         F.explode("_rule.matches").alias("candidate_string"),

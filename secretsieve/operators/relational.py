@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
+from ..functions.columns import once
 from ..functions.terms import shortest_terms
 from .selection import keep_first, top_k_per_group
 
@@ -116,7 +117,7 @@ def keyword_filter(issues: DataFrame, terms: list[str], body: str = "body") -> D
 
     Terms that contain another term cannot change the outcome and are skipped.
     """
-    lowered = issues.withColumn("_low", F.lower(F.col(body)))
+    lowered = once(issues, "_low", F.lower(F.col(body)))
     return lowered.filter(_mentions(F.col("_low"), shortest_terms(terms))).drop("_low")
 
 
@@ -124,12 +125,8 @@ def matched_terms(issues: DataFrame, terms: list[str], body: str = "body") -> Da
     """One row per issue and term that its body contains."""
     unique = list(dict.fromkeys(t.lower() for t in terms))
     found = F.filter(F.array(*[F.lit(t) for t in unique]), lambda t: F.contains(F.col("_low"), t))
-    return (
-        keyword_filter(issues, terms, body)
-        .withColumn("_low", F.lower(F.col(body)))
-        .withColumn("term", F.explode(found))
-        .drop("_low")
-    )
+    kept = once(keyword_filter(issues, terms, body), "_low", F.lower(F.col(body)))
+    return once(kept, "_terms", found).withColumn("term", F.explode("_terms")).drop("_low", "_terms")
 
 
 def keyword_yield(mentions: DataFrame, hits: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import once
 from ..functions.text import clean_if_missing
 from ..operators import dataset, extract, relational
 
@@ -22,5 +23,6 @@ def build_dataset(positive: list[DataFrame], negative: list[DataFrame], seed: in
         for label, parts in ((1, positive), (0, negative))
     ]
     rows = relational.clean_labelled(relational.union_parts(*labelled))
-    cleaned = rows.withColumn("text", clean_if_missing(F.col("text"), F.col("candidate_string")))
+    cleaned = once(rows, "_clean", clean_if_missing(F.col("text"), F.col("candidate_string")))
+    cleaned = cleaned.withColumn("text", F.col("_clean")).drop("_clean")
     return dataset.add_split(extract.keep_contained(cleaned), "issue_id", seed)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import once
 from ..functions.rules import add_verdict
 from ..functions.text import clean_for_inference, context_window
 from ..operators import extract, relational
@@ -18,7 +19,7 @@ def extract_candidates(issues: DataFrame, rules: list[Rule] | None = None, text:
     Each candidate leaves its text behind as soon as it has its window, so the
     only shuffle (the de-duplication) carries windows, not texts.
     """
-    cleaned = issues.withColumn("clean_text", clean_for_inference(F.col(text)))
+    cleaned = once(issues, "clean_text", clean_for_inference(F.col(text)))
     matches = extract.all_matches(cleaned, rules, body="clean_text", keep=["issue_id", "clean_text"])
     windowed = matches.withColumn("context_window", context_window(F.col("clean_text"), F.col("candidate_string")))
     return relational.first_pattern_per_candidate(windowed.drop("clean_text"))

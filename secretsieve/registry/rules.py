@@ -142,7 +142,7 @@ def candidate_features(spark, folder):
 
 
 def _codes_sql(text: str, n: int) -> str:
-    codes = f"list_transform(string_split(substr({text}, 1, {n}), ''), x -> CASE WHEN unicode(x) BETWEEN 0 AND 255 THEN unicode(x) ELSE 0 END)"
+    codes = f"list_transform(string_split(substr({text}, 1, {n}), ''), lambda x: CASE WHEN unicode(x) BETWEEN 0 AND 255 THEN unicode(x) ELSE 0 END)"
     return f"array_to_string(list_resize({codes}, {n}, 0), ' ')"
 
 

@@ -73,7 +73,7 @@ def with_views(names: str, body: str, **extra: str) -> str:
     for name in names.split():
         wanted += [n for n in [*_NEEDS.get(name, []), name] if n not in wanted]
     parts = [f"{n} AS ({VIEWS[n]})" for n in wanted] + [f"{n} AS ({sql})" for n, sql in extra.items()]
-    return f"WITH {', '.join(parts)} {body}"
+    return f"WITH {', '.join(parts)} {body}" if parts else body
 
 
 # ----------------------------------------------------------------------- rules
