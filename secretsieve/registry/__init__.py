@@ -1,6 +1,6 @@
 """All registered queries; importing the package fills the register."""
 
-from . import evaluation, relational, rules, text, trends  # noqa: F401
+from . import dataset, evaluation, relational, rules, scoring, streams, text, trends  # noqa: F401
 from .base import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

@@ -156,12 +156,12 @@ def result_sinks(spark, folder):
         F.count(F.lit(1)).alias("n"), F.sum("candidate_length").alias("chars"))
 
 
-@query("A9_resume", q.with_views("issues_text", "SELECT issue_id FROM issues_text WHERE issue_id % 3 <> 0"))
+@query("A9_resume", q.with_views("issues_text", "SELECT issue_id FROM issues_text WHERE issue_id NOT IN (SELECT doc_id FROM labels)"))
 def resume(spark, folder):
+    # The rated documents are the output so far.
     path = shared_folder(spark, "done")
-    issues = views.issues_text(spark, folder)
-    issues.filter(F.col("issue_id") % 3 == 0).select("issue_id").write.parquet(path)
-    return relational.exclude_known(issues, spark.read.parquet(path), ["issue_id"]).select("issue_id")
+    views.labelled(spark, folder).select("issue_id").write.parquet(path)
+    return relational.exclude_known(views.issues_text(spark, folder), spark.read.parquet(path), ["issue_id"]).select("issue_id")
 
 
 # ------------------------------------------------------------------- B: cleaning
@@ -188,14 +188,13 @@ def project_rename(spark, folder):
     return relational.as_text_table(bodies).select("candidate_string", F.md5("text").alias("text_md5"))
 
 
-_PART = lambda i: f"SELECT issue_id, candidate_string, label FROM labelled WHERE issue_id % 3 <= {i}"
+_PARTS = ["label = 1", "label = 0", "n_chars > 5000"]
 
 
-@query("B3_union_parts", q.with_views("labelled", " UNION ALL ".join(_PART(i) for i in range(3))))
+@query("B3_union_parts", q.with_views("labelled", " UNION ALL ".join(f"SELECT issue_id, candidate_string, label FROM labelled WHERE {p}" for p in _PARTS)))
 def union_parts(spark, folder):
-    rows = views.labelled(spark, folder).select("issue_id", "candidate_string", "label")
     # The parts overlap and differ in column order.
-    parts = [rows.filter(F.col("issue_id") % 3 <= i) for i in range(3)]
+    parts = [views.labelled(spark, folder).filter(p).select("issue_id", "candidate_string", "label") for p in _PARTS]
     return relational.union_parts(parts[0], parts[1].select("label", "candidate_string", "issue_id"), parts[2])
 
 
@@ -226,9 +225,9 @@ def first_pattern(spark, folder):
 
 @query("B8_recent_issues", q.with_views("issues_meta", """SELECT issue_id, repo_full_name, rank::INT AS recency FROM (
     SELECT *, row_number() OVER (PARTITION BY repo_full_name ORDER BY created_at DESC, issue_id) AS rank
-    FROM issues_meta WHERE issue_id % 9 <> 0) WHERE rank <= 20"""))
+    FROM issues_meta) WHERE rank <= 20"""))
 def recent_issues(spark, folder):
-    issues = views.issues_meta(spark, folder).filter(F.col("issue_id") % 9 != 0)
+    issues = views.issues_meta(spark, folder)
     return relational.recent_issues(issues, repo="repo_full_name").select("issue_id", "repo_full_name", "recency")
 
 

@@ -28,9 +28,15 @@ def plain(pattern: str) -> str:
 SPACES = quote(SPACE_CHARACTERS)
 TRIMMED = f"trim(coalesce(candidate_string, ''), {SPACES})"
 
+HASH = "('0x' || substr(md5('42:' || {key}), 1, {digits}))::BIGINT"
+SPLIT = (
+    "CASE WHEN " + HASH.replace("{digits}", "8") + " / 4294967296.0 < 0.15 THEN 'test' WHEN "
+    + HASH.replace("{digits}", "8") + " / 4294967296.0 < 0.15 + 0.85 * 0.118 THEN 'validation' ELSE 'train' END"
+)
+
 VIEWS = {
     "issues_text": "SELECT doc_id AS issue_id, 'doc/' || doc_id AS url, source AS repo, text FROM documents",
-    "skip_urls": "SELECT 'doc/' || doc_id AS url FROM documents WHERE doc_id % 10 = 0",
+    "skip_urls": "SELECT 'doc/' || doc_id AS url FROM labels WHERE toxic = 1",
     "texts": "SELECT 'doc/' || doc_id AS issue_id, text FROM documents UNION ALL SELECT 'page/' || page_id, html FROM pages",
     "token_candidates": r"""SELECT DISTINCT doc_id AS issue_id, tok AS candidate_string
         FROM (SELECT doc_id, unnest(string_split_regex(text, '[ \t\n\r\f]+')) AS tok FROM documents) WHERE length(tok) >= 12""",
@@ -40,9 +46,9 @@ VIEWS = {
                 - greatest(strpos(d.text, t.candidate_string) - 200, 1))::BIGINT) AS context_window
         FROM token_candidates t JOIN documents d ON d.doc_id = t.issue_id""",
     "labelled": r"""SELECT d.doc_id AS issue_id, d.text, regexp_extract(d.text, '[^ \t\n\r\f]+', 0) AS candidate_string,
-        1 - l.quality AS label, d.n_chars FROM documents d JOIN labels l USING (doc_id)""",
-    "labelled_tokens": """SELECT c.*, 1 - l.quality AS label, md5(c.issue_id || '|' || c.candidate_string) AS id,
-        c.issue_id % 4 = 0 AS is_test FROM token_contexts c JOIN labels l ON l.doc_id = c.issue_id""",
+        1 - l.quality AS label, d.n_chars, d.lang FROM documents d JOIN labels l USING (doc_id)""",
+    "labelled_tokens": f"""SELECT c.*, 1 - l.quality AS label, md5(c.issue_id || '|' || c.candidate_string) AS id,
+        {SPLIT.format(key='c.issue_id')} AS split FROM token_contexts c JOIN labels l ON l.doc_id = c.issue_id""",
     "model_predictions": """SELECT issue_id, text, candidate_string, label, model, prediction FROM (
         SELECT *, 'short' AS model, (n_chars < 300)::INT AS prediction FROM labelled
         UNION ALL SELECT *, 'long', (n_chars > 5000)::INT FROM labelled
@@ -59,7 +65,7 @@ VIEWS = {
         FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_custkey % 3 <> 0""",
     "leaks": "SELECT repo_full_name AS full_name, count(*) AS leaks FROM issues_meta GROUP BY ALL",
     "counted": "SELECT r.*, coalesce(l.leaks, 0) AS leaks FROM repos r LEFT JOIN leaks l USING (full_name)",
-    "stream_hits": """SELECT event_id, 'ev/' || (event_id % 5000) AS url, ts AS created_at, event_type AS secret_type FROM events""",
+    "stream_hits": """SELECT event_id, 'user/' || user_id AS url, ts AS created_at, event_type AS secret_type FROM events""",
 }
 _NEEDS = {
     "token_contexts": ["token_candidates"], "labelled_tokens": ["token_candidates", "token_contexts"],

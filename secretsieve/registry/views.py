@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import context_window
+from ..operators.dataset import add_split
 
 TITLES = [
     "Leaked credential in log output", "Crash with error on start", "Add support for new format",
@@ -28,9 +29,9 @@ def issues_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def skip_urls(spark: SparkSession, folder: str) -> DataFrame:
-    """A list of known URLs: every tenth document."""
-    documents = table(spark, folder, "documents").filter(F.col("doc_id") % 10 == 0)
-    return documents.select(F.concat(F.lit("doc/"), F.col("doc_id")).alias("url"))
+    """A list of known URLs: the documents that were rated toxic."""
+    rated = table(spark, folder, "labels").filter("toxic = 1")
+    return rated.select(F.concat(F.lit("doc/"), F.col("doc_id")).alias("url"))
 
 
 def texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -68,7 +69,7 @@ def labelled(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id")
     return rows.select(
         F.col("doc_id").alias("issue_id"), "text", F.regexp_extract("text", r"[^ \t\n\r\f]+", 0).alias("candidate_string"),
-        (1 - F.col("quality")).alias("label"), "n_chars",
+        (1 - F.col("quality")).alias("label"), "n_chars", "lang",
     )
 
 
@@ -77,9 +78,7 @@ def labelled_tokens(spark: SparkSession, folder: str) -> DataFrame:
     that keeps a document in one part."""
     labels = table(spark, folder, "labels").select(F.col("doc_id").alias("issue_id"), (1 - F.col("quality")).alias("label"))
     rows = token_contexts(spark, folder).join(labels, "issue_id")
-    return rows.withColumn("id", F.md5(F.concat_ws("|", "issue_id", "candidate_string"))).withColumn(
-        "is_test", F.col("issue_id") % 4 == 0
-    )
+    return add_split(rows.withColumn("id", F.md5(F.concat_ws("|", "issue_id", "candidate_string"))), "issue_id")
 
 
 def model_predictions(spark: SparkSession, folder: str) -> DataFrame:
@@ -127,8 +126,8 @@ def issues_meta(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_hits(events: DataFrame) -> DataFrame:
-    """Events (a table or a stream) as scan hits with repeated URLs."""
+    """Events (a table or a stream) as scan hits, one URL per user."""
     return events.select(
-        "event_id", F.concat(F.lit("ev/"), F.col("event_id") % 5000).alias("url"),
+        "event_id", F.concat(F.lit("user/"), F.col("user_id")).alias("url"),
         F.col("ts").cast("timestamp").alias("created_at"), F.col("event_type").alias("secret_type"),
     )
