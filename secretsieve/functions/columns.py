@@ -15,3 +15,15 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     one-element array.
     """
     return df.withColumn(name, F.explode(F.array(value)))
+
+
+def spread(df: DataFrame, key: str, per_core: int = 3) -> DataFrame:
+    """Give every core work when a text table comes in a few splits.
+
+    Rules cost far more than reading, so a table of less than ``per_core``
+    splits per core is hashed by its unique key, which also parts neighbouring
+    long texts.  Larger tables stay as they are: a shuffle happens only where
+    the whole table is a few splits per core.
+    """
+    wanted = per_core * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted, key) if df.rdd.getNumPartitions() < wanted else df

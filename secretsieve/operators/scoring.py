@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -26,17 +27,23 @@ from ..functions.features import FEATURE_COLUMNS, FLAG_COLUMNS, NOT_SECRET
 from .selection import top_k_per_group
 
 SEED = 42
+ROWS_PER_TASK = 50_000
 
 
 # ------------------------------------------------------------- MLlib classifiers
-def classifier(name: str):
-    """An unfitted MLlib classifier."""
+def classifier(name: str, rows: float):
+    """An unfitted MLlib classifier for ``rows`` training rows.
+
+    The linear models carry the usual unit penalty on raw coefficients, which
+    MLlib divides by the number of rows.
+    """
     common = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight"}
+    linear = {"regParam": 1.0 / max(rows, 1.0), "standardization": False, **common}
     makers = {
         "decision_tree": lambda: DecisionTreeClassifier(maxDepth=10, seed=SEED, **common),
         "random_forest": lambda: RandomForestClassifier(numTrees=100, maxDepth=10, seed=SEED, **common),
-        "logistic_regression": lambda: LogisticRegression(maxIter=1000, **common),
-        "linear_svm": lambda: LinearSVC(maxIter=1000, **common),
+        "logistic_regression": lambda: LogisticRegression(maxIter=1000, tol=1e-4, **linear),
+        "linear_svm": lambda: LinearSVC(maxIter=100, tol=1e-3, **linear),
         "naive_bayes": lambda: NaiveBayes(modelType="gaussian", **common),
     }
     return makers[name]()
@@ -51,9 +58,17 @@ def distinct_vectors(train: DataFrame) -> DataFrame:
 def fit(name: str, train: DataFrame) -> PipelineModel:
     """Fit on rows with feature columns and a label.  A forest draws its samples
     from the single rows; the others get weighted distinct vectors."""
-    rows = train.withColumn("weight", F.lit(1.0)) if name == "random_forest" else distinct_vectors(train)
-    stages = [VectorAssembler(inputCols=FEATURE_COLUMNS, outputCol="features"), classifier(name)]
-    return Pipeline(stages=stages).fit(rows)
+    single = train.select(*FEATURE_COLUMNS, "label").withColumn("weight", F.lit(1.0))
+    rows = single if name == "random_forest" else distinct_vectors(train)
+    # Training reads its input many times; features are computed once.
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        size = rows.agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n")).first()
+        stages = [VectorAssembler(inputCols=FEATURE_COLUMNS, outputCol="features"), classifier(name, size["weight"] or 0.0)]
+        # Every pass costs a task per partition: few vectors need few partitions.
+        return Pipeline(stages=stages).fit(rows.coalesce(size["n"] // ROWS_PER_TASK + 1))
+    finally:
+        rows.unpersist()
 
 
 def predict(model: PipelineModel, df: DataFrame, column: str = "prediction") -> DataFrame:
@@ -218,23 +233,24 @@ def average_probabilities(candidate_scores: DataFrame, context_scores: DataFrame
 def score_batches(df: DataFrame, scorer: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
     """Run a scorer over Arrow batches: rows in, label names out.
 
-    ``scorer`` gets a pandas frame and returns one label name per row.  If a
-    batch fails its rows are tried one by one; a failing row gets
+    ``scorer`` gets a pandas frame and returns one label name per row.  A batch
+    that fails is halved until the failing rows are alone; such a row gets
     ``Non-sensitive`` and the reason in ``error``.
     """
 
+    def attempt(batch: pd.DataFrame) -> tuple[list, list]:
+        try:
+            return list(scorer(batch)), [None] * len(batch)
+        except Exception as reason:
+            if len(batch) == 1:
+                return [NOT_SECRET], [f"{type(reason).__name__}: {reason}"]
+        half = len(batch) // 2
+        (labels, errors), (more_labels, more_errors) = attempt(batch.iloc[:half]), attempt(batch.iloc[half:])
+        return labels + more_labels, errors + more_errors
+
     def run(batches):
         for batch in batches:
-            labels, errors = [], [None] * len(batch)
-            try:
-                labels = list(scorer(batch))
-            except Exception:
-                for i in range(len(batch)):
-                    try:
-                        labels.append(list(scorer(batch.iloc[i : i + 1]))[0])
-                    except Exception as reason:
-                        labels.append(NOT_SECRET)
-                        errors[i] = f"{type(reason).__name__}: {reason}"
+            labels, errors = attempt(batch)
             yield batch.assign(predicted_label=labels, error=errors)
 
     schema = T.StructType(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import spread
 from ..functions.text import context_window
 from ..operators.dataset import add_split
 
@@ -20,9 +21,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents"), "doc_id")
+
+
 def issues_text(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as issues."""
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         F.col("doc_id").alias("issue_id"), F.concat(F.lit("doc/"), F.col("doc_id")).alias("url"),
         F.col("source").alias("repo"), F.col("text"),
     )
@@ -36,9 +41,8 @@ def skip_urls(spark: SparkSession, folder: str) -> DataFrame:
 
 def texts(spark: SparkSession, folder: str) -> DataFrame:
     """Documents and web pages: prose, markup, links and paths."""
-    documents = table(spark, folder, "documents")
-    pages = table(spark, folder, "pages")
-    return documents.select(F.concat(F.lit("doc/"), F.col("doc_id")).alias("issue_id"), "text").unionByName(
+    pages = spread(table(spark, folder, "pages"), "page_id")
+    return documents(spark, folder).select(F.concat(F.lit("doc/"), F.col("doc_id")).alias("issue_id"), "text").unionByName(
         pages.select(F.concat(F.lit("page/"), F.col("page_id")).alias("issue_id"), F.col("html").alias("text"))
     )
 
@@ -49,24 +53,22 @@ def _tokens(text: Column) -> Column:
 
 def token_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct tokens of at least 12 characters per document, found row by row."""
-    documents = table(spark, folder, "documents")
-    return documents.select(F.col("doc_id").alias("issue_id"), F.explode(_tokens(F.col("text"))).alias("candidate_string"))
+    return documents(spark, folder).select(F.col("doc_id").alias("issue_id"), F.explode(_tokens(F.col("text"))).alias("candidate_string"))
 
 
 def token_contexts(spark: SparkSession, folder: str) -> DataFrame:
     """:func:`token_candidates` with their windows.  The windows are cut before
     the explode, so no row carries a whole text."""
-    documents = table(spark, folder, "documents")
     pairs = F.transform(
         _tokens(F.col("text")),
         lambda t: F.struct(t.alias("candidate_string"), context_window(F.col("text"), t).alias("context_window")),
     )
-    return documents.select(F.col("doc_id").alias("issue_id"), F.inline(pairs))
+    return documents(spark, folder).select(F.col("doc_id").alias("issue_id"), F.inline(pairs))
 
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that have a label, with their first token as the candidate."""
-    rows = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id")
+    rows = documents(spark, folder).join(table(spark, folder, "labels"), "doc_id")
     return rows.select(
         F.col("doc_id").alias("issue_id"), "text", F.regexp_extract("text", r"[^ \t\n\r\f]+", 0).alias("candidate_string"),
         (1 - F.col("quality")).alias("label"), "n_chars", "lang",
