@@ -6,7 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Members of the Unicode white space, word and digit classes, for use inside [].
-SPACE = r"\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+# Latin-1 members are listed one by one: Java looks those up in one table.
+SPACE_NOT_BLANK = (
+    r"\t\n\x0B\x0C\r\x1C\x1D\x1E\x1F\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+)
+SPACE = " " + SPACE_NOT_BLANK
 WORD = r"\p{L}\p{N}_"
 DIGIT = r"\p{Nd}"
 

@@ -12,43 +12,50 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import bind
 from .fixed_values import CONTEXT_RADIUS
-from .regex import DIGIT, SPACE, WORD, strip
+from .regex import DIGIT, SPACE, SPACE_NOT_BLANK, WORD, strip
 
 _HEX = "0-9a-fA-F"
 _NOT_AFTER_WORD = f"(?<![{WORD}])"
 _NOT_BEFORE_WORD = f"(?![{WORD}])"
 _UUID = "[a-fA-F0-9]{8}-[a-fA-F0-9]{4}-[a-fA-F0-9]{4}-[a-fA-F0-9]{4}-[a-fA-F0-9]{12}"
 
+_RUN = f"[{_HEX}-]"
+
 # What each deletion rule removes, in order.  The two URL rules
 # belong to the full set only.
+# (name, pattern, literal that every match contains, cheap pattern that is
+# found in every text with a match); the last two only save work.
 NOISE_RULES = [
-    ("quotes", "['\"│]"),
+    ("quotes", "['\"│]", "", ""),
     ("directory_listing",
      rf"drwx[-{SPACE}]*+[{DIGIT}]+[{SPACE}]+[{WORD}]+[{SPACE}]+[{WORD}]+[{SPACE}]+[{DIGIT}]+[{SPACE}]+[{WORD}]+"
-     rf"[{SPACE}]+[{DIGIT}]+[{SPACE}]+[{_HEX}-]+[^\n]*"),
-    ("shell_block", r"(?i)```shell[^`]++```"),
-    ("quoted_shell_block", rf'(?i)```shell[{SPACE}]*"[^"]*"[{SPACE}]*```'),
-    ("saved_game", r"<details><summary>Saved game</summary>\n\n```[^\n]*?```"),
-    ("dotted_name", rf"{_NOT_AFTER_WORD}[{WORD}]++(?:\.[{WORD}]++)++"),
-    ("stack_frame", rf"at[{SPACE}][{WORD}.$]+\.[{WORD}]+\([^:]++:[{DIGIT}]+\)"),
-    ("url_with_fragment", rf"(?i)https?://[^{SPACE}#]++#[a-z0-9=+-]++"),
-    ("url", r"https?://[!$-_a-z]++"),
-    ("commit_id", rf"(?i)commit ?(?:id)? ?:? ?[0-9a-f]{{40}}{_NOT_BEFORE_WORD}"),
-    ("path_with_blanks", rf"/[{WORD}/. :-]++"),
-    ("path", rf"(?:/[^/{SPACE}]++)++"),
-    ("sha256", rf"sha256[{SPACE}]*:?=?[{SPACE}]*[{_HEX}]{{64}}"),
-    ("tree_sha1", rf"git-tree-sha1[{SPACE}]*=[{SPACE}]*[{_HEX}]++"),
-    ("build_id", rf"build-id[{SPACE}]*:?=?[{SPACE}]*[{_HEX}]++"),
-    ("guid_triple", rf"GUIDs:[{SPACE}]++[{_HEX}-]++[{SPACE}]++[{_HEX}-]++[{SPACE}]++[{_HEX}-]++"),
-    ("hex_triple",
-     rf"(?<![{_HEX}-])[{_HEX}-]++[{SPACE}]*+,[{SPACE}]*+[{_HEX}-]++[{SPACE}]*+,[{SPACE}]*+[{_HEX}-]++"),
-    ("angle_brackets", r"<[^>]++>"),
+     rf"[{SPACE}]+[{DIGIT}]+[{SPACE}]+{_RUN}+[^\n]*", "drwx", ""),
+    ("shell_block", r"(?i)```shell[^`]++```", "```", ""),
+    ("quoted_shell_block", rf'(?i)```shell[{SPACE}]*"[^"]*"[{SPACE}]*```', "```", ""),
+    ("saved_game", r"<details><summary>Saved game</summary>\n\n```[^\n]*?```", "<details>", ""),
+    ("dotted_name", rf"{_NOT_AFTER_WORD}[{WORD}]++(?:\.[{WORD}]++)++", "", rf"\.[{WORD}]"),
+    ("stack_frame", rf"at[{SPACE}][{WORD}.$]+\.[{WORD}]+\([^:]++:[{DIGIT}]+\)", "(", ""),
+    ("url_with_fragment", rf"(?i)https?://[^{SPACE}#]++#[a-z0-9=+-]++", "://", ""),
+    ("url", r"https?://[!$-_a-z]++", "://", ""),
+    ("commit_id", rf"(?i)commit ?(?:id)? ?:? ?[0-9a-f]{{40}}{_NOT_BEFORE_WORD}", "", ""),
+    ("path_with_blanks", rf"/[{WORD}/. :-]++", "/", ""),
+    ("path", rf"(?:/[^/{SPACE}]++)++", "/", ""),
+    ("sha256", rf"sha256[{SPACE}]*:?=?[{SPACE}]*[{_HEX}]{{64}}", "sha256", ""),
+    ("tree_sha1", rf"git-tree-sha1[{SPACE}]*=[{SPACE}]*[{_HEX}]++", "git-tree-sha1", ""),
+    ("build_id", rf"build-id[{SPACE}]*:?=?[{SPACE}]*[{_HEX}]++", "build-id", ""),
+    ("guid_triple", rf"GUIDs:[{SPACE}]++{_RUN}++[{SPACE}]++{_RUN}++[{SPACE}]++{_RUN}++", "GUIDs:", ""),
+    ("hex_triple", rf"(?<!{_RUN}){_RUN}++[{SPACE}]*+,[{SPACE}]*+{_RUN}++[{SPACE}]*+,[{SPACE}]*+{_RUN}++",
+     ",", rf",[{SPACE}]*+{_RUN}++[{SPACE}]*+,"),
+    ("angle_brackets", r"<[^>]++>", ">", ""),
     ("prefixed_uuid",
-     rf"(?i)(?:uuid|guid|version|id)[\\=:\"'{SPACE}]*{_NOT_AFTER_WORD}{_UUID}{_NOT_BEFORE_WORD}"),
-    ("prefixed_pointer", rf"(?i)(?:data|address|id)[\\=:\"'{SPACE}]*{_NOT_AFTER_WORD}0x[0-9a-f]++{_NOT_BEFORE_WORD}"),
+     rf"(?i)(?:uuid|guid|version|id)[\\=:\"'{SPACE}]*{_NOT_AFTER_WORD}{_UUID}{_NOT_BEFORE_WORD}",
+     "-", rf"-[{_HEX}]{{4}}-"),
+    ("prefixed_pointer", rf"(?i)(?:data|address|id)[\\=:\"'{SPACE}]*{_NOT_AFTER_WORD}0x[0-9a-f]++{_NOT_BEFORE_WORD}",
+     "", rf"0[xX][{_HEX}]"),
     ("screenshot",
-     rf"(?i)Screenshot_[{DIGIT}]{{4}}(?:[_-][{DIGIT}]{{2}}){{6}}[_-][{WORD}]++"),
+     rf"(?i)Screenshot_[{DIGIT}]{{4}}(?:[_-][{DIGIT}]{{2}}){{6}}[_-][{WORD}]++", "_", ""),
 ]
 URL_RULES = {"url_with_fragment", "url"}
 
@@ -56,12 +63,30 @@ URL_RULES = {"url_with_fragment", "url"}
 def normalize_text(text: Column) -> Column:
     """One line of printable ASCII: white space runs become a blank, end-of-text
     marks and all other characters go.  NULL becomes the empty string."""
-    line = F.regexp_replace(strip(F.coalesce(text, F.lit(""))), f"[{SPACE}]+", " ")
-    return F.regexp_replace(F.regexp_replace(line, "</s>|<eos>", ""), r"[^\x20-\x7E]+", "")
+    # A single blank already is what a run becomes, so only other runs match.
+    runs = f" [{SPACE}]++|[{SPACE_NOT_BLANK}][{SPACE}]*+"
+    line = F.regexp_replace(strip(F.coalesce(text, F.lit(""))), runs, " ")
+    return F.regexp_replace(F.regexp_replace(line, "</s>|<eos>", ""), r"[^\x20-\x7E]++", "")
+
+
+def _apply(text: Column, rule: tuple[str, str, str, str]) -> Column:
+    _, pattern, literal, sign = rule
+    if not literal and not sign:
+        return F.regexp_replace(text, pattern, "")
+
+    def delete(t: Column) -> Column:
+        possible = F.lit(True)
+        if literal:
+            possible = t.contains(literal)
+        if sign:
+            possible = possible & t.rlike(sign)
+        return F.when(possible, F.regexp_replace(t, pattern, "")).otherwise(t)
+
+    return bind(text, delete)
 
 
-def _delete(text: Column, rules: list[tuple[str, str]]) -> Column:
-    return reduce(lambda col, rule: F.regexp_replace(col, rule[1], ""), rules, text)
+def _delete(text: Column, rules: list[tuple[str, str, str, str]]) -> Column:
+    return reduce(_apply, rules, text)
 
 
 def strip_noise(text: Column) -> Column:

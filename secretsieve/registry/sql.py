@@ -149,7 +149,7 @@ def normalized(text: str) -> str:
 
 
 def stripped(text: str, urls: bool) -> str:
-    for name, pattern in NOISE_RULES:
+    for name, pattern, _, _ in NOISE_RULES:
         if urls or name not in URL_RULES:
             pattern = pattern.replace(_NOT_AFTER_WORD, "", 1) if name == "dotted_name" else pattern
             text = f"regexp_replace({text}, {quote(plain(pattern))}, '', 'g')"

@@ -11,8 +11,13 @@ def append_hits(hits: DataFrame, path: str) -> None:
 
 
 def append_csv(df: DataFrame, path: str) -> None:
-    """Append as CSV with quotes doubled, the way :func:`read_csv_dataset` reads it."""
-    df.write.mode("append").options(header=True, quote='"', escape='"', quoteAll=True, emptyValue="").csv(path)
+    """Append as CSV with quotes doubled, the way :func:`read_csv_dataset` reads it.
+
+    CSV knows no difference between an empty text and a missing one: both read as NULL.
+    """
+    options = {"header": True, "quote": '"', "escape": '"', "quoteAll": True,
+               "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("append").options(**options).csv(path)
 
 
 def write_by_error(tagged: DataFrame, path: str) -> None:
