@@ -27,10 +27,10 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
 def spread(df: DataFrame, key: str, per_core: int = 3) -> DataFrame:
     """Give every core work when a text table comes in a few splits.
 
-    Rules cost far more than reading, so a table of less than ``per_core``
-    splits per core is hashed by its unique key, which also parts neighbouring
-    long texts.  Larger tables stay as they are: a shuffle happens only where
-    the whole table is a few splits per core.
+    Rules cost far more than reading, so a table with fewer splits than there
+    are cores is hashed by its unique key, which also parts neighbouring long
+    texts.  Larger tables keep all cores busy and stay as they are: the shuffle
+    moves less than one split per core.
     """
-    wanted = per_core * df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted, key) if df.rdd.getNumPartitions() < wanted else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(per_core * cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -101,6 +101,14 @@ def first_match_scan(issues: DataFrame, rules: list[Rule] | None = None, body: s
     return _emit(once(_lowered(issues, body), "_hit", hit))
 
 
+def mark_hits(issues: DataFrame, rules: list[Rule] | None = None, body: str = "body") -> DataFrame:
+    """Add ``is_hit``: whether any rule matches, ignoring case."""
+    text, low = F.col(body), F.col("_low")
+    tests = [_present(r, low) & text.rlike("(?i)" + r.pattern) for r in rules or CATALOG]
+    found = reduce(lambda a, b: a | b, [F.coalesce(t, F.lit(False)) for t in tests])
+    return once(_lowered(issues, body), "is_hit", found).drop("_low")
+
+
 def strict_scan(issues: DataFrame, rules: list[Rule] | None = None, body: str = "body") -> DataFrame:
     """:func:`first_match_scan` without placeholders: bodies that mention one are
     dropped, and a rule whose match is one gives way to the next rule."""

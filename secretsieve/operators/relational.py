@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.columns import once
-from ..functions.terms import shortest_terms
+from ..functions.terms import shortest_terms, stems
 from .selection import keep_first, top_k_per_group
 
 
@@ -108,35 +108,41 @@ def flagged(predictions: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------ keyword prefilter
-def _mentions(lowered: Column, terms: list[str]) -> Column:
+def _contains_any(lowered: Column, terms: list[str]) -> Column:
     return F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(lowered, t))
 
 
+def _mentions(lowered: Column, terms: list[str]) -> Column:
+    """Whether any term occurs.  Most texts fail on the few stems already, and a
+    term that contains another one cannot change the outcome."""
+    return _contains_any(lowered, stems(terms)) & _contains_any(lowered, shortest_terms(terms))
+
+
 def keyword_filter(issues: DataFrame, terms: list[str], body: str = "body") -> DataFrame:
-    """Issues whose body contains any term, ignoring case.
+    """Issues whose body contains any term, ignoring case."""
+    lowered = once(issues, "_low", F.lower(F.col(body)))
+    return lowered.filter(_mentions(F.col("_low"), terms)).drop("_low")
 
-    Terms that contain another term cannot change the outcome and are skipped.
-    """
+
+def add_terms(issues: DataFrame, terms: list[str], body: str = "body") -> DataFrame:
+    """Add ``terms``: all terms that the body contains, ignoring case."""
+    low = F.col("_low")
+    unique = F.array(*[F.lit(t) for t in dict.fromkeys(t.lower() for t in terms)])
+    found = F.when(_mentions(low, terms), F.filter(unique, lambda t: F.contains(low, t)))
     lowered = once(issues, "_low", F.lower(F.col(body)))
-    return lowered.filter(_mentions(F.col("_low"), shortest_terms(terms))).drop("_low")
+    return once(lowered, "terms", F.coalesce(found, F.array().cast("array<string>"))).drop("_low")
 
 
 def matched_terms(issues: DataFrame, terms: list[str], body: str = "body") -> DataFrame:
     """One row per issue and term that its body contains."""
-    unique = list(dict.fromkeys(t.lower() for t in terms))
-    found = F.filter(F.array(*[F.lit(t) for t in unique]), lambda t: F.contains(F.col("_low"), t))
-    kept = once(keyword_filter(issues, terms, body), "_low", F.lower(F.col(body)))
-    return once(kept, "_terms", found).withColumn("term", F.explode("_terms")).drop("_low", "_terms")
+    return add_terms(issues, terms, body).withColumn("term", F.explode("terms")).drop("terms")
 
 
-def keyword_yield(mentions: DataFrame, hits: DataFrame) -> DataFrame:
+def keyword_yield(marked: DataFrame) -> DataFrame:
     """Per term: issues that mention it and how many of them are hits.
 
-    ``mentions`` has one row per (issue_id, term), ``hits`` one per issue_id.
+    ``marked`` has ``terms`` and ``is_hit`` per issue; only counts are shuffled.
     """
-    marked = mentions.select("issue_id", "term").join(
-        hits.select("issue_id").distinct().withColumn("is_hit", F.lit(1)), "issue_id", "left"
-    )
-    return marked.groupBy("term").agg(
-        F.count(F.lit(1)).alias("n_issues"), F.count("is_hit").alias("n_hits")
+    return marked.select(F.explode("terms").alias("term"), "is_hit").groupBy("term").agg(
+        F.count(F.lit(1)).alias("n_issues"), F.count_if("is_hit").alias("n_hits")
     )

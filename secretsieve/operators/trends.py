@@ -92,8 +92,9 @@ def leaks_by_bucket(counted: DataFrame, value: str, bounds: list[tuple[int, str]
         [(i, name) for i, (_, name) in enumerate(bounds)], "bucket_no int, bucket string"
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    # Both sides have a row per bucket.
     return (
-        F.broadcast(names).join(found, "bucket_no", "left")
+        names.join(F.broadcast(found), "bucket_no", "left")
         .select("bucket_no", "bucket", *[zero(c) for c in ("repo_count", "repos_with_leaks", "total_leaks", "max_leaks")])
         .withColumn("avg_leaks_per_repo", ratio(F.col("total_leaks"), F.col("repos_with_leaks")))
     )

@@ -26,6 +26,12 @@ def scan_issues(
     return relational.first_per_url(hits, [F.col("issue_id")])
 
 
+def keyword_yield(issues: DataFrame, terms: list[str], rules: list[Rule] | None = None, body: str = "body") -> DataFrame:
+    """Which terms find issues, and hits, in one pass over the texts."""
+    found = relational.add_terms(issues, terms, body).filter(F.size("terms") > 0)
+    return relational.keyword_yield(extract.mark_hits(found, rules, body))
+
+
 def scan_recent(
     issues: DataFrame, skip: DataFrame, rules: list[Rule] | None = None, per_repo: int = 20, per_issue: int = 10
 ) -> DataFrame:

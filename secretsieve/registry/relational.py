@@ -267,11 +267,9 @@ def keyword_filter_strict(spark, folder):
 
 @query("B12_keyword_yield", q.with_views(
     "texts", "SELECT term, count(*) AS n_issues, count(h.issue_id) AS n_hits FROM mentions m LEFT JOIN hits h USING (issue_id) GROUP BY 1",
-    mentions=_MENTIONS, matches=q.ALL_MATCHES, hits="SELECT DISTINCT issue_id FROM matches"))
+    mentions=_MENTIONS, hits=f"SELECT issue_id FROM texts WHERE {q.first_match('text', 'rank')} IS NOT NULL"))
 def keyword_yield(spark, folder):
-    issues = views.texts(spark, folder)
-    mentions = relational.matched_terms(issues, _TERMS, "text")
-    return relational.keyword_yield(mentions, extract.all_matches(issues, body="text"))
+    return issue_scan.keyword_yield(views.texts(spark, folder), _TERMS, body="text")
 
 
 @query("B13_flagged", q.with_views("model_predictions", "SELECT issue_id, md5(text) AS text_md5, candidate_string FROM model_predictions WHERE prediction = 1"))

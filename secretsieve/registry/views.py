@@ -56,14 +56,19 @@ def token_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return documents(spark, folder).select(F.col("doc_id").alias("issue_id"), F.explode(_tokens(F.col("text"))).alias("candidate_string"))
 
 
-def token_contexts(spark: SparkSession, folder: str) -> DataFrame:
-    """:func:`token_candidates` with their windows.  The windows are cut before
-    the explode, so no row carries a whole text."""
+def _with_contexts(rows: DataFrame, *keep: str) -> DataFrame:
+    """Tokens of ``text`` and their windows.  The windows are cut before the
+    explode, so no row carries a whole text."""
     pairs = F.transform(
         _tokens(F.col("text")),
         lambda t: F.struct(t.alias("candidate_string"), context_window(F.col("text"), t).alias("context_window")),
     )
-    return documents(spark, folder).select(F.col("doc_id").alias("issue_id"), F.inline(pairs))
+    return rows.select(F.col("doc_id").alias("issue_id"), *keep, F.inline(pairs))
+
+
+def token_contexts(spark: SparkSession, folder: str) -> DataFrame:
+    """:func:`token_candidates` with their windows."""
+    return _with_contexts(documents(spark, folder))
 
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,8 +83,9 @@ def labelled(spark: SparkSession, folder: str) -> DataFrame:
 def labelled_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Token candidates with the label of their document, a row id and a split
     that keeps a document in one part."""
-    labels = table(spark, folder, "labels").select(F.col("doc_id").alias("issue_id"), (1 - F.col("quality")).alias("label"))
-    rows = token_contexts(spark, folder).join(labels, "issue_id")
+    labels = table(spark, folder, "labels").select("doc_id", (1 - F.col("quality")).alias("label"))
+    # Texts are joined, not their many candidates.
+    rows = _with_contexts(documents(spark, folder).join(labels, "doc_id"), "label")
     return add_split(rows.withColumn("id", F.md5(F.concat_ws("|", "issue_id", "candidate_string"))), "issue_id")
 
 

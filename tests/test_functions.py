@@ -221,6 +221,7 @@ def test_word_lists_have_no_redundant_word():
     for listed in (terms.broad_terms(), terms.strict_terms()):
         short = terms.shortest_terms(listed)
         assert all(any(s in x for s in short) for x in listed)
+        assert all(any(s in x for s in terms.stems(listed)) for x in listed)
 
 
 # ----------------------------------------------------------------------- features
