@@ -19,6 +19,12 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(value)))
 
 
+def text_array(items: list[str]) -> Column:
+    """A constant array of texts, folded when the query is planned.  One call
+    instead of one per item keeps long lists cheap to build."""
+    return F.split(F.lit("\n".join(items)), "\n")
+
+
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` evaluated once, however often ``use`` names it."""
     return F.element_at(F.transform(F.array(value), use), 1)

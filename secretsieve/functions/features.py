@@ -70,9 +70,8 @@ def add_features(df: DataFrame, candidate: str = "candidate_string", context: st
 
 def char_codes(text: Column, length: int) -> Column:
     """The first ``length`` characters as codes below 256 (0 for others), padded with 0."""
-    head = F.substring(F.coalesce(text, F.lit("")), 1, length)
-    code = lambda ch: F.when((ch != "") & (F.ascii(ch) < 256), F.ascii(ch)).otherwise(0)
-    codes = F.transform(F.split(head, ""), code)
+    head = F.regexp_replace(F.substring(F.coalesce(text, F.lit("")), 1, length), r"[^\x00-\xFF]", "\x00")
+    codes = F.transform(F.split(head, ""), F.ascii)
     return F.slice(F.concat(codes, F.array_repeat(F.lit(0), length)), 1, length)
 
 

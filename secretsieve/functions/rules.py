@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed_values as fv
+from .columns import text_array
 from .entropy import entropy_level, shannon_entropy
 from .regex import any_of, spark_regex, strip, whole
 
@@ -23,7 +24,7 @@ _DUMMY = any_of([spark_regex(p) for _, p in fv.DUMMY_MARKS])
 
 def _first(tests: list[tuple[str, Column]]) -> Column:
     """Name of the first test that holds, NULL if none does."""
-    return F.coalesce(*[F.when(test, F.lit(name)) for name, test in tests])
+    return F.coalesce(*[F.when(test, name) for name, test in tests])
 
 
 def _any(tests: list[Column]) -> Column:
@@ -77,8 +78,7 @@ def is_too_plain(candidate: Column, entropy: Column) -> Column:
 def has_context_word(lowered: Column, words: list[str] | None = None) -> Column:
     """Whether any word occurs in the lower-cased candidate; pass ``words`` to
     search for a longer list than the default one."""
-    listed = F.array(*[F.lit(w) for w in (words or fv.CONTEXT_WORDS)])
-    return F.exists(listed, lambda w: F.contains(lowered, w))
+    return F.exists(text_array(words or fv.CONTEXT_WORDS), lambda w: F.contains(lowered, w))
 
 
 def complexity(candidate: Column) -> Column:
@@ -139,9 +139,9 @@ def add_verdict(df: DataFrame, candidate: str = "candidate_string", words: list[
         F.lit(stage).alias("stage"),
         (F.lit(stage) if rule is None else rule).alias("rule"),
     )
+    stripped = strip(F.coalesce(F.col(candidate), F.lit("")))
     gated = (
-        df.withColumn("_c", strip(F.coalesce(F.col(candidate), F.lit(""))))
-        .withColumn("_low", F.lower(c))
+        df.withColumns({"_c": stripped, "_low": F.lower(stripped)})
         .withColumn(
             "_early",
             F.when(is_harmless(low), outcome(0, "harmless_shape", harmless_shape(low)))
@@ -172,11 +172,8 @@ def add_verdict(df: DataFrame, candidate: str = "candidate_string", words: list[
         .when(e.isNull() | is_too_plain(c, e), outcome(0, "too_plain"))
         .otherwise(late)
     )
-    return (
-        gated.withColumn("_verdict", verdict)
-        .withColumns({name: F.col("_verdict").getField(name) for name in ("label", "stage", "rule")})
-        .drop("_c", "_low", "_early", "_service", "_entropy", "_verdict")
-    )
+    kept = [F.col(f"`{name}`") for name in df.columns if name not in ("label", "stage", "rule")]
+    return gated.select(*kept, verdict.alias("_verdict")).select(*kept, "_verdict.*")
 
 
 def verdict_funnel(verdicts: DataFrame) -> DataFrame:

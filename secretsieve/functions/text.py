@@ -110,6 +110,10 @@ def clean_if_missing(text: Column, candidate: Column) -> Column:
 
 def context_window(text: Column, candidate: Column, radius: int = CONTEXT_RADIUS) -> Column:
     """The first occurrence with ``radius`` characters on both sides, or NULL."""
-    at = F.instr(text, candidate)
-    start = F.greatest(at - radius, F.lit(1))
-    return F.when(at > 0, F.substring(text, start, at + F.length(candidate) + radius - start))
+
+    def cut(at: Column) -> Column:
+        start = F.greatest(at - radius, F.lit(1))
+        return F.when(at > 0, F.substring(text, start, at + F.length(candidate) + radius - start))
+
+    # The search reads the whole text: once is enough.
+    return bind(F.instr(text, candidate), cut)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.columns import once
+from ..functions.columns import once, text_array
 from ..functions.terms import shortest_terms, stems
 from .selection import keep_first, top_k_per_group
 
@@ -109,7 +109,7 @@ def flagged(predictions: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ keyword prefilter
 def _contains_any(lowered: Column, terms: list[str]) -> Column:
-    return F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(lowered, t))
+    return F.exists(text_array(terms), lambda t: F.contains(lowered, t))
 
 
 def _mentions(lowered: Column, terms: list[str]) -> Column:
@@ -127,7 +127,7 @@ def keyword_filter(issues: DataFrame, terms: list[str], body: str = "body") -> D
 def add_terms(issues: DataFrame, terms: list[str], body: str = "body") -> DataFrame:
     """Add ``terms``: all terms that the body contains, ignoring case."""
     low = F.col("_low")
-    unique = F.array(*[F.lit(t) for t in dict.fromkeys(t.lower() for t in terms)])
+    unique = text_array(list(dict.fromkeys(t.lower() for t in terms)))
     found = F.when(_mentions(low, terms), F.filter(unique, lambda t: F.contains(low, t)))
     lowered = once(issues, "_low", F.lower(F.col(body)))
     return once(lowered, "terms", F.coalesce(found, F.array().cast("array<string>"))).drop("_low")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from ..functions import prompts
@@ -159,18 +157,17 @@ def parse_loose(spark, folder):
 
 
 # ------------------------------------------------------------------- F13-F14: scorer
-def digit_scorer(batch):
-    """A stand-in for a model: digits mark a secret; it cannot read ``%``."""
-    unreadable = batch["candidate_string"].str.contains("%", regex=False)
-    if unreadable.any():
-        raise ValueError("unreadable candidate")
-    return batch["candidate_string"].map(lambda c: "Secret" if re.search("[0-9]", c) else "Non-sensitive")
-
-
 @query("F13_score_batches", q.with_views("token_contexts", """SELECT issue_id, candidate_string,
     CASE WHEN NOT contains(candidate_string, '%') AND regexp_matches(candidate_string, '[0-9]') THEN 'Secret' ELSE 'Non-sensitive' END AS predicted_label,
     CASE WHEN contains(candidate_string, '%') THEN 'ValueError: unreadable candidate' END AS error FROM token_contexts"""))
 def score_batches(spark, folder):
+    # Defined here, the function travels to the workers by value.
+    def digit_scorer(batch):
+        """A stand-in for a model: digits mark a secret; it cannot read ``%``."""
+        if batch["candidate_string"].str.contains("%", regex=False).any():
+            raise ValueError("unreadable candidate")
+        return batch["candidate_string"].str.contains("[0-9]").map({True: "Secret", False: "Non-sensitive"})
+
     rows = views.token_contexts(spark, folder)
     return scoring.score_batches(rows, digit_scorer).select("issue_id", "candidate_string", "predicted_label", "error")
 
