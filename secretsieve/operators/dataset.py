@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .selection import value_at_rank
@@ -99,11 +100,10 @@ def first_rows(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
 def class_weights(df: DataFrame) -> DataFrame:
     """Balanced weights ``n / (classes * n_class)``."""
     counts = df.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("classes"))
-    key = F.lit(1).alias("_one")
-    # One row of totals and one row per class.
-    joined = counts.select("*", key).join(F.broadcast(totals.select("*", key)), "_one")
-    return joined.select("label", "n", (F.col("total") / (F.col("classes") * F.col("n"))).alias("weight"))
+    # One row per class.
+    classes = W.partitionBy(F.lit(0))
+    total, number = F.sum("n").over(classes), F.count(F.lit(1)).over(classes)
+    return counts.select("label", "n", (total / (number * F.col("n"))).alias("weight"))
 
 
 def label_distribution(df: DataFrame, group: str = "split") -> DataFrame:

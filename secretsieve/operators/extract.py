@@ -20,12 +20,13 @@ from ..functions.text import context_window
 
 @dataclass(frozen=True)
 class Rule:
-    """A named pattern.  ``needle`` is a lower-case literal that every match
-    contains whatever its case; it only saves work."""
+    """A named pattern.  ``needle`` is a literal and ``sign`` a cheap pattern that
+    the lower-cased form of every match contains; they only save work."""
 
     name: str
     pattern: str
     needle: str = ""
+    sign: str = ""
 
 
 # Our own catalog, most telling rules first.
@@ -47,18 +48,20 @@ CATALOG = [
     Rule("url_with_password", r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,100}:[^\s:/@]{1,100}@[^\s/]{1,200}", "://"),
     Rule("bearer_header", r"\bBearer [A-Za-z0-9._~+/-]{16,}={0,2}", "bearer "),
     Rule("basic_header", r"\bBasic [A-Za-z0-9+/]{16,}={0,2}", "basic "),
-    Rule("password_assignment", r"""\b(?:password|passwd|pwd)["']? ?[:=] ?["']?[^\s"']{6,64}["']?"""),
+    Rule("password_assignment", r"""\b(?:password|passwd|pwd)["']? ?[:=] ?["']?[^\s"']{6,64}["']?""", sign="p(?:assw|wd)"),
     Rule("secret_assignment", r"""\b(?:client_)?secret["']? ?[:=] ?["']?[A-Za-z0-9_/+-]{12,128}["']?""", "secret"),
     Rule("token_assignment", r"""\b[a-z_]{0,40}token["']? ?[:=] ?["']?[A-Za-z0-9_./+-]{16,255}["']?""", "token"),
     Rule("key_assignment", r"""\b[a-z_]{0,40}key["']? ?[:=] ?["']?[A-Za-z0-9_/+-]{16,128}["']?""", "key"),
-    Rule("hex_key", r"\b[0-9a-f]{32,64}\b"),
+    Rule("hex_key", r"\b[0-9a-f]{32,64}\b", sign="[0-9a-f]{32}"),
     Rule("mail_login", r"\b[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}", "@"),
-    Rule("card_number", r"\b[0-9]{16}\b"),
+    Rule("card_number", r"\b[0-9]{16}\b", sign="[0-9]{16}"),
 ]
 
 
 def _present(rule: Rule, lowered: Column) -> Column:
-    return lowered.contains(rule.needle) if rule.needle else F.lit(True)
+    hints = [lowered.contains(rule.needle)] if rule.needle else []
+    hints += [lowered.rlike(rule.sign)] if rule.sign else []
+    return reduce(lambda a, b: a & b, hints) if hints else F.lit(True)
 
 
 def _lowered(df: DataFrame, body: str) -> DataFrame:

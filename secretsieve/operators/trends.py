@@ -172,13 +172,14 @@ def repo_profile(counted: DataFrame) -> DataFrame:
 # -------------------------------------------------------------------- durations
 def durations(issues: DataFrame) -> DataFrame:
     """Microseconds from creation to last update (``response``) and to closing
-    (``close``), one row each; only positive ones."""
+    (``close``), one row each per issue; NULL unless positive."""
     span = lambda until: F.timestamp_diff("MICROSECOND", F.col("created_at"), F.col(until))
     pairs = F.array(
         F.struct(F.lit("response").alias("kind"), span("updated_at").alias("micros")),
         F.struct(F.lit("close").alias("kind"), span("closed_at").alias("micros")),
     )
-    return issues.select(F.explode(pairs).alias("_d")).select("_d.kind", "_d.micros").filter(F.col("micros") > 0)
+    spans = issues.select(F.explode(pairs).alias("_d")).select("_d.kind", "_d.micros")
+    return spans.withColumn("micros", F.when(F.col("micros") > 0, F.col("micros")))
 
 
 def duration_stats(issues: DataFrame) -> DataFrame:
@@ -187,22 +188,16 @@ def duration_stats(issues: DataFrame) -> DataFrame:
     spans = durations(issues)
     stats = spans.groupBy("kind").agg(
         F.avg("micros").alias("_avg"), F.min("micros").alias("_min"), F.max("micros").alias("_max"),
-        F.count(F.lit(1)).alias("n_spans"),
-    )
+        F.count("micros").alias("n_spans"), F.count(F.lit(1)).alias("_issues"),
+    ).filter("n_spans > 0")
     middle = stats.select("kind", (F.expr("n_spans div 2") + 1).alias("rank"))
-    medians = value_at_rank(spans, "micros", middle, "kind")
-    total = issues.agg(F.count(F.lit(1)).alias("_issues")).withColumn("_one", F.lit(1))
+    medians = value_at_rank(spans.filter("micros is not null"), "micros", middle, "kind")
     hours = lambda c: F.col(c) / MICROS_PER_HOUR
     # Two rows per side.
-    return (
-        stats.join(F.broadcast(medians), "kind")
-        .withColumn("_one", F.lit(1))
-        .join(F.broadcast(total), "_one")
-        .select(
-            "kind", hours("_avg").alias("avg_hours"), hours("micros").alias("median_hours"),
-            hours("_min").alias("min_hours"), hours("_max").alias("max_hours"), "n_spans",
-            (100 * ratio(F.col("n_spans"), F.col("_issues"))).alias("pct_of_issues"),
-        )
+    return stats.join(F.broadcast(medians), "kind").select(
+        "kind", hours("_avg").alias("avg_hours"), hours("micros").alias("median_hours"),
+        hours("_min").alias("min_hours"), hours("_max").alias("max_hours"), "n_spans",
+        (100 * ratio(F.col("n_spans"), F.col("_issues"))).alias("pct_of_issues"),
     )
 
 
@@ -225,6 +220,8 @@ def in_days(stats: DataFrame) -> DataFrame:
 
 
 def summary(repos: DataFrame, issues: DataFrame) -> DataFrame:
-    one = F.lit(1).alias("_one")
-    total = lambda df, name: df.agg(F.count(F.lit(1)).alias(name)).select("*", one)
-    return total(repos, "total_repos").join(F.broadcast(total(issues, "total_issues")), "_one").drop("_one")
+    """Number of repositories and issues."""
+    kinds = repos.select(F.lit("repo").alias("kind")).unionByName(issues.select(F.lit("issue").alias("kind")))
+    return kinds.agg(
+        F.count_if(F.col("kind") == "repo").alias("total_repos"), F.count_if(F.col("kind") == "issue").alias("total_issues")
+    )
