@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.features import FEATURE_COLUMNS, FLAG_COLUMNS, NOT_SECRET
+from ..session import shared_folder
 from .selection import top_k_per_group
 
 SEED = 42
@@ -122,6 +123,8 @@ def fit_gaussian(train: DataFrame, features: list[str] | None = None) -> Gaussia
 
 # ------------------------------------------------------------ nearest neighbours
 MICRO = 1_000_000
+# Twelve free flags and one of five entropy bins.
+MAX_SIGNATURES = 5 * 2**12
 
 
 def _vector(df: DataFrame) -> DataFrame:
@@ -142,7 +145,7 @@ def nearest_neighbours(train: DataFrame, test: DataFrame, key: str = "id", k: in
 
     * training: at most ``k`` rows per distinct vector can matter (lowest keys);
     * test: distinct vectors only, once per signature of the training data (at
-      most 5 * 2**12 signatures exist, some dozens occur);
+      most ``MAX_SIGNATURES`` exist, some dozens occur);
     * per signature the ``k`` closest entropies from below and from above, then
       the best ``k`` over all signatures.
 
@@ -153,7 +156,14 @@ def nearest_neighbours(train: DataFrame, test: DataFrame, key: str = "id", k: in
         _vector(train).select(F.col(key).cast("string").alias("_key"), F.col("label").cast("int"), "_bits", "_micro"),
         ["_bits", "_micro"], [F.col("_key")], k,
     )
-    signatures = [r["_bits"] for r in points.select("_bits").distinct().collect()]
+    # The points are few and read several times: land them instead of redoing the features.
+    path = shared_folder(train.sparkSession, "points")
+    points.write.parquet(path)
+    points = train.sparkSession.read.schema(points.schema).parquet(path)
+    found = points.select("_bits").distinct().limit(MAX_SIGNATURES + 1).collect()
+    if len(found) > MAX_SIGNATURES:
+        raise ValueError(f"more than {MAX_SIGNATURES} signatures: these are no candidate features")
+    signatures = [r["_bits"] for r in found]
     probes = (
         _vector(test).select(F.col("_bits").alias("_own"), "_micro").distinct()
         .withColumn("_bits", F.explode(F.array(*[F.lit(s).cast("long") for s in signatures])))

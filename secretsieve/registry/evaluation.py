@@ -110,7 +110,7 @@ def quality_band(spark, folder):
 
 _TAGGED = f"""SELECT issue_id, model, candidate_string, {q.window('text', 'candidate_string', 200)} AS context_window,
     CASE WHEN label = prediction THEN 'Correct' WHEN label = 0 THEN 'False Positive' ELSE 'False Negative' END AS error_type,
-    label = prediction AS correct, length(candidate_string) AS candidate_length FROM model_predictions"""
+    label = prediction AS correct, length(candidate_string)::INT AS candidate_length FROM model_predictions"""
 
 
 def tagged(spark, folder):
@@ -121,7 +121,7 @@ def tagged(spark, folder):
 
 
 @query("H10_error_tags", q.with_views("model_predictions", """SELECT issue_id, model, error_type, correct, candidate_length,
-    coalesce(length(context_window), 0) AS context_length FROM tagged""", tagged=_TAGGED))
+    coalesce(length(context_window), 0)::INT AS context_length FROM tagged""", tagged=_TAGGED))
 def error_tags(spark, folder):
     return tagged(spark, folder).select("issue_id", "model", "error_type", "correct", "candidate_length", "context_length")
 

@@ -238,7 +238,7 @@ def cap_hits(spark, folder):
     return relational.cap_hits(flags, per_issue=2).select("issue_id", "pattern_rank", "secret_type")
 
 
-@query("B10_join_issues", q.with_views("texts", """SELECT issue_id, pattern_rank, candidate_string, length(text) AS n_chars
+@query("B10_join_issues", q.with_views("texts", """SELECT issue_id, pattern_rank, candidate_string, length(text)::INT AS n_chars
     FROM matches JOIN texts USING (issue_id)""", matches=q.ALL_MATCHES))
 def join_issues(spark, folder):
     issues = views.texts(spark, folder)
