@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, sharding
+from . import line_dedup, minhash, mixing, packing, quality_classifier, quality_rules, sharding, simhash
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,28 @@ def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign(documents(spark, folder)).withColumn("law", F.lit("key"))
 
 
+@query("op6_simhash")
+def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, folder)).select("doc_id", "fingerprint", "component_id")
+
+
+@query("op7_quality_rules")
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judge(documents(spark, folder)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_left", "depleted", "kept"
+    )
+
+
+@query("op8_quality_classifier")
+def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_classifier.classify(documents(spark, folder), quality_classifier.labels_of(spark, folder))
+
+
+@query("op9_fingerprints")
+def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.compare_with_next(documents(spark, folder))
+
+
 @query("op10_mixing")
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.plan(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
