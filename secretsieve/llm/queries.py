@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, minhash, mixing, packing, quality_classifier, quality_rules, sharding, simhash
+from . import line_dedup, lm_scoring, minhash, mixing, packing, quality_classifier, quality_rules, sharding, simhash
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,11 @@ def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
 
 
+@query("op3_lm_scoring")
+def op3_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scoring.score(documents(spark, folder))
+
+
 @query("op4_sharding")
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign(documents(spark, folder)).withColumn("law", F.lit("key"))
