@@ -2,8 +2,8 @@
 
 1. Evidence of a document: a naive Bayes classifier over its distinct words and
    word shapes, fitted on at most ``max_labelled`` labelled documents (those with the least hashes of their ids).
-   Only features whose log odds differ from 0 by ``min_z`` standard errors count, so
-   chance words of the fitting sample say nothing.  The evidence is a log likelihood ratio, free of any prior.
+   Only features whose log odds differ from 0 by ``min_z`` standard errors and by ``min_odds`` count, so neither
+   chance words of the fitting sample nor the sum of many common words decides.  The evidence is a log likelihood ratio, free of any prior.
 2. Sites: the mean class probability of a host is shrunk toward the global mean, and that of a path of
    the host toward its host.  A prior's strength is estimated by moments: the less sites differ beyond
    chance, the more they are shrunk; sites with few documents take their parent's mean.
@@ -40,10 +40,14 @@ EDGE = 1e-6
 
 
 def features(text: bytes) -> np.ndarray:
-    """Sorted hashes of a document's distinct words and of the distinct ends of its words' shapes."""
-    words = set(text.translate(LOWER).split())
-    shapes = {b" " + w[:2] + b" " + w[-3:] for w in text.translate(SHAPE).split()}
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, [*words, *shapes]), dtype=np.uint64, count=len(words) + len(shapes))
+    """Hashes of a document's distinct words, of the distinct ends of its words' shapes, and of two rounded
+    shares: distinct words among all, and words that begin with a letter."""
+    words = text.translate(LOWER).split()
+    distinct, shaped = set(words), text.translate(SHAPE).split()
+    shapes = {b" " + w[:2] + b" " + w[-3:] for w in shaped}
+    letters = sum([w[0] in b"aA" for w in shaped])
+    shares = [b" distinct %d" % (5 * len(distinct) // len(words)), b" letters %d" % (10 * letters // len(words))] if len(words) >= 20 else []
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, [*distinct, *shapes, *shares]), dtype=np.uint64)
     return h.view(np.int64)
 
 
@@ -54,7 +58,7 @@ def labelled_sample(labels: DataFrame, max_labelled: int, id_col: str) -> DataFr
     return one.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
 
 
-def fit(df: DataFrame, sample: DataFrame, id_col: str, text_col: str, min_z: float) -> tuple[np.ndarray, np.ndarray]:
+def fit(df: DataFrame, sample: DataFrame, id_col: str, text_col: str, min_z: float, min_odds: float) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the features that count, ascending, and their log odds per target."""
     rows = df.select(df[id_col].cast("long").alias("_doc"), df[text_col].alias("_text")).join(
         F.broadcast(sample), F.col("_doc") == F.col("_id")  # bounded by max_labelled
@@ -84,7 +88,7 @@ def fit(df: DataFrame, sample: DataFrame, id_col: str, text_col: str, min_z: flo
         yes, no = F.col(t) + 0.5, F.col("n") - F.col(t) + 0.5
         value = F.log(yes / F.lit(one + 1.0)) - F.log(no / F.lit(n - one + 1.0))
         error = F.sqrt(1 / yes + 1 / no)
-        odds.append(F.when((F.abs(value) >= min_z * error) & F.lit(0 < one < n), value).otherwise(0.0).alias(f"w_{t}"))
+        odds.append(F.when((F.abs(value) >= min_z * error) & (F.abs(value) >= min_odds) & F.lit(0 < one < n), value).otherwise(0.0).alias(f"w_{t}"))
     kept = counts.select("feature", *odds).filter(" OR ".join(f"w_{t} <> 0" for t in TARGETS)).orderBy("feature").toPandas()
     return kept["feature"].to_numpy(np.int64), kept[[f"w_{t}" for t in TARGETS]].to_numpy(np.float64)
 
@@ -142,12 +146,12 @@ def strength(groups: DataFrame, mean: str, parent: Column, n: str) -> float:
 
 def classify(
     df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang",
-    max_labelled: int = 100_000, min_z: float = 4.0, min_quality: float = 0.5, max_toxic: float = 0.5,
+    max_labelled: int = 100_000, min_z: float = 4.0, min_odds: float = 2.5, min_quality: float = 0.5, max_toxic: float = 0.5,
 ) -> DataFrame:
     """doc_id, host, path, and per target the evidence (llr), the host's and the path's posterior mean and the document's
     probability; kept if the text is probably good and not toxic."""
     sample = landed(labelled_sample(labels, max_labelled, id_col), "labelled")
-    hashes, weights = fit(df, sample, id_col, text_col, min_z)
+    hashes, weights = fit(df, sample, id_col, text_col, min_z, min_odds)
     docs = evidence(df, hashes, weights, id_col, text_col, host_col, path_col)
     known = sample.agg(F.count(F.lit(1)), *[F.avg(t) for t in TARGETS]).first()
     rates = [0.5 if r is None else min(1 - EDGE, max(EDGE, r)) for r in known[1:]]
