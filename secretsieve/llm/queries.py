@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, lm_scoring, minhash, mixing, packing, quality_classifier, quality_rules, sharding, simhash
+from . import line_dedup, lm_scoring, minhash, mixing, packing, quality_classifier, quality_rules, sharding, simhash, suffix_dedup
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +69,12 @@ def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign(documents(spark, folder)).withColumn("law", F.lit("key"))
 
 
+@query("op5_suffix_dedup")
+def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    left = suffix_dedup.dedup_substrings(documents(spark, folder))
+    return left.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 @query("op6_simhash")
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, folder)).select("doc_id", "fingerprint", "component_id")
