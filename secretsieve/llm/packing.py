@@ -24,6 +24,7 @@ import os
 from collections import deque
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from struct import pack as bytes_of
 
 import numpy as np
 import pyarrow as pa
@@ -38,38 +39,66 @@ ARROW = pa.schema([
     ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()),
 ])
 DOCUMENT_CUT, SENTENCE_CUT, WORD_CUT, WINDOW_COST = 0, 16, 64, 32
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
+CLOSING = b".,!?;:"
+LATIN_END = "\u0250"
 
 
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
-    The tokenizer drops white space and works word by word, so the ids of a
-    text are those of its blank-separated parts; parts met before come out
-    of a bounded cache.
+    The tokenizer drops white space, ignores case and works word by word, so the ids of a
+    text are those of its blank-separated parts, and those of a part are the ids of the
+    part without its closing punctuation and of that punctuation.  Parts met before come
+    out of a bounded cache.  A word of Latin letters goes to the tokenizer's model directly; all
+    else goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.removesuffix("</w>")[-1:] in (".", "!", "?")
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def stem(self, part: bytes) -> bytes:
+        ids = self.stems.get(part)
+        if ids is None:
+            text = part.decode("utf-8", "replace")
+            word = text.lower()
+            # Latin letters only: one word, which normalising only turns into small letters.
+            if word.isalpha() and max(word) < LATIN_END and len(word) == len(text):
+                found = [t.id for t in self.model.tokenize(word if word.isascii() else self.as_bytes(word)[0][0])]
+            else:
+                found = self.tokenizer.encode(text, add_special_tokens=False).ids
+            ids = self.stems[part] = bytes_of(f"<{len(found)}I", *found)
+        return ids
+
+    def part(self, part: bytes) -> bytes:
+        bare = part.rstrip(CLOSING)
+        # Punctuation is a piece of its own only behind a letter.
+        if len(bare) < len(part) and bare.decode("utf-8", "replace").lower()[-1:].isalpha():
+            return self.stem(bare) + self.stem(part[len(bare) :])
+        return self.stem(part)
 
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
         for text in texts:
-            parts = text.split()
-            new = list(set(parts).difference(self.known))
-            if new:
-                if len(self.known) + len(new) > CACHED_WORDS:
-                    self.known = {}
-                    new = list(set(parts))
-                coded = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in new], add_special_tokens=False)
-                self.known.update((x, np.array(e.ids, dtype="<u4").tobytes()) for x, e in zip(new, coded))
+            small = text.lower()  # bytes: plain letters only
+            # Only the exact spelling of an added token is one.
+            parts = (text if any(x in small for x in self.added) else small).split()
+            new = set(parts).difference(self.known)
+            if len(self.known) + len(new) > CACHED_WORDS:
+                self.known, self.stems, new = {}, {}, set(parts)
+            for x in new:
+                self.known[x] = self.part(x)
             yield b"".join([self.known[x] for x in parts])
 
 
