@@ -51,3 +51,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def total(df: DataFrame, value) -> int:
     """One number over a whole table."""
     return int(df.select(F.sum(value)).first()[0] or 0)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

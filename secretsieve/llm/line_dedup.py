@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CAPITALS, SMALL, SPACES, byte_texts, landed, map_batches, mixed, total
+from .common import CAPITALS, SMALL, SPACES, byte_texts, landed, map_batches, mixed, total, unused
 
 LOWER = bytes.maketrans(CAPITALS.encode(), SMALL.encode())
 STRIP = SPACES.encode()
@@ -65,7 +65,7 @@ class Shard:
 
     @staticmethod
     def place(first: np.ndarray, level: int, size: int) -> np.ndarray:
-        return mixed(first + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(size)
+        return mixed(first + np.uint64(level * 0x9E3779B97F4A7C15 % (1 << 64))) % np.uint64(size)
 
     @classmethod
     def build(cls, first: np.ndarray, second: np.ndarray, counts: np.ndarray, keepers: np.ndarray) -> Shard:
@@ -243,15 +243,16 @@ def probe_shards(df: DataFrame, index: DataFrame, schema: str, id_col: str, text
     the hash's shard, the shard answers with the keepers of its hits, and
     the block takes its lines out.
     """
-    n_shards = index.first()["n_shards"]
+    n_shards = (index.first() or {"n_shards": 1})["n_shards"]
     n_blocks = max(1, -(-total(df, F.octet_length(text_col)) // (16 << 20)))
-    blocked = df.withColumn("_block", F.pmod(F.xxhash64(id_col, text_col), F.lit(n_blocks)).cast("int"))
+    mark = unused(df, "_block")
+    blocked = df.withColumn(mark, F.pmod(F.xxhash64(id_col, text_col), F.lit(n_blocks)).cast("int"))
 
     def ask(table: pa.Table) -> pa.Table:
         found = {k for x in byte_texts(table.column(text_col).combine_chunks()) for k in keys_of(x, min_chars)} - {None}
         h = np.unique(hashes(found), axis=0)
         home = h[:, 0].view(np.int64) % n_shards
-        block = table.column("_block")[0].as_py()
+        block = table.column(mark)[0].as_py()
         parts = [(s, block, np.ascontiguousarray(h[home == s]).tobytes()) for s in np.unique(home).tolist()]
         return pa.table([pa.array(x, t) for x, t in zip(list(zip(*parts)) or [[], [], []], (pa.int32(), pa.int32(), pa.binary()))], names=["shard", "block", "asked"])
 
@@ -274,15 +275,15 @@ def probe_shards(df: DataFrame, index: DataFrame, schema: str, id_col: str, text
             got = [keeper.get(tuple(x)) for x in h.view(np.int64).tolist()]
             return np.array([(x is not None, x or 0) for x in got], dtype=np.int64).reshape(-1, 2)
 
-        batches = docs.drop_columns(["_block"]).to_batches(max_chunksize=512)
+        batches = docs.drop_columns([mark]).to_batches(max_chunksize=512)
         done = [cleaned(b, id_col, text_col, min_chars, probe) for b in batches]
         return pa.Table.from_batches(done)
 
-    asked = blocked.select("_block", text_col).groupBy("_block").applyInArrow(ask, "shard int, block int, asked binary")
+    asked = blocked.select(mark, text_col).groupBy(mark).applyInArrow(ask, "shard int, block int, asked binary")
     hits = asked.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(
         lambda a, d: answer(a, d) if a.num_rows and d.num_rows else pa.table({"block": pa.array([], pa.int32()), "hits": pa.array([], pa.binary())}),
         "block int, hits binary",
     )
-    return blocked.groupBy("_block").cogroup(hits.groupBy("block")).applyInArrow(take_out, schema)
+    return blocked.groupBy(mark).cogroup(hits.groupBy("block")).applyInArrow(take_out, schema)
 
 

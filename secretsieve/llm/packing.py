@@ -4,7 +4,7 @@ Documents are tokenized and laid end to end in the order of the input's
 splits.  Every split is one stream that is cut into windows of at most
 ``length`` tokens.  A dynamic program over the allowed cuts (ends of documents,
 ends of sentences, and in stretches without either one position in every
-``stride`` tokens) minimises padding plus a penalty per cut.  The transition
+64th of a window) minimises padding plus a penalty per cut.  The transition
 takes the least ``cost + position`` among the cuts of the last ``length``
 tokens, which a monotone queue holds, so a block takes linear time.  A window
 whose length is a power of two needs no padding; such transitions are looked up.
@@ -38,7 +38,8 @@ ARROW = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
     ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()),
 ])
-DOCUMENT_CUT, SENTENCE_CUT, WORD_CUT, WINDOW_COST = 0, 16, 64, 32
+# Shares of a window that a cut, or one window more, may cost in padding.
+DOCUMENT_CUT, SENTENCE_CUT, WORD_CUT, WINDOW_COST = 0.0, 1 / 256, 1 / 64, 1 / 128
 CACHED_WORDS = 600_000
 CLOSING = b".,!?;:"
 LATIN_END = "\u0250"
@@ -112,7 +113,7 @@ def cuts(places: np.ndarray, penalties: np.ndarray, length: int) -> tuple[list[f
 
     ``places`` ascend from 0 and lie at most ``length`` apart.
     """
-    n = len(places)
+    n, window = len(places), WINDOW_COST * length
     where, fee = places.tolist(), penalties.tolist()
     exact: dict[int, list[int]] = {}
     size = 1
@@ -132,7 +133,7 @@ def cuts(places: np.ndarray, penalties: np.ndarray, length: int) -> tuple[list[f
         for k in exact.get(j, ()):
             if cost[k] < best:
                 i, best = k, cost[k]
-        cost[j] = best = best + fee[j] + WINDOW_COST
+        cost[j] = best = best + fee[j] + window
         before[j] = i
         key = best + here
         while queue and queue[-1][1] > key:
@@ -141,16 +142,16 @@ def cuts(places: np.ndarray, penalties: np.ndarray, length: int) -> tuple[list[f
     return cost, before
 
 
-def allowed(ids: np.ndarray, ends: np.ndarray, sentence_end: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places where a block may be cut, with penalties.  ``ends``: ends of documents."""
-    fee = np.full(len(ids) + 1, -1, dtype=np.int64)
-    fee[np.flatnonzero(sentence_end[ids]) + 1] = SENTENCE_CUT
-    fee[ends] = DOCUMENT_CUT
+def allowed(ids: np.ndarray, ends: np.ndarray, sentence_end: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places where a block may be cut, with penalties in tokens.  ``ends``: ends of documents."""
+    fee, stride = np.full(len(ids) + 1, -1.0), max(1, length // 64)
+    fee[np.flatnonzero(sentence_end[ids]) + 1] = SENTENCE_CUT * length
+    fee[ends] = DOCUMENT_CUT * length
     fee[0] = 0
     soft = np.flatnonzero(fee >= 0)
     gaps = np.diff(soft)
     for a, gap in zip(soft[:-1][gaps > stride].tolist(), gaps[gaps > stride].tolist()):
-        fee[np.arange(a + stride, a + gap, stride)] = WORD_CUT
+        fee[np.arange(a + stride, a + gap, stride)] = WORD_CUT * length
     places = np.flatnonzero(fee >= 0)
     return places, fee[places]
 
@@ -175,7 +176,7 @@ class Stream:
         data = b"".join(x[2] for x in self.waiting)
         ids = np.frombuffer(data, dtype="<u4")
         ends = np.cumsum([len(x[2]) // 4 for x in self.waiting])
-        places, fees = allowed(ids, ends, self.sentence_end, min(64, self.length))
+        places, fees = allowed(ids, ends, self.sentence_end, self.length)
         cost, before = cuts(places, fees, self.length)
         j = len(places) - 1
         if not last:  # the next block goes on from the best cut near the end

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CAPITALS, SMALL, SPACES, byte_texts, landed, map_batches
+from .common import CAPITALS, SMALL, SPACES, byte_texts, landed, map_batches, unused
 
 LOWER = bytes.maketrans(CAPITALS.encode(), SMALL.encode())
 SYMBOLS = b"#*$%&|<>"  # fixed value of the contract
@@ -151,21 +151,18 @@ def without_lines(text: bytes, gone: set[int]) -> bytes:
 
 def clean(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The documents that are kept, with all columns, without their lines over the limit."""
+    key, mark, gone = (unused(df, c) for c in ("_id", "_content", "_removed"))
     verdicts = judge(df, id_col=id_col, text_col=text_col, **settings).filter("kept").groupBy("doc_id", "content").agg(
-        F.first("removed").alias("_removed")
-    )
+        F.first("removed").alias(gone)
+    ).withColumnRenamed("doc_id", key).withColumnRenamed("content", mark)
     content = F.xxhash64(F.coalesce(df[text_col], F.lit("")))
-    rows = df.join(
-        verdicts.withColumnRenamed("doc_id", "_id").withColumnRenamed("content", "_content"),
-        df[id_col].cast("long").eqNullSafe(F.col("_id")) & (content == F.col("_content")),
-    ).select(*[df[c] for c in df.columns], "_removed")
+    rows = df.join(verdicts, df[id_col].cast("long").eqNullSafe(F.col(key)) & (content == F.col(mark))).drop(key, mark)
     columns, schema = df.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            gone = b.column("_removed").to_pylist()
             texts = b.column(text_col).cast(pa.binary()).to_pylist()
-            new = [without_lines(x, set(g)) if g and x is not None else x for x, g in zip(texts, gone)]
+            new = [without_lines(x, set(g)) if g and x is not None else x for x, g in zip(texts, b.column(gone).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(new, pa.binary()).cast(pa.string()) if c == text_col else b.column(c) for c in columns], names=columns
             )

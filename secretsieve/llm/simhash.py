@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import CAPITALS, SMALL, byte_texts, landed, map_batches
+from .common import CAPITALS, SMALL, byte_texts, landed, map_batches, unused
 from .components import components
 
 LOWER = bytes.maketrans(CAPITALS.encode(), SMALL.encode())
@@ -252,7 +252,9 @@ def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", *
     Of rows that share that id the first in text order stays.  A document with a null id goes if its component
     has another."""
     marked = near_duplicates(df, id_col=id_col, text_col=text_col, **settings)
-    kept = marked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
-    rows = df.join(kept.withColumnRenamed("doc_id", "_kept"), df[id_col].eqNullSafe(F.col("_kept")))
-    repeated = rows.filter("_rows > 1").withColumn("_n", F.row_number().over(W.partitionBy(id_col).orderBy(text_col))).filter("_n = 1")
-    return rows.filter("_rows = 1").select(*df.columns).unionByName(repeated.select(*df.columns))
+    key, n, nth = (unused(df, c) for c in ("_kept", "_rows", "_nth"))
+    kept = marked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias(n))
+    rows = df.join(kept, df[id_col].cast("long").eqNullSafe(F.col(key)))
+    first = W.partitionBy(key).orderBy(text_col)
+    repeated = rows.filter(F.col(n) > 1).withColumn(nth, F.row_number().over(first)).filter(F.col(nth) == 1)
+    return rows.filter(F.col(n) == 1).select(*df.columns).unionByName(repeated.select(*df.columns))
