@@ -28,15 +28,3 @@ def text_array(items: list[str]) -> Column:
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` evaluated once, however often ``use`` names it."""
     return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def spread(df: DataFrame, key: str, per_core: int = 3) -> DataFrame:
-    """Give every core work when a text table comes in a few splits.
-
-    Rules cost far more than reading, so a table with fewer splits than there
-    are cores is hashed by its unique key, which also parts neighbouring long
-    texts.  Larger tables keep all cores busy and stay as they are: the shuffle
-    moves less than one split per core.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(per_core * cores, key) if df.rdd.getNumPartitions() < cores else df

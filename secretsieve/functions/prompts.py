@@ -70,7 +70,12 @@ def parse_strict(response: Column) -> Column:
     return F.when(bare.isin(SECRET, NOT_SECRET), bare).otherwise(NOT_SECRET)
 
 
-def parse_loose(response: Column, chat: str = "chatml") -> Column:
-    """``Secret`` if the text after the last answer mark mentions it."""
-    answer = F.substring_index(response, CHAT_FORMATS[chat][4], -1)
+def parse_loose(response: Column, chat: str = "chatml", prompt: Column | None = None) -> Column:
+    """``Secret`` if the text after the last answer mark mentions it.  A response without the
+    mark that repeats the ``prompt`` is read from the prompt's length on."""
+    mark = CHAT_FORMATS[chat][4]
+    answer = F.substring_index(response, mark, -1)
+    if prompt is not None:
+        echoed = ~response.contains(mark) & response.startswith(prompt)
+        answer = F.when(echoed, F.substring(response, F.length(prompt) + 1, F.length(response))).otherwise(answer)
     return F.when(answer.contains(SECRET), SECRET).otherwise(NOT_SECRET)

@@ -14,6 +14,7 @@ from . import fixed_values as fv
 from .columns import text_array
 from .entropy import entropy_level, shannon_entropy
 from .regex import any_of, spark_regex, strip, whole
+from .terms import shortest_terms
 
 _KEY_VALUE = spark_regex(r"\A([a-zA-Z_][a-zA-Z0-9_]*)\s*[=:]\s*(.+)")
 _SPECIAL = r"[!@#$%^&*()_+\-=\[\]{}|;:,.<>?/\\~`]"
@@ -76,9 +77,9 @@ def is_too_plain(candidate: Column, entropy: Column) -> Column:
 
 
 def has_context_word(lowered: Column, words: list[str] | None = None) -> Column:
-    """Whether any word occurs in the lower-cased candidate; pass ``words`` to
-    search for a longer list than the default one."""
-    return F.exists(text_array(words or fv.CONTEXT_WORDS), lambda w: F.contains(lowered, w))
+    """Whether any word occurs in the lower-cased candidate.  A word that
+    contains another one cannot change the outcome and is not searched."""
+    return F.exists(text_array(shortest_terms(words or fv.CONTEXT_WORDS)), lambda w: F.contains(lowered, w))
 
 
 def complexity(candidate: Column) -> Column:

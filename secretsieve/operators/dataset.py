@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import land
 from .selection import value_at_rank
 
 SEED = 42
@@ -46,12 +47,13 @@ def add_exact_split(df: DataFrame, key: str = "issue_id", seed: int = SEED) -> D
     """Split every class in exact sizes: the rows with the smallest hashes make
     the test part, the next the validation part.  ``key`` must be unique.
 
-    The two bounds per class come from :func:`value_at_rank`, so no class is
-    ever sorted or held in one task.
+    The two bounds per class come from :func:`value_at_rank` over the landed hashes, so
+    no class is ever sorted or held in one task and ``df`` is read twice.
     """
     hashed = df.withColumn("_hash", seeded_hash(F.col(key), seed, 15))
+    hashes = land(hashed.select("label", "_hash"), "hashes")
     sizes = (
-        hashed.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+        hashes.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
         .withColumn("n_test", F.ceil(F.col("n") * TEST_SHARE))
         .withColumn("n_validation", F.ceil((F.col("n") - F.col("n_test")) * VALIDATION_SHARE))
     )
@@ -64,11 +66,10 @@ def add_exact_split(df: DataFrame, key: str = "issue_id", seed: int = SEED) -> D
             )
         ).alias("_x"),
     ).select(F.concat_ws("", "label", "_x.part").alias("_key"), F.col("_x.rank").alias("rank"))
-    doubled = hashed.select(
+    doubled = hashes.select(
         F.explode(F.array(F.concat_ws("", "label", F.lit("_t")), F.concat_ws("", "label", F.lit("_v")))).alias("_key"),
         "_hash",
     )
-    # At most two rows per class: safe to broadcast.
     bounds = (
         value_at_rank(doubled, "_hash", ranks, "_key", HASH_STEPS)
         .withColumn("_label", F.regexp_extract("_key", "^(.*)_[tv]$", 1))
@@ -78,7 +79,7 @@ def add_exact_split(df: DataFrame, key: str = "issue_id", seed: int = SEED) -> D
             F.max(F.when(F.col("_key").endswith("_v"), F.col("_hash"))).alias("_validation"),
         )
     )
-    joined = hashed.join(F.broadcast(bounds), F.col("label").cast("string") == F.col("_label"), "left")
+    joined = hashed.join(bounds, F.col("label").cast("string") == F.col("_label"), "left")
     return joined.withColumn(
         "split",
         F.when(F.col("_hash") <= F.col("_test"), "test")

@@ -98,7 +98,8 @@ def cap_hits(flags: DataFrame, per_issue: int = fv.HITS_PER_ISSUE) -> DataFrame:
 
 
 def join_issues(candidates: DataFrame, issues: DataFrame, key: str = "issue_id") -> DataFrame:
-    """Candidates with the columns of their issue."""
+    """Candidates with the columns of their issue.  Pass the columns that are needed: what
+    ``issues`` holds goes through the join."""
     return candidates.join(issues, key)
 
 

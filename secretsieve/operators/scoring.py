@@ -28,7 +28,6 @@ from ..session import shared_folder
 from .selection import top_k_per_group
 
 SEED = 42
-ROWS_PER_TASK = 50_000
 
 
 # ------------------------------------------------------------- MLlib classifiers
@@ -56,18 +55,18 @@ def distinct_vectors(train: DataFrame) -> DataFrame:
     return train.groupBy(*FEATURE_COLUMNS, "label").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
-def fit(name: str, train: DataFrame) -> PipelineModel:
+def fit(name: str, train: DataFrame, partitions: int = 4) -> PipelineModel:
     """Fit on rows with feature columns and a label.  A forest draws its samples
-    from the single rows; the others get weighted distinct vectors."""
+    from the single rows; the others get weighted distinct vectors.  Flags and rounded entropies
+    take few values, and every pass costs a task per partition: ``partitions`` hold the vectors at any size."""
     single = train.select(*FEATURE_COLUMNS, "label").withColumn("weight", F.lit(1.0))
     rows = single if name == "random_forest" else distinct_vectors(train)
     # Training reads its input many times; features are computed once.
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        size = rows.agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n")).first()
+        size = rows.agg(F.sum("weight").alias("weight")).first()
         stages = [VectorAssembler(inputCols=FEATURE_COLUMNS, outputCol="features"), classifier(name, size["weight"] or 0.0)]
-        # Every pass costs a task per partition: few vectors need few partitions.
-        return Pipeline(stages=stages).fit(rows.coalesce(size["n"] // ROWS_PER_TASK + 1))
+        return Pipeline(stages=stages).fit(rows if name == "random_forest" else rows.coalesce(partitions))
     finally:
         rows.unpersist()
 
@@ -88,6 +87,8 @@ class GaussianModel:
     variance: dict[int, list[float]]
 
     def log_likelihood(self, label: int) -> Column:
+        if label not in self.log_prior:
+            return F.lit(float("-inf"))
         terms = [
             (F.col(f).cast("double") - F.lit(m)) ** 2 / F.lit(v)
             for f, m, v in zip(self.features, self.mean[label], self.variance[label])
@@ -103,16 +104,19 @@ class GaussianModel:
 
 
 def fit_gaussian(train: DataFrame, features: list[str] | None = None) -> GaussianModel:
-    """Fit from one grouped pass; only the two rows of moments reach the driver."""
+    """Fit from one grouped pass; only the two rows of moments reach the driver.  A class without rows is
+    impossible: its log likelihood is that of no prior.  Both classes missing is an error."""
     features = features or FEATURE_COLUMNS
     moments = [e for f in features for e in (F.avg(f).alias(f"m_{f}"), F.var_pop(F.col(f).cast("double")).alias(f"v_{f}"))]
     rows = {r["label"]: r for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *moments).collect()}
     n = sum(r["n"] for r in rows.values())
+    if not n:
+        raise ValueError("no training rows")
     overall = []
     for f in features:
         centre = sum(r["n"] * r[f"m_{f}"] for r in rows.values()) / n
         overall.append(sum(r["n"] * (r[f"v_{f}"] + (r[f"m_{f}"] - centre) ** 2) for r in rows.values()) / n)
-    floor = 1e-9 * max(overall)
+    floor = 1e-9 * max(overall) or 1e-9  # features that never vary
     return GaussianModel(
         features,
         {c: math.log(r["n"] / n) for c, r in rows.items()},

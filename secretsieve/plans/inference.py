@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import once
 from ..functions.rules import add_verdict
-from ..functions.text import clean_for_inference, context_window
+from ..functions.text import clean_for_inference
 from ..operators import extract, relational
 from ..operators.extract import Rule
 
@@ -16,13 +16,12 @@ def extract_candidates(issues: DataFrame, rules: list[Rule] | None = None, text:
     """Clean every text, find all candidates, keep the first rule per issue and
     candidate, and cut the window.
 
-    Each candidate leaves its text behind as soon as it has its window, so the
-    only shuffle (the de-duplication) carries windows, not texts.
+    Windows are cut before the candidates become rows, so neither those rows nor the
+    only shuffle (the de-duplication) carry texts.
     """
     cleaned = once(issues, "clean_text", clean_for_inference(F.col(text)))
-    matches = extract.all_matches(cleaned, rules, body="clean_text", keep=["issue_id", "clean_text"])
-    windowed = matches.withColumn("context_window", context_window(F.col("clean_text"), F.col("candidate_string")))
-    return relational.first_pattern_per_candidate(windowed.drop("clean_text"))
+    matches = extract.all_matches(cleaned, rules, body="clean_text", context=True)
+    return relational.first_pattern_per_candidate(matches)
 
 
 def score_candidates(issues: DataFrame, rules: list[Rule] | None = None, text: str = "text") -> DataFrame:

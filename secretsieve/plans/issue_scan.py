@@ -13,16 +13,16 @@ def scan_issues(
     issues: DataFrame, skip: DataFrame | None = None, rules: list[Rule] | None = None,
     terms: list[str] | None = None, strict: bool = False,
 ) -> DataFrame:
-    """First hit of every issue: skip list, keyword prefilter, scan, one row per URL.
+    """First hit of every issue: keyword prefilter, scan, skip list, one row per URL; without bodies.
 
-    ``issues`` needs url and body; the scan is a projection and only hits reach
-    the shuffle of the last step.
+    ``issues`` needs url and body; the scan is a projection and only hits, which leave their bodies
+    behind, reach a shuffle.
     """
-    if skip is not None:
-        issues = relational.exclude_known(issues, skip, ["url"])
     if terms:
         issues = relational.keyword_filter(issues, terms)
-    hits = (extract.strict_scan if strict else extract.first_match_scan)(issues, rules)
+    hits = (extract.strict_scan if strict else extract.first_match_scan)(issues, rules).drop("body")
+    if skip is not None:
+        hits = relational.exclude_known(hits, skip, ["url"])
     return relational.first_per_url(hits, [F.col("issue_id")])
 
 
@@ -37,9 +37,9 @@ def scan_recent(
 ) -> DataFrame:
     """All rules on the newest issues of every repository, at most ``per_issue`` hits each.
 
-    The newest issues are chosen on narrow rows; bodies join back afterwards.
+    The newest issues are chosen on narrow rows; bodies are joined once, with the chosen ids.
     """
-    open_issues = relational.exclude_known(relational.only_issues(issues), skip, ["url"])
-    newest = relational.recent_issues(open_issues.select("repo", "created_at", "issue_id"), per_repo)
-    chosen = open_issues.join(newest.select("issue_id"), "issue_id", "left_semi")
+    narrow = relational.only_issues(issues).select("repo", "created_at", "issue_id", "url")
+    newest = relational.recent_issues(relational.exclude_known(narrow, skip, ["url"]), per_repo)
+    chosen = issues.join(newest.select("issue_id"), "issue_id", "left_semi")
     return extract.pattern_flags(chosen, rules, per_issue=per_issue)

@@ -32,8 +32,10 @@ def _hashed(df):
 
 @query("A1_csv_dataset", q.with_views("labelled", _LABELLED_TEXT))
 def csv_dataset(spark, folder):
+    # As other programs write it: an index first, another order, another case.
     path = shared_folder(spark, "labelled")
-    sinks.append_csv(_labelled_rows(spark, folder), path)
+    rows = _labelled_rows(spark, folder).withColumn("", F.col("issue_id")).withColumnRenamed("issue_id", "Issue_id")
+    sinks.append_csv(rows.select("", "Issue_id", "label", "text", "candidate_string"), path)
     return _hashed(readers.read_csv_dataset(spark, path, LABELLED))
 
 
@@ -76,12 +78,33 @@ def pattern_catalog(spark, folder):
     return readers.clean_catalog(_catalog(spark, folder))
 
 
+# Rules in another dialect: words that end like the name of a region.
+_RULE = "SELECT r_name AS secret_type, '(?P<the_word>[a-z]+' || lower(substr(r_name, 1, 2)) || ')[.,]\\s' AS pattern, r_regionkey FROM region"
+
+
+@query("A3_catalog_scan", q.with_views("", """SELECT d.doc_id AS issue_id, r.secret_type, regexp_extract(d.text, '(?i)' || r.pattern, 0) AS candidate_string
+    FROM documents d, rules r WHERE regexp_matches(d.text, '(?i)' || r.pattern)
+    QUALIFY row_number() OVER (PARTITION BY d.doc_id ORDER BY r.r_regionkey) = 1""",
+    rules="SELECT secret_type, replace(pattern, '(?P<the_word>', '(') AS pattern, r_regionkey FROM (" + _RULE + ")"))
+def catalog_scan(spark, folder):
+    """A catalog file, its rules, and a scan with them."""
+    path = shared_folder(spark, "catalog")
+    pattern = F.concat(F.lit("(?P<the_word>[a-z]+"), F.lower(F.substring("r_name", 1, 2)), F.lit(r")[.,]\s"))
+    rules = views.table(spark, folder, "region").select(
+        F.format_string("P%03d", "r_regionkey").alias("Pattern_ID"), F.col("r_name").alias("Secret Type"), pattern.alias("Regular Expression"), F.lit("made").alias("Source"))
+    broken = spark.createDataFrame([("P000a", "Broken", "(", "made"), ("P000b", "Empty", "  ", "made")], rules.schema)
+    sinks.append_csv(rules.unionByName(broken), path)
+    issues = views.issues_text(spark, folder)
+    hits = extract.first_match_scan(issues, readers.load_rules(readers.read_catalog(spark, path)), body="text")
+    return hits.select("issue_id", "secret_type", "candidate_string")
+
+
 @query("A4_url_list", q.with_views("", "SELECT DISTINCT url FROM pages"))
 def url_list(spark, folder):
     path = shared_folder(spark, "urls")
     pages = views.table(spark, folder, "pages")
     # Twice, padded, with blank lines in between.
-    lines = F.explode(F.array(F.col("url"), F.concat(F.lit("  "), "url", F.lit(" ")), F.lit("   "), F.lit("")))
+    lines = F.explode(F.array(F.col("url"), F.concat(F.lit(" \t"), "url", F.lit("\u00a0")), F.lit("   "), F.lit("")))
     pages.select(lines.alias("value")).write.text(path)
     return readers.read_url_list(spark, path)
 
@@ -100,7 +123,10 @@ def metadata(spark, folder):
         # A stamp that does not parse must end as NULL.
         F.coalesce(F.date_format("closed_at", _ISO), F.lit("still open")).alias("closed_at"))
     issues.select(*ISSUE_META.names).write.json(f"{base}/issues")
-    views.repos(spark, folder).select(*REPO.names).write.json(f"{base}/repos")
+    # As other programs write it: files of one array, the size under another name.
+    rows = views.repos(spark, folder).withColumnRenamed("size_kb", "size")
+    array = F.to_json(F.collect_list(F.struct(*[c if c != "size_kb" else "size" for c in REPO.names])))
+    rows.groupBy((F.col("forks") % 5).alias("part")).agg(array.alias("value")).write.partitionBy("part").text(f"{base}/repos")
     read = readers.read_issue_metadata(spark, f"{base}/issues")
     none = readers.read_repos(spark, f"{base}/missing")
     repos = readers.read_repos(spark, f"{base}/repos").unionByName(none)
@@ -242,8 +268,8 @@ def cap_hits(spark, folder):
     FROM matches JOIN texts USING (issue_id)""", matches=q.ALL_MATCHES))
 def join_issues(spark, folder):
     issues = views.texts(spark, folder)
-    joined = relational.join_issues(extract.all_matches(issues, body="text"), issues)
-    return joined.select("issue_id", "pattern_rank", "candidate_string", F.length("text").alias("n_chars"))
+    joined = relational.join_issues(extract.all_matches(issues, body="text"), issues.select("issue_id", F.length("text").alias("n_chars")))
+    return joined.select("issue_id", "pattern_rank", "candidate_string", "n_chars")
 
 
 _TERMS = list(dict.fromkeys([*broad_terms(), *views.EXTRA_TERMS]))
@@ -265,6 +291,13 @@ def keyword_filter_strict(spark, folder):
     return relational.keyword_filter(views.texts(spark, folder), _STRICT, "text").select("issue_id")
 
 
+@query("B11_strict_on_derived", q.with_views(
+    "derived_texts", f"SELECT issue_id, term FROM derived_texts, (SELECT unnest({q.listed(_STRICT)}) AS term) WHERE contains(lower(text), term)"))
+def strict_on_derived(spark, folder):
+    texts = relational.keyword_filter(views.derived_texts(spark, folder), _STRICT, "text")
+    return relational.matched_terms(texts, _STRICT, "text").select("issue_id", "term")
+
+
 @query("B12_keyword_yield", q.with_views(
     "texts", "SELECT term, count(*) AS n_issues, count(h.issue_id) AS n_hits FROM mentions m LEFT JOIN hits h USING (issue_id) GROUP BY 1",
     mentions=_MENTIONS, hits=f"SELECT issue_id FROM texts WHERE {q.first_match('text', 'rank')} IS NOT NULL"))

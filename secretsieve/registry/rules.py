@@ -109,6 +109,21 @@ def funnel(spark, folder):
     return rules.verdict_funnel(rules.add_verdict(views.token_candidates(spark, folder)))
 
 
+# The given texts reach few rules; strings in the forms of keys reach the others.
+@query("E_rules_on_derived", q.with_views("derived_candidates", f"""SELECT {ROW}, {q.HARMLESS} AS shape, {q.DUMMY} AS mark, {q.SERVICE} AS service,
+    {q.CONTEXT}::INT AS has_word, {q.COMPLEXITY} AS score, ({q.level(q.entropy('c'))} > 4.5 AND length(c) >= 24)::INT AS very_random,
+    CASE WHEN {q.level(q.entropy('c'))} > 4.0 THEN {q.UNKNOWN} END AS format, {q.KEY_VALUE}::INT AS is_pair, label, stage, rule FROM shaped_again""",
+    **q.verdicts("derived_candidates"), shaped_again=f"SELECT *, {q.TRIMMED} AS c, lower({q.TRIMMED}) AS low FROM verdicts"))
+def rules_on_derived(spark, folder):
+    rows = rules.add_verdict(views.derived_candidates(spark, folder)).withColumn("low", F.lower(C()))
+    entropy = shannon_entropy(C())
+    return rows.select(
+        *KEYS, rules.harmless_shape(F.col("low")).alias("shape"), rules.dummy_mark(F.col("low")).alias("mark"),
+        rules.service_format(C()).alias("service"), rules.has_context_word(F.col("low")).cast("int").alias("has_word"),
+        rules.complexity(C()).alias("score"), rules.is_very_random(C(), entropy).cast("int").alias("very_random"),
+        rules.unknown_format(C(), entropy).alias("format"), rules.is_key_value(C()).cast("int").alias("is_pair"), "label", "stage", "rule")
+
+
 # ------------------------------------------------------------------- features
 _E, _L = q.entropy("c0"), q.level(q.entropy("c0"))
 _TRIM = f"trim(c0, {q.SPACES})"

@@ -27,19 +27,35 @@ _PARTS = {
 
 
 # --------------------------------------------------------------- F1-F5: models
+# A fitted model has no SQL form.  Its confusions must cover both parts, and where it has learned it must be right
+# at least as often as a guess of the larger class.
+_TOTALS = """SELECT {model} AS model, part, count(*) FILTER (label = 1) AS n_positive, count(*) FILTER (label = 0) AS n_negative, TRUE AS good
+    FROM (SELECT label, 'test' AS part FROM test UNION ALL SELECT label, 'train' FROM train) GROUP BY part"""
+
+
+def _judged(train, test):
+    """Both parts with ``model`` and ``prediction``."""
+    rows = train.select("model", "label", "prediction", F.lit("train").alias("part")).unionByName(
+        test.select("model", "label", "prediction", F.lit("test").alias("part")))
+    cells = evaluate.confusion(rows, ["model", "part"])
+    positive, negative = F.col("tp") + F.col("fn"), F.col("tn") + F.col("fp")
+    right = F.col("tp") + F.col("tn") >= F.greatest(positive, negative)
+    return cells.select("model", "part", positive.alias("n_positive"), negative.alias("n_negative"), ((F.col("part") == "test") | right).alias("good"))
+
+
 def _fitted(name: str, model: str):
-    @query(name)
+    @query(name, q.with_views("labelled_tokens", _TOTALS.format(model=q.quote(model)), **_PARTS))
     def run(spark, folder):
-        """Fits on the training part and returns the confusion of the test part."""
+        """Fits on the training part and judges the confusions of both parts."""
         train, test = _featured(spark, folder)
-        return evaluate.confusion(scoring.predict(scoring.fit(model, train), test).withColumn("model", F.lit(model)), ["model"])
+        fitted = scoring.fit(model, train)
+        return _judged(*[scoring.predict(fitted, part).withColumn("model", F.lit(model)) for part in (train, test)])
 
 
 _fitted("F1_decision_tree", "decision_tree")
 _fitted("F2_random_forest", "random_forest")
 _fitted("F3_logistic_regression", "logistic_regression")
 _fitted("F4_linear_svm", "linear_svm")
-_fitted("F5_naive_bayes_fitted", "naive_bayes")
 
 _MOMENTS = "SELECT label, count(*) AS n, " + ", ".join(f"avg({f}) AS m_{f}, var_pop({f}::DOUBLE) AS v_{f}" for f in FEATURE_COLUMNS) + " FROM train GROUP BY 1"
 _FLOOR = "SELECT 1e-9 * greatest(" + ", ".join(f"var_pop({f}::DOUBLE)" for f in FEATURE_COLUMNS) + ") AS eps FROM train"
@@ -55,6 +71,14 @@ def gaussian_naive_bayes(spark, folder):
     return scoring.fit_gaussian(train).score(test).select("id", "prediction")
 
 
+@query("F5_naive_bayes_fitted", q.with_views("labelled_tokens", """SELECT id,
+    (max(ll) FILTER (class = 1) > max(ll) FILTER (class = 0))::INT AS prediction FROM likelihoods GROUP BY 1""",
+    **_PARTS, moments=_MOMENTS, floors=_FLOOR, likelihoods=_LIKELIHOOD))
+def naive_bayes_fitted(spark, folder):
+    train, test = _featured(spark, folder)
+    return scoring.predict(scoring.fit("naive_bayes", train), test).select("id", "prediction")
+
+
 # ------------------------------------------------------------------ F6: neighbours
 _BITS = " + ".join(f"({name}::BIGINT << {i})" for i, name in enumerate(FLAG_COLUMNS))
 _VECTOR = f"SELECT id, label, {_BITS} AS bits, round(entropy_value * 1000000)::BIGINT AS micro FROM "
@@ -77,20 +101,24 @@ def majority_vote(spark, folder):
     return scoring.majority_vote(wide, names).select("issue_id", "prediction")
 
 
-@query("F7_fitted_vote")
+@query("F7_fitted_vote", q.with_views("labelled_tokens", _TOTALS.format(model="'vote'"), **_PARTS))
 def fitted_vote(spark, folder):
-    """Logistic regression, linear SVM and naive Bayes vote on the test part."""
+    """Logistic regression, linear SVM and naive Bayes vote on both parts."""
     train, test = _featured(spark, folder)
     train = train.persist()
     try:
-        names = ["logistic_regression", "linear_svm"]
-        for name in names:
-            test = scoring.predict(scoring.fit(name, train), test, name)
+        models = {name: scoring.fit(name, train) for name in ("logistic_regression", "linear_svm")}
         gaussian = scoring.fit_gaussian(train)
     finally:
         train.unpersist()
-    voted = scoring.majority_vote(gaussian.score(test).withColumnRenamed("prediction", "naive_bayes"), [*names, "naive_bayes"])
-    return evaluate.confusion(voted)
+
+    def voted(part):
+        for name, model in models.items():
+            part = scoring.predict(model, part, name)
+        part = gaussian.score(part).withColumnRenamed("prediction", "naive_bayes")
+        return scoring.majority_vote(part, [*models, "naive_bayes"]).withColumn("model", F.lit("vote"))
+
+    return _judged(voted(train), voted(test))
 
 
 @query("F8_average_probabilities", q.with_views("", """SELECT doc_id, p1 AS candidate_prob_1, p2 AS context_prob_1, round((p1 + p2) / 2, 6) AS ensemble_prob_1,
@@ -150,10 +178,15 @@ def parse_strict(spark, folder):
     return views.responses(spark, folder).select("conv_id", "turn", prompts.parse_strict(F.col("response")).alias("predicted_label"))
 
 
-@query("F12_parse_loose", q.with_views("responses", """SELECT conv_id, turn, CASE WHEN contains(string_split(response, '<|im_start|>assistant')[-1], 'Secret')
-    THEN 'Secret' ELSE 'Non-sensitive' END AS predicted_label FROM responses"""))
+# Every third conversation echoes its prompt, which names both labels, without an answer mark.
+@query("F12_parse_loose", q.with_views("responses", f"""SELECT conv_id, turn, CASE WHEN contains(string_split(
+        CASE WHEN conv_id % 3 = 0 AND NOT contains(response, '<|im_start|>assistant') THEN substr(echoed, length({q.quote(prompts.TASK)}) + 1)
+        ELSE echoed END, '<|im_start|>assistant')[-1], 'Secret') THEN 'Secret' ELSE 'Non-sensitive' END AS predicted_label FROM answers""",
+    answers=f"SELECT *, CASE WHEN conv_id % 3 = 0 THEN {q.quote(prompts.TASK)} || response ELSE response END AS echoed FROM responses"))
 def parse_loose(spark, folder):
-    return views.responses(spark, folder).select("conv_id", "turn", prompts.parse_loose(F.col("response")).alias("predicted_label"))
+    prompt = F.lit(prompts.TASK)
+    echoed = F.when(F.col("conv_id") % 3 == 0, F.concat(prompt, "response")).otherwise(F.col("response"))
+    return views.responses(spark, folder).select("conv_id", "turn", prompts.parse_loose(echoed, prompt=prompt).alias("predicted_label"))
 
 
 # ------------------------------------------------------------------- F13-F14: scorer

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions import fixed_values as fv
 from ..functions.regex import SPACE_CHARACTERS, any_of, spark_regex, whole
 from ..functions.text import _NOT_AFTER_WORD, _NOT_BEFORE_WORD, NOISE_RULES, URL_RULES
@@ -18,9 +20,12 @@ def listed(items: list[str]) -> str:
 
 
 def plain(pattern: str) -> str:
-    """A Java pattern for RE2: greedy loops, and a word boundary for a look-around."""
+    """A Java pattern for RE2: greedy loops, and a word boundary or nothing for a look-around.
+
+    A look-behind on the class of the loop behind it only says that a run is entered at its start,
+    which the leftmost match is anyway."""
     return (
-        pattern.replace(_NOT_AFTER_WORD, r"\b").replace(_NOT_BEFORE_WORD, r"\b")
+        re.sub(r"^\(\?<!(\[[^\]]+\])\)(?=\1)", "", pattern).replace("}+", "}").replace(_NOT_AFTER_WORD, r"\b").replace(_NOT_BEFORE_WORD, r"\b")
         .replace("(?<![0-9a-fA-F-])", "").replace("++", "+").replace("*+", "*")
     )
 
@@ -65,6 +70,10 @@ VIEWS = {
         FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_custkey % 3 <> 0""",
     "leaks": "SELECT repo_full_name AS full_name, count(*) AS leaks FROM issues_meta GROUP BY ALL",
     "counted": "SELECT r.*, coalesce(l.leaks, 0) AS leaks FROM repos r LEFT JOIN leaks l USING (full_name)",
+    "derived_candidates": f"""SELECT c_custkey AS issue_id, unnest([{', '.join(views.DERIVED)}]) AS candidate_string
+        FROM (SELECT *, md5(c_name) AS h, to_base64(unhex(md5(c_name) || md5('r' || c_name))) AS r FROM customer)""",
+    "derived_texts": f"""SELECT c_custkey AS issue_id, concat_ws(chr(10), {', '.join(views.DERIVED)}) AS text
+        FROM (SELECT *, md5(c_name) AS h, to_base64(unhex(md5(c_name) || md5('r' || c_name))) AS r FROM customer)""",
     "stream_hits": """SELECT event_id, 'user/' || user_id AS url, ts AS created_at, event_type AS secret_type FROM events""",
 }
 _NEEDS = {
@@ -167,7 +176,7 @@ def first_match(text: str, field: str, accept: str = "") -> str:
     """The rank, type or text of the first rule in catalog order."""
     cases = []
     for rank, rule in enumerate(CATALOG, 1):
-        pattern = quote("(?i)" + rule.pattern)
+        pattern = quote("(?i)" + plain(rule.pattern))
         match = f"regexp_extract({text}, {pattern}, 0)"
         value = {"rank": str(rank), "type": quote(rule.name), "match": match}[field]
         test = f"regexp_matches({text}, {pattern})" + (f" AND {accept.format(match=match)}" if accept else "")
@@ -178,7 +187,7 @@ def first_match(text: str, field: str, accept: str = "") -> str:
 def every_rule(template: str) -> str:
     """UNION ALL over the catalog; ``{rank} {type} {pattern}`` are filled in."""
     return " UNION ALL ".join(
-        template.format(rank=i, type=quote(r.name), pattern=quote(r.pattern), pattern_i=quote("(?im)" + r.pattern))
+        template.format(rank=i, type=quote(r.name), pattern=quote(plain(r.pattern)), pattern_i=quote("(?im)" + plain(r.pattern)))
         for i, r in enumerate(CATALOG, 1)
     )
 

@@ -73,8 +73,8 @@ def all_matches(spark, folder):
     "texts", f"""SELECT m.issue_id, pattern_rank, candidate_string, {q.window('x.text', 'candidate_string')} AS context_window
     FROM matches m JOIN texts x USING (issue_id)""", matches=q.ALL_MATCHES))
 def context_window(spark, folder):
-    matches = extract.all_matches(views.texts(spark, folder), body="text", keep=["issue_id", "text"])
-    return extract.add_context(matches).select("issue_id", "pattern_rank", "candidate_string", "context_window")
+    matches = extract.all_matches(views.texts(spark, folder), body="text", context=True)
+    return matches.select("issue_id", "pattern_rank", "candidate_string", "context_window")
 
 
 # Half the candidates are upper-cased, so that some are not in their text.
@@ -114,6 +114,14 @@ def hits_per_type(spark, folder):
     return extract.hits_per_type(extract.all_matches(views.texts(spark, folder), body="text"))
 
 
+@query("D9_hits_on_derived", q.with_views(
+    "derived_texts", "SELECT secret_type, count(*) AS n_candidates, count(DISTINCT issue_id) AS n_issues FROM matches GROUP BY 1",
+    matches=q.ALL_MATCHES.replace("FROM texts", "FROM derived_texts")))
+def hits_on_derived(spark, folder):
+    """Most rules of the catalog find something in these texts."""
+    return extract.hits_per_type(extract.all_matches(views.derived_texts(spark, folder), body="text"))
+
+
 @query("D_scored_candidates", q.with_views(
     "texts", "SELECT issue_id, candidate_string, secret_type, context_window, label AS prediction, stage FROM verdicts",
     cleaned=f"SELECT issue_id, {q.stripped(q.normalized('text'), urls=True)} AS text FROM texts",

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import spread
 from ..functions.text import context_window
 from ..operators.dataset import add_split
 
@@ -14,6 +13,21 @@ TITLES = [
     "Documentation page is outdated", "How do I run this?", "Weekly sync notes",
 ]
 ANSWERS = ["Secret", ' "Non-sensitive" ', "maybe", "<|im_start|>assistant Secret."]
+# Strings in the forms of keys, written so that both engines read them: h and r are a hash and
+# random-looking base64 of a customer.
+DERIVED = [
+    "'AKIA' || upper(substr(h, 1, 16))", "'ghp_' || h || substr(h, 1, 4)", "'glpat-' || substr(r, 1, 20)",
+    "'sk_live_' || substr(h, 1, 24)", "'xoxb-' || c_custkey || '-' || substr(h, 1, 12)", "'AC' || h",
+    "'npm_' || h || substr(h, 1, 4)", "'shpss_' || h", "'AIza' || substr(h || r, 1, 35)",
+    "'SG.' || substr(h, 1, 22) || '.' || substr(h || r, 1, 43)", "'sk-' || h", "'ya29.' || substr(h, 1, 25)",
+    "'eyJ' || substr(h, 1, 12) || '.eyJ' || substr(h, 13, 12) || '.' || h",
+    "'postgres://u' || c_custkey || ':' || substr(h, 1, 10) || '@h' || c_nationkey || '/d'",
+    "'https://hooks.slack.com/services/T' || upper(substr(h, 1, 8)) || '/B' || upper(substr(h, 9, 8)) || '/' || substr(h, 1, 24)",
+    "'Bearer ' || r", "'password=' || substr(r, 1, 12)", "'secret: ' || substr(h, 1, 20)", "'token = ' || substr(r, 1, 24)",
+    "'-----BEGIN RSA PRIVATE KEY-----'", "'c' || c_custkey || '@' || substr(h, 1, 6) || '.example'", "c_name",
+    "substr(r, 1, 24)", "substr(r, 3, 30)", "substr(translate(lower(r), '+/=', ''), 1, 30)", "substr(translate(lower(r), '+/=', ''), 5, 26)",
+    "substr(translate(upper(r), '+/=', ''), 1, 22)", "substr(translate(lower(r), '+/=', ''), 1, 20)", "substr(h, 1, 8) || 'xxxx' || substr(h, 9, 8)",
+]
 EXTRA_TERMS = ["license", "copyright", "example.com", "token"]
 
 
@@ -22,7 +36,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "documents"), "doc_id")
+    return table(spark, folder, "documents")
 
 
 def issues_text(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,7 +55,7 @@ def skip_urls(spark: SparkSession, folder: str) -> DataFrame:
 
 def texts(spark: SparkSession, folder: str) -> DataFrame:
     """Documents and web pages: prose, markup, links and paths."""
-    pages = spread(table(spark, folder, "pages"), "page_id")
+    pages = table(spark, folder, "pages")
     return documents(spark, folder).select(F.concat(F.lit("doc/"), F.col("doc_id")).alias("issue_id"), "text").unionByName(
         pages.select(F.concat(F.lit("page/"), F.col("page_id")).alias("issue_id"), F.col("html").alias("text"))
     )
@@ -119,6 +133,20 @@ def repos(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def derived_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """Strings in the forms of keys, made from every customer."""
+    rows = table(spark, folder, "customer").withColumn("h", F.md5("c_name"))
+    rows = rows.withColumn("r", F.base64(F.unhex(F.concat("h", F.md5(F.concat(F.lit("r"), "c_name"))))))
+    return rows.select(F.col("c_custkey").alias("issue_id"), F.explode(F.array(*[F.expr(e) for e in DERIVED])).alias("candidate_string"))
+
+
+def derived_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The derived strings of a customer as the lines of an issue."""
+    rows = table(spark, folder, "customer").withColumn("h", F.md5("c_name"))
+    rows = rows.withColumn("r", F.base64(F.unhex(F.concat("h", F.md5(F.concat(F.lit("r"), "c_name"))))))
+    return rows.select(F.col("c_custkey").alias("issue_id"), F.concat_ws("\n", *[F.expr(e) for e in DERIVED]).alias("text"))
+
+
 def issues_meta(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as issues of two thirds of the repositories."""
     orders = table(spark, folder, "orders").filter(F.col("o_custkey") % 3 != 0)

@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.regex import spark_regex, strip
 from ..operators.extract import Rule
 from ..schemas import ISSUE_META, LABELLED, REPO
 
-MAX_RULES = 10_000
-
 
 def read_csv_dataset(spark: SparkSession, path: str, schema: T.StructType = LABELLED) -> DataFrame:
     """CSV with a header whose texts may hold line breaks and doubled quotes.
 
-    Such a file cannot be split, so land it as Parquet once (see ``sinks``) and
-    give large sets as many files.
+    Columns are found by their header, ignoring case, whatever their order; others (such as a
+    leading index) are not read.  A value that does not fit its type is NULL.  Such a file cannot be split, so
+    land it as Parquet once (see ``sinks``) and give large sets as many files.
     """
     options = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
-    return spark.read.schema(schema).options(**options).csv(path)
+    rows = spark.read.options(**options).csv(path)
+    places = {name.lower(): i for i, name in reversed(list(enumerate(rows.columns)))}
+    missing = [f.name for f in schema if f.name.lower() not in places]
+    if missing:
+        raise KeyError(f"missing columns: {missing}")
+    rows = rows.toDF(*[f"_c{i}" for i in range(len(rows.columns))])
+    return rows.select(*[F.col(f"_c{places[f.name.lower()]}").try_cast(f.dataType).alias(f.name) for f in schema])
 
 
 def read_dataset(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -44,11 +52,11 @@ def clean_catalog(catalog: DataFrame, order: str = "pattern_id") -> DataFrame:
     A catalog is short, so one task may number it.
     """
     place = F.row_number().over(W.orderBy(order))
-    name = F.nullif(F.trim("secret_type"), F.lit(""))
+    name = F.nullif(strip(F.col("secret_type")), F.lit(""))
     return (
         catalog.withColumn("_place", place)
         .withColumn("secret_type", F.coalesce(name, F.concat(F.lit("Pattern_"), F.col("_place").cast("string"))))
-        .withColumn("pattern", F.trim("pattern"))
+        .withColumn("pattern", strip(F.col("pattern")))
         .filter(F.col("pattern").isNotNull() & (F.col("pattern") != ""))
         .withColumn("pattern_rank", F.row_number().over(W.orderBy("_place")))
         .select("pattern_rank", "secret_type", "pattern")
@@ -64,27 +72,42 @@ def compiles(spark: SparkSession, pattern: str) -> bool:
         return False
 
 
-def load_rules(catalog: DataFrame, order: str = "pattern_id", limit: int = MAX_RULES) -> list[Rule]:
-    """The usable rules of a catalog, in order; patterns that do not compile are skipped.
+def java_pattern(pattern: str) -> str:
+    """A catalog's pattern in the dialect of Spark's matcher: named groups, the end of the
+    text and the Unicode classes are spelled differently."""
+    names = lambda m: f"{m[1]}{m[2].replace('_', '')}{m[3]}"  # names have no underscores there
+    pattern = re.sub(r"\(\?P(<)(\w+)(>)", lambda m: "(?" + names(m), pattern)
+    pattern = re.sub(r"\(\?P=(\w+)\)", lambda m: rf"\k<{m[1].replace('_', '')}>", pattern)
+    return spark_regex(re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", pattern))
+
 
-    The patterns become literals of a projection, so they must live on the
-    driver; a catalog above ``limit`` is an error, not a cut.
+def load_rules(catalog: DataFrame, order: str = "pattern_id") -> list[Rule]:
+    """The usable rules of a catalog, in order, translated; patterns that do not compile are skipped.
+
+    A catalog is a configuration: its patterns become literals of a projection.
     """
-    rows = clean_catalog(catalog, order).orderBy("pattern_rank").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"the catalog has more than {limit} rules")
-    spark = catalog.sparkSession
-    return [Rule(r["secret_type"], r["pattern"]) for r in rows if compiles(spark, r["pattern"])]
+    rows = clean_catalog(catalog, order).orderBy("pattern_rank").collect()
+    rules = [Rule(r["secret_type"], java_pattern(r["pattern"])) for r in rows]
+    return [r for r in rules if compiles(catalog.sparkSession, r.pattern)]
+
+
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """A catalog file (CSV): Pattern_ID, Secret Type, Regular Expression."""
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in ("Pattern_ID", "Secret Type", "Regular Expression")])
+    return read_csv_dataset(spark, path, schema).toDF("pattern_id", "secret_type", "pattern")
 
 
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:
     """One URL per line; blank lines and repeats go."""
-    return spark.read.text(path).select(F.trim("value").alias("url")).filter("url <> ''").distinct()
+    return spark.read.text(path).select(strip(F.col("value")).alias("url")).filter("url <> ''").distinct()
 
 
 def _read_json_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """JSON lines, or files that hold one array each (which cannot be split)."""
     try:
-        return spark.read.schema(schema).json(path)
+        first = spark.read.text(path).select(strip(F.col("value")).alias("line")).filter("line <> ''").first()
+        arrays = first is not None and first["line"].startswith("[")
+        return spark.read.schema(schema).option("multiLine", arrays).json(path).select(*schema.names)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -92,8 +115,9 @@ def _read_json_or_empty(spark: SparkSession, path: str, schema: T.StructType) ->
 
 
 def read_repos(spark: SparkSession, path: str) -> DataFrame:
-    """Repository metadata; no rows if there is no file."""
-    return _read_json_or_empty(spark, path, REPO)
+    """Repository metadata; no rows if there is no file.  The size in KB may be called ``size``."""
+    rows = _read_json_or_empty(spark, path, T.StructType([*REPO.fields, T.StructField("size", T.LongType())]))
+    return rows.withColumn("size_kb", F.coalesce("size_kb", "size")).select(*REPO.names)
 
 
 def read_issue_metadata(spark: SparkSession, path: str) -> DataFrame:

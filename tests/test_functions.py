@@ -209,15 +209,22 @@ def test_stages_and_label_agree(spark):
 
 
 def test_context_words_can_be_extended(spark):
-    low = ["my mailchimp", "nothing of note", "apikey"]
+    low = ["my wombat", "nothing of note", "apikey"]
     assert column(spark, low, rules.has_context_word) == [False, False, True]
-    assert column(spark, low, lambda c: rules.has_context_word(c, fv.CONTEXT_WORDS + ["mailchimp"])) == [True, False, True]
-
-
-def test_word_lists_have_no_redundant_word():
-    words = fv.CONTEXT_WORDS
-    assert len(words) == len(set(words))
-    assert not [(a, b) for a in words for b in words if a != b and b in a]
+    assert column(spark, low, lambda c: rules.has_context_word(c, fv.CONTEXT_WORDS + ["wombat"])) == [True, False, True]
+    probes = ["wallet", "cdn", "klaviyo", "openai", "tiktok", "route53", "cockroachdb", "adyen"]
+    assert all(column(spark, probes, rules.has_context_word))
+
+
+def test_word_lists_are_whole():
+    assert [len(x) for x in (fv.CONTEXT_WORDS, terms.broad_terms(), terms.strict_terms())] == [331, 327, 224]
+    for listed in (fv.CONTEXT_WORDS, terms.broad_terms(), terms.strict_terms()):
+        assert len(listed) == len(set(listed)) and all(x == x.lower() for x in listed)
+    found = lambda text, listed: any(t in text.lower() for t in listed)
+    for text in ('{"client_secret": "abc"}', "{'authorization': 'x'}", "ssh_private_key"):
+        assert found(text, terms.broad_terms())
+    for text in ("ghp_1abc", "sk-proj-abc", "AKIAJ", '{"bot_token": 1}'):
+        assert found(text, terms.strict_terms())
     for listed in (terms.broad_terms(), terms.strict_terms()):
         short = terms.shortest_terms(listed)
         assert all(any(s in x for s in short) for x in listed)

@@ -127,6 +127,33 @@ def test_all_matches_is_case_sensitive_and_distinct(spark):
     assert sorted((r["candidate_string"], r["secret_type"]) for r in firsts.collect()) == [("k1", "a"), ("k2", "a")]
 
 
+VALUES = {
+    "code_host_token": ("ghp_", "a1B", ""), "code_host_pat": ("github_pat_", "a1B", ""), "chat_token": ("xoxb-", "a1B", ""),
+    "chat_webhook": ("https://hooks.slack.com/services/", "a1B", ""), "oauth_access": ("ya29.", "a1B", ""), "payment_key": ("sk_live_", "a1B", ""),
+    "mail_key": ("SG.abcdefghijklmnopqrst.", "a1B", ""), "model_key": ("sk-", "a1B", ""), "signed_token": ("eyJabcdef.eyJabcdef.", "a1B", ""),
+    "url_with_password": ("db://user:", "a1B", "@host"), "bearer_header": ("Bearer ", "a1B", ""), "basic_header": ("Basic ", "a1B", ""),
+    "password_assignment": ("password=", "a1B", ""), "secret_assignment": ("secret=", "a1B", ""), "token_assignment": ("token=", "a1B", ""),
+    "key_assignment": ("key=", "a1B", ""), "hex_key": ("", "a1b", ""), "mail_login": ("", "a1B", "@host.example"),
+}
+
+
+@pytest.mark.parametrize("size", [300, 5000, 100_000])
+def test_long_values_stay_whole(spark, size):
+    """No rule cuts a value, and two that differ at their end stay two."""
+    made = {n: [a + (v * size)[:size] + last + z for last in "ef"] for n, (a, v, z) in VALUES.items()}
+    rows = [(n, " ".join(["see", *two, "there"])) for n, two in made.items()]
+    found = extract.all_matches(spark.createDataFrame(rows, "issue_id string, body string").repartition(8)).collect()
+    for name, two in made.items():
+        assert {r["candidate_string"] for r in found if r["issue_id"] == name == r["secret_type"]} == set(two), name
+
+
+def test_long_texts_without_a_match_are_read_once(spark):
+    runs = ["a." * 50_000 + "://", "a_" * 50_000 + "token", "key" * 30_000, "://" * 30_000, "a@" * 50_000, "password " * 10_000, "ab" * 50_000 + "g",
+            "SG." + "a" * 100_000, "eyJ" * 30_000 + ".eyJ", "a.b-" * 25_000 + "@", "Bearer " * 15_000]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(runs)], "issue_id int, body string").repartition(8)
+    assert extract.all_matches(df).count() < 10
+
+
 def test_catalog_needles_are_in_every_match():
     import re
 

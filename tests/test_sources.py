@@ -34,10 +34,29 @@ def test_catalog(spark):
     catalog = spark.createDataFrame(rows, "pattern_id string, secret_type string, pattern string")
     rules = readers.load_rules(catalog)
     assert [(r.name, r.pattern) for r in rules] == [("Key", "k[0-9]"), ("Pattern_2", "t+"), ("Pattern_6", "z")]
+    assert readers.java_pattern(r"(?P<a_b>x)(?P=a_b)\Z") == r"(?<ab>x)\k<ab>\z"
+    assert readers.compiles(spark, readers.java_pattern(r"(?P<key>\w+\s)\d\Z"))
     hits = extract.first_match_scan(spark.createDataFrame([(1, "x K7 tt")], "issue_id int, body string"), rules)
     assert hits.first()["secret_type"] == "Key"
-    with pytest.raises(ValueError):
-        readers.load_rules(catalog, limit=2)
+
+
+def test_csv_by_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(',Issue_id,text,candidate_string,label\n0,i1,"the\ntext",c,1\n1,i2,t,c,maybe\n')
+    (tmp_path / "b.csv").write_text('label,candidate_string,extra,TEXT,issue_id\n0,c,x,t,i3\n')
+    a = readers.read_csv_dataset(spark, str(tmp_path / "a.csv")).collect()
+    assert sorted(map(tuple, a)) == [("i1", "the\ntext", "c", 1), ("i2", "t", "c", None)]
+    assert tuple(readers.read_csv_dataset(spark, str(tmp_path / "b.csv")).first()) == ("i3", "t", "c", 0)
+    (tmp_path / "c.csv").write_text("text\nx\n")
+    with pytest.raises(KeyError):
+        readers.read_csv_dataset(spark, str(tmp_path / "c.csv"))
+
+
+def test_array_files(spark, tmp_path):
+    (tmp_path / "r.json").write_text('[\n  {"full_name": "o/n", "size": 7, "stars": 2,\n "language": null},\n {"full_name": "p/q"}\n]')
+    rows = {r["full_name"]: r["size_kb"] for r in readers.read_repos(spark, str(tmp_path / "r.json")).collect()}
+    assert rows == {"o/n": 7, "p/q": None}
+    (tmp_path / "l.json").write_text('{"full_name": "a", "size_kb": 1}\n{"full_name": "b", "size": 2}\n')
+    assert {r["size_kb"] for r in readers.read_repos(spark, str(tmp_path / "l.json")).collect()} == {1, 2}
 
 
 def test_url_list(spark, tmp_path):
