@@ -2,8 +2,9 @@
 
 1. Evidence of a document: a naive Bayes classifier over its distinct words and
    word shapes, fitted on at most ``max_labelled`` labelled documents (those with the least hashes of their ids).
-   Only features whose log odds differ from 0 by ``min_z`` standard errors and by ``min_odds`` count, so neither
-   chance words of the fitting sample nor the sum of many common words decides.  The evidence is a log likelihood ratio, free of any prior.
+   Of near copies in the sample one counts: documents that share one of three least shingle hashes are taken for copies,
+   else the words of a copied text would look like evidence.  Only features with a likelihood-ratio statistic of
+   ``min_evidence`` and log odds of ``min_odds`` count, so neither chance words nor the sum of many common words decides.  The evidence is a log likelihood ratio, free of any prior.
 2. Sites: the mean class probability of a host is shrunk toward the global mean, and that of a path of
    the host toward its host.  A prior's strength is estimated by moments: the less sites differ beyond
    chance, the more they are shrunk; sites with few documents take their parent's mean.
@@ -29,7 +30,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CAPITALS, SMALL, byte_texts, landed, map_batches
+from .common import CAPITALS, SMALL, byte_texts, landed, map_batches, mixed
+from .minhash import shingle_hashes
 
 LOWER = bytes.maketrans(CAPITALS.encode(), SMALL.encode())
 SHAPE = bytes(
@@ -40,13 +42,15 @@ EDGE = 1e-6
 
 
 def features(text: bytes) -> np.ndarray:
-    """Hashes of a document's distinct words, of the distinct ends of its words' shapes, and of two rounded
-    shares: distinct words among all, and words that begin with a letter."""
+    """Hashes of a document's distinct words, of the distinct ends of its words' shapes, and of three rounded
+    shares: distinct words among all, words that begin with a letter, and words that repeat the one before."""
     words = text.translate(LOWER).split()
     distinct, shaped = set(words), text.translate(SHAPE).split()
     shapes = {b" " + w[:2] + b" " + w[-3:] for w in shaped}
     letters = sum([w[0] in b"aA" for w in shaped])
-    shares = [b" distinct %d" % (5 * len(distinct) // len(words)), b" letters %d" % (10 * letters // len(words))] if len(words) >= 20 else []
+    doubled = sum(map(bytes.__eq__, words, words[1:]))
+    counted = ((b"distinct", 5 * len(distinct)), (b"letters", 10 * letters), (b"doubled", 10 * doubled))
+    shares = [b" %b %d" % (name, n // len(words)) for name, n in counted] if len(words) >= 20 else []
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, [*distinct, *shapes, *shares]), dtype=np.uint64)
     return h.view(np.int64)
 
@@ -58,11 +62,38 @@ def labelled_sample(labels: DataFrame, max_labelled: int, id_col: str) -> DataFr
     return one.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
 
 
-def fit(df: DataFrame, sample: DataFrame, id_col: str, text_col: str, min_z: float, min_odds: float) -> tuple[np.ndarray, np.ndarray]:
+def without_copies(rows: DataFrame) -> DataFrame:
+    """Of documents (_id, _text) that share a least shingle hash under one of three orders, the one with the least id."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            least = [[], [], []]
+            for text in byte_texts(b.column(1)):
+                h = shingle_hashes(text)
+                for i, column in enumerate(least):
+                    column.append(int(mixed(h + np.uint64(i)).min()) - (1 << 63) if len(h) else 0)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, pa.int64()) for x in least]], names=["_id", "m0", "m1", "m2"])
+
+    left = landed(map_batches(rows.select("_id", "_text"), run, "_id long, m0 long, m1 long, m2 long"), "sketches")
+    for m in ("m0", "m1", "m2"):
+        left = left.join(left.groupBy(m).agg(F.min("_id").alias("_id")).select("_id"), "_id", "left_semi")
+    return rows.join(F.broadcast(landed(left.select("_id").distinct(), "unlike")), "_id", "left_semi")  # bounded by max_labelled
+
+
+def surprise(k: Column, n: Column, rate: float) -> Column:
+    """Likelihood-ratio statistic of k marked documents among n against the rate of all."""
+    part = lambda seen, due: F.when(seen > 0, seen * F.log(seen / due)).otherwise(0.0)
+    return 2 * (part(k, n * F.lit(rate)) + part(n - k, n * F.lit(1 - rate)))
+
+
+def fit(
+    df: DataFrame, sample: DataFrame, id_col: str, text_col: str, min_evidence: float, min_odds: float
+) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the features that count, ascending, and their log odds per target."""
     rows = df.select(df[id_col].cast("long").alias("_doc"), df[text_col].alias("_text")).join(
         F.broadcast(sample), F.col("_doc") == F.col("_id")  # bounded by max_labelled
-    ).select("_text", *TARGETS)
+    ).select("_id", "_text", *TARGETS)
+    rows = without_copies(rows).select("_text", *TARGETS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -87,8 +118,11 @@ def fit(df: DataFrame, sample: DataFrame, id_col: str, text_col: str, min_z: flo
         one = int(one or 0)
         yes, no = F.col(t) + 0.5, F.col("n") - F.col(t) + 0.5
         value = F.log(yes / F.lit(one + 1.0)) - F.log(no / F.lit(n - one + 1.0))
-        error = F.sqrt(1 / yes + 1 / no)
-        odds.append(F.when((F.abs(value) >= min_z * error) & (F.abs(value) >= min_odds) & F.lit(0 < one < n), value).otherwise(0.0).alias(f"w_{t}"))
+        if not 0 < one < n:
+            odds.append(F.lit(0.0).alias(f"w_{t}"))
+            continue
+        counts_for = (surprise(F.col(t), F.col("n"), one / n) >= min_evidence) & (F.abs(value) >= min_odds)
+        odds.append(F.when(counts_for, value).otherwise(0.0).alias(f"w_{t}"))
     kept = counts.select("feature", *odds).filter(" OR ".join(f"w_{t} <> 0" for t in TARGETS)).orderBy("feature").toPandas()
     return kept["feature"].to_numpy(np.int64), kept[[f"w_{t}" for t in TARGETS]].to_numpy(np.float64)
 
@@ -146,12 +180,12 @@ def strength(groups: DataFrame, mean: str, parent: Column, n: str) -> float:
 
 def classify(
     df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang",
-    max_labelled: int = 100_000, min_z: float = 4.0, min_odds: float = 2.5, min_quality: float = 0.5, max_toxic: float = 0.5,
+    max_labelled: int = 100_000, min_evidence: float = 30.0, min_odds: float = 2.0, min_quality: float = 0.5, max_toxic: float = 0.5,
 ) -> DataFrame:
     """doc_id, host, path, and per target the evidence (llr), the host's and the path's posterior mean and the document's
     probability; kept if the text is probably good and not toxic."""
     sample = landed(labelled_sample(labels, max_labelled, id_col), "labelled")
-    hashes, weights = fit(df, sample, id_col, text_col, min_z, min_odds)
+    hashes, weights = fit(df, sample, id_col, text_col, min_evidence, min_odds)
     docs = evidence(df, hashes, weights, id_col, text_col, host_col, path_col)
     known = sample.agg(F.count(F.lit(1)), *[F.avg(t) for t in TARGETS]).first()
     rates = [0.5 if r is None else min(1 - EDGE, max(EDGE, r)) for r in known[1:]]
