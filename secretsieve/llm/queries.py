@@ -80,7 +80,46 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, folder)).select("doc_id", "fingerprint", "component_id")
 
 
-@query("op7_quality_rules")
+@query("op7_quality_rules", r"""
+WITH docs AS (
+    SELECT doc_id, source AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), tokens AS (
+    SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM docs
+), windows AS (
+    SELECT doc_id, i, word || ' ' || lead(word, 1) OVER w || ' ' || lead(word, 2) OVER w || ' ' || lead(word, 3) OVER w || ' ' || lead(word, 4) OVER w AS gram
+    FROM tokens WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), again AS (
+    SELECT doc_id, i FROM windows WHERE gram IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1
+), repeats AS (
+    SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM again, (SELECT unnest(range(5)) AS k) GROUP BY doc_id
+), lines AS (
+    SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM docs
+), normal AS (
+    SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, array_to_string(regexp_extract_all(
+        translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS key
+    FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), doubles AS (
+    SELECT doc_id, (count(*) - count(DISTINCT line)) AS n_dup_lines FROM normal GROUP BY doc_id
+), hosts AS (
+    SELECT host, count(DISTINCT text) AS n_docs FROM docs GROUP BY host
+), frequent AS (
+    SELECT l.host, l.key, min(l.doc_id) AS keeper FROM normal l JOIN hosts h ON l.host IS NOT DISTINCT FROM h.host
+    GROUP BY l.host, l.key, h.n_docs HAVING count(DISTINCT l.text) > greatest(20, 0.1 * h.n_docs)
+), lost AS (
+    SELECT l.doc_id, sum(l.n)::BIGINT AS n FROM normal l JOIN frequent f ON l.key = f.key AND l.host IS NOT DISTINCT FROM f.host
+    WHERE l.doc_id <> f.keeper GROUP BY l.doc_id
+), judged AS (
+    SELECT d.doc_id, len(d.words)::BIGINT AS n_words, length(regexp_replace(d.text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+        (length(d.text) - length(regexp_replace(d.text, '[#*$%&|<>]+', '', 'g')))::BIGINT AS n_symbols,
+        coalesce(u.n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(r.n_repeat_words, 0)::BIGINT AS n_repeat_words,
+        len(d.words)::BIGINT - coalesce(l.n, 0) AS n_left, l.n IS NOT NULL AS touched
+    FROM docs d LEFT JOIN doubles u USING (doc_id) LEFT JOIN repeats r USING (doc_id) LEFT JOIN lost l USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    n_left, touched AND (n_left < 10 OR n_left < 0.3 * n_words) AS depleted,
+    NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (touched AND (n_left < 10 OR n_left < 0.3 * n_words)) AS kept
+FROM judged
+""")
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(documents(spark, folder)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_left", "depleted", "kept"
@@ -97,6 +136,34 @@ def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.compare_with_next(documents(spark, folder))
 
 
-@query("op10_mixing")
+@query("op10_mixing", r"""
+WITH sized AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), totals AS (
+    SELECT source, sum(size)::BIGINT AS n FROM sized GROUP BY source
+), weighed AS (
+    SELECT source, n, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM totals
+), filling AS (  -- sources in the order in which they reach their cap
+    SELECT *, row_number() OVER (ORDER BY 3 * n / w, source) AS k, sum(n) OVER () AS budget,
+        (sum(n) OVER () - 3 * (sum(n) OVER before))::DOUBLE / (sum(w) OVER () - (sum(w) OVER before)) AS unit_ahead
+    FROM (SELECT *, 0 AS x FROM weighed)
+    WINDOW before AS (ORDER BY 3 * n / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), units AS (
+    SELECT *, coalesce(unit_ahead, budget::DOUBLE / (SELECT sum(w) FROM weighed)) AS unit FROM filling
+), level AS (
+    SELECT min_by(unit, k) AS unit, min(k) AS k FROM units WHERE w * unit < 3 * n
+), targets AS (
+    SELECT u.source, u.n, CASE WHEN l.k IS NULL OR u.k < l.k THEN (3 * u.n)::DOUBLE ELSE u.w * l.unit END AS target FROM units u, level l
+), planned AS (
+    SELECT *, CASE WHEN n = 0 THEN 0 ELSE least(3, floor(target / n))::BIGINT END AS whole FROM targets
+), drawn AS (
+    SELECT s.*, p.n, p.target, p.whole, round(p.target - p.whole * p.n)::BIGINT AS rest,
+        ('0x' || substr(md5(concat_ws(':', '17', doc_id, size)), 1, 15))::BIGINT AS draw
+    FROM sized s JOIN planned p ON s.source IS NOT DISTINCT FROM p.source
+)
+SELECT doc_id, size, n AS source_size, target, (whole * size + greatest(0, least(size, rest - coalesce(sum(size) OVER (
+    PARTITION BY source ORDER BY draw % 16384, draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))))::BIGINT AS taken
+FROM drawn
+""")
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.plan(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
