@@ -8,13 +8,13 @@ the target goes to documents in the order of a seeded hash, and the document in
 the rest runs out gives its first words only.  So the words taken equal the target,
 rounded, whatever the sizes of the documents.
 
-Work: one row per source reaches the driver (the list that the weights belong to).
+Work: one row per source reaches the driver (the list that the weights belong to) and goes back to the documents.
 The place where the rest runs out comes from word counts per source and bucket
 of the hash, summed on the map side, so no task sorts a whole source;
-only the rows of the bucket in question are ordered, a ``1 / buckets`` part of the source.
+only the rows of the bucket in question are shuffled and ordered, one of ``BUCKETS`` parts of the source.
 
 Defined results: null texts have no words; a null source is the last one; repeated
-rows are documents of their own; sources without words get target 0; an empty
+rows are documents of their own, and rows with the same id and size are interchangeable; sources without words get target 0; an empty
 table gives no rows.
 """
 
@@ -63,6 +63,55 @@ def water_fill(sizes: Sequence[int], weights: Sequence[float], budget: float, ep
     return target
 
 
+def drawn(df: DataFrame, text_col: str, id_col: str, seed: int) -> DataFrame:
+    """Add the size, the seeded draw and its bucket."""
+    df = df.withColumn("_size", n_words(F.col(text_col))) if text_col else df
+    key = F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), F.col("_size").cast("string"))
+    df = df.withColumn("_draw", F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long"))
+    return df.withColumn("_bucket", F.pmod("_draw", F.lit(BUCKETS)))
+
+
+def targets(rows: DataFrame, weights: Sequence[float], share: float, epochs: int) -> DataFrame:
+    """One row per source: size, target, whole repetitions, and where the rest of the target runs out.
+
+    ``rows`` has source, _size and _bucket.  Documents of buckets below ``_edge`` give one repetition more; those of the edge
+    bucket share ``_left`` words.
+    """
+    sums = rows.groupBy("source", "_bucket").agg(F.sum("_size").alias("_words"))
+    found = sums.groupBy("source").agg(F.sum("_words").alias("n")).orderBy(F.asc_nulls_last("source")).collect()
+    sizes = [int(r["n"]) for r in found]
+    shares = water_fill(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share * sum(sizes), epochs)
+    wholes = [min(epochs, math.floor(t / n)) if n else 0 for t, n in zip(shares, sizes)]
+    table = df_of(rows, [(r["source"], n, t, w, round(t - w * n)) for r, n, t, w in zip(found, sizes, shares, wholes)],
+                  "_source string, source_size long, target double, whole int, _rest long")
+    upto = W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
+    edges = (
+        sums.withColumn("_upto", F.sum("_words").over(upto)).join(table, F.col("source").eqNullSafe(F.col("_source")))
+        .filter((F.col("_upto") >= F.col("_rest")) & (F.col("_upto") - F.col("_words") < F.col("_rest")))
+        .select("source", "_bucket", (F.col("_rest") - F.col("_upto") + F.col("_words")).alias("_left")).collect()
+    )
+    at = {r["source"]: (r["_bucket"], r["_left"]) for r in edges}
+    return df_of(rows, [(r["source"], n, t, w, *at.get(r["source"], (-1, 0))) for r, n, t, w in zip(found, sizes, shares, wholes)],
+                 "_source string, source_size long, target double, whole int, _edge long, _left long")
+
+
+def df_of(like: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    return like.sparkSession.createDataFrame(rows, schema)
+
+
+def with_part(rows: DataFrame, table: DataFrame, source_col: str, id_col: str) -> DataFrame:
+    """Add the source's target, whole repetitions, and ``part``, the words of one more.
+
+    Only rows of the edge buckets are shuffled and ordered."""
+    rows = rows.join(table, F.col(source_col).eqNullSafe(F.col("_source")))
+    inside = F.col("_bucket") == F.col("_edge")
+    others = rows.filter(~inside).withColumn("part", F.when(F.col("_bucket") < F.col("_edge"), F.col("_size")).otherwise(F.lit(0)).cast("long"))
+    before = W.partitionBy("_source").orderBy("_draw", id_col, "_size").rowsBetween(W.unboundedPreceding, -1)
+    left = F.col("_left") - F.coalesce(F.sum("_size").over(before), F.lit(0))
+    edge = rows.filter(inside).withColumn("part", F.greatest(F.lit(0), F.least(F.col("_size"), left)).cast("long"))
+    return others.unionByName(edge)
+
+
 def plan(
     df: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, epochs: int = 3,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17,
@@ -72,64 +121,35 @@ def plan(
 
     ``weights`` go to the sources in code-point order, null last, and repeat.
     """
-    rows = df.select(
-        df[id_col].alias("doc_id"), df[source_col].alias("source"), n_words(df[text_col]).alias("size"),
-    )
     # Texts are read once; everything below works on narrow rows.
-    rows = landed(rows, "word-counts").withColumn("_draw", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("_bucket", F.pmod("_draw", F.lit(BUCKETS)))
-    sums = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_words"))
-    totals = sums.groupBy("source").agg(F.sum("_words").alias("n")).orderBy(F.asc_nulls_last("source")).collect()
-    sizes = [int(r["n"]) for r in totals]
-    targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share * sum(sizes), epochs)
-    wholes = [min(epochs, math.floor(t / n)) if n else 0 for t, n in zip(targets, sizes)]
-    per_source = df.sparkSession.createDataFrame(
-        [(r["source"], n, t, w, round(t - w * n)) for r, n, t, w in zip(totals, sizes, targets, wholes)],
-        "_source string, source_size long, target double, whole int, _rest long",
-    )
-    upto = W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-    same = lambda left: F.col(left).eqNullSafe(F.col("_source"))
-    # The bucket in which a source's rest runs out, and what the buckets before it give.
-    edges = (
-        sums.withColumn("_upto", F.sum("_words").over(upto)).join(per_source, same("source"))
-        .filter((F.col("_upto") >= F.col("_rest")) & (F.col("_upto") - F.col("_words") < F.col("_rest")))
-        .select("_source", F.col("_bucket").alias("_edge"), (F.col("_rest") - F.col("_upto") + F.col("_words")).alias("_left"))
-    )
-    per_source = per_source.join(edges.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    rows = rows.join(per_source, same("source"))
-    inside = F.col("_bucket") == F.col("_edge")
-    # Only the edge bucket's rows are ordered; the others get a key of their own hash each.
-    running = W.partitionBy("source", F.when(inside, F.lit(-1)).otherwise(F.col("_draw"))).orderBy("_draw", "doc_id", "size")
-    before = F.coalesce(F.sum("size").over(running.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("_before", before)
-    part = (
-        F.when(F.col("_rest") <= 0, 0).when(F.col("_bucket") < F.col("_edge"), F.col("size"))
-        .when(inside, F.greatest(F.lit(0), F.least(F.col("size"), F.col("_left") - F.col("_before")))).otherwise(0)
-    ).cast("long")
-    return rows.withColumn("part", part).select(
-        "doc_id", "source", "size", "source_size", "target", "whole", "part",
-        (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken"),
+    rows = landed(df.select(df[id_col].alias("doc_id"), df[source_col].alias("source"), n_words(df[text_col]).alias("_size")), "word-counts")
+    rows = drawn(rows, "", "doc_id", seed)
+    table = targets(rows, weights, share, epochs)
+    return with_part(rows, table, "source", "doc_id").select(
+        "doc_id", "source", F.col("_size").alias("size"), "source_size", "target", "whole", "part",
+        (F.col("whole") * F.col("_size") + F.col("part")).cast("long").alias("taken"),
     )
 
 
-def mix(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", **settings) -> DataFrame:
+def mix(
+    df: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, epochs: int = 3,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17,
+) -> DataFrame:
     """The documents that the mix is made of, with all columns of the input: every document
-    as often as it is taken, a partial repetition with its first words only.
-
-    The plan depends on the id and the size of a row; rows that agree in both are
-    told apart by an occurrence number.
-    """
-    order = W.partitionBy(id_col, source_col, "_size").orderBy(F.col(text_col))
-    rows = df.withColumn("_size", n_words(df[text_col])).withColumn("_nth", F.row_number().over(order))
-    chosen = plan(df, text_col=text_col, id_col=id_col, source_col=source_col, **settings)
-    chosen = chosen.filter("taken > 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_n"), "whole", "part",
-        F.row_number().over(W.partitionBy("doc_id", "source", "size").orderBy(F.desc("part"))).alias("_k"),
-    )
-    joined = rows.join(
-        chosen.withColumnRenamed("whole", "_whole").withColumnRenamed("part", "_part"),
-        df[id_col].eqNullSafe(F.col("_id")) & df[source_col].eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_n")) & (F.col("_nth") == F.col("_k")),
+    as often as :func:`plan` takes it, a partial repetition with its first words only."""
+    rows = drawn(df, text_col, id_col, seed)
+    narrow = landed(rows.select(F.col(source_col).alias("source"), "_size", "_bucket"), "word-counts")
+    # Columns of the input may bear the names that are added here.
+    own = [f.alias(f"_in{i}") for i, f in enumerate(df[c] for c in df.columns)]
+    name = {c: f"_in{i}" for i, c in enumerate(df.columns)}
+    table = targets(narrow, weights, share, epochs)
+    inner = drawn(df.select(*own), name[text_col], name[id_col], seed)
+    rows = with_part(inner, table, name[source_col], name[id_col])
+    copies = F.concat(
+        F.array_repeat(F.col("_size"), F.col("whole")),
+        F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<bigint>")),
     )
-    copies = F.concat(F.array_repeat(F.col("_n"), F.col("_whole")), F.when(F.col("_part") > 0, F.array(F.col("_part"))).otherwise(F.array().cast("array<bigint>")))
-    out = joined.withColumn("_take", F.explode(copies))
-    text = F.when(F.col("_take") < F.col("_n"), first_words(F.col(text_col), F.col("_take"))).otherwise(F.col(text_col))
-    return out.withColumn(text_col, text).select(*df.columns)
+    out = rows.withColumn("_take", F.explode(copies))
+    text = F.col(name[text_col])
+    cut = F.when(F.col("_take") < F.col("_size"), first_words(text, F.col("_take"))).otherwise(text)
+    return out.withColumn(name[text_col], cut).select(*[F.col(f"_in{i}").alias(c) for i, c in enumerate(df.columns)])
