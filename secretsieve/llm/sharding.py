@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import unused
+
 
 @dataclass(frozen=True)
 class HashTree:
@@ -55,30 +57,27 @@ def winner(key: Column, children: list[tuple[str, int, float]]) -> Column:
     return F.array_min(F.array(*[F.struct(draw(key, n, w).alias("d"), F.lit(i).alias("i")) for n, i, w in children]))["i"]
 
 
-def shard_of(tree: HashTree, key: Column) -> tuple[Column, Column, Column]:
-    """Region, rack and shard; a rack's draws depend on its region through the node's name only."""
+def levels(tree: HashTree) -> tuple[list, list, list]:
+    """The children of the root, of a region and of a rack."""
     regions = [(f"region{r}", r, float(tree.racks * tree.shards)) for r in range(tree.regions)]
     regions += [(f"extra{x}", tree.regions + x, 1.0) for x in range(tree.extra)]
-    return (
-        winner(key, regions),
-        winner(key, [(f"rack{k}", k, float(tree.shards)) for k in range(tree.racks)]),
-        winner(key, [(f"shard{s}", s, 1.0) for s in range(tree.shards)]),
-    )
+    racks = [(f"rack{k}", k, float(tree.shards)) for k in range(tree.racks)]
+    return regions, racks, [(f"shard{s}", s, 1.0) for s in range(tree.shards)]
 
 
 def with_shard(df: DataFrame, tree: HashTree, key: Column, name: str = "shard") -> DataFrame:
-    """Add the shard.  Names of nodes carry their parents, so the levels draw independently."""
-    region, _, _ = shard_of(tree, key)
-    df = df.withColumn("_region", region)
-    scoped = F.concat_ws("/", key.cast("string"), F.col("_region").cast("string"))
-    df = df.withColumn("_rack", shard_of(tree, scoped)[1])
-    scoped = F.concat_ws("/", scoped, F.col("_rack").cast("string"))
-    leaf = shard_of(tree, scoped)[2]
+    """Add the shard.  Below the root the path so far is part of the key, so the levels draw independently."""
+    at_root, at_region, at_rack = levels(tree)
+    region, rack = (unused(df, c) for c in ("_region", "_rack"))
+    df = df.withColumn(region, winner(key, at_root))
+    path = F.concat_ws("/", key.cast("string"), F.col(region).cast("string"))
+    df = df.withColumn(rack, winner(path, at_region))
+    leaf = winner(F.concat_ws("/", path, F.col(rack).cast("string")), at_rack)
     whole = tree.racks * tree.shards
     shard = F.when(
-        F.col("_region") < tree.regions, F.col("_region") * whole + F.col("_rack") * tree.shards + leaf
-    ).otherwise(F.lit(tree.regions * (whole - 1)) + F.col("_region"))
-    return df.withColumn(name, shard.cast("int")).drop("_region", "_rack")
+        F.col(region) < tree.regions, F.col(region) * whole + F.col(rack) * tree.shards + leaf
+    ).otherwise(F.lit(tree.regions * (whole - 1)) + F.col(region))
+    return df.withColumn(name, shard.cast("int")).drop(region, rack)
 
 
 def with_slots(df: DataFrame, group: str, order: list[Column], buckets: int, name: str = "slot") -> DataFrame:
