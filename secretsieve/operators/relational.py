@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.columns import once, text_array
-from ..functions.terms import shortest_terms, stems
+from ..functions.terms import any_term
 from .selection import keep_first, top_k_per_group
 
 
@@ -114,9 +114,8 @@ def _contains_any(lowered: Column, terms: list[str]) -> Column:
 
 
 def _mentions(lowered: Column, terms: list[str]) -> Column:
-    """Whether any term occurs.  Most texts fail on the few stems already, and a
-    term that contains another one cannot change the outcome."""
-    return _contains_any(lowered, stems(terms)) & _contains_any(lowered, shortest_terms(terms))
+    """Whether any term occurs.  A term that contains another one cannot change the outcome."""
+    return lowered.rlike(any_term(terms))
 
 
 def keyword_filter(issues: DataFrame, terms: list[str], body: str = "body") -> DataFrame:
