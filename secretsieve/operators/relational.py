@@ -109,10 +109,6 @@ def flagged(predictions: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------ keyword prefilter
-def _contains_any(lowered: Column, terms: list[str]) -> Column:
-    return F.exists(text_array(terms), lambda t: F.contains(lowered, t))
-
-
 def _mentions(lowered: Column, terms: list[str]) -> Column:
     """Whether any term occurs.  A term that contains another one cannot change the outcome."""
     return lowered.rlike(any_term(terms))
