@@ -33,13 +33,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import landed, mixed, total
+from .common import mixed, small_batches, total
 from .lm_scoring import expand, squeeze, steps
 
 GRAM = 32
 CHUNK = 1 << 20
 PLACE = np.uint64((1 << 21) - 1)
-BLOCK_BYTES, SHARD_BYTES = 16 << 20, 24 << 20
+BLOCK_BYTES, SHARD_BYTES = 8 << 20, 8 << 20
 LAST = (1 << 63) - 1
 
 
@@ -382,18 +382,20 @@ def dedup_substrings(
     """doc_id, n_bytes, n_removed, n_spans (removed runs) and kept (the bytes that are left) of every row."""
     if length < GRAM:
         raise ValueError(f"strings have at least {GRAM} bytes")
+    small_batches(df)
     size = total(df, F.octet_length(text_col))
     n_blocks, n_shards = max(1, -(-size // block_bytes)), max(1, -(-size // shard_bytes))
     docs = df.select(
         F.pmod(F.xxhash64(df[id_col].cast("long")), F.lit(n_blocks)).cast("int").alias("block"), df[id_col].cast("long").alias("doc_id"),
         F.coalesce(df[text_col], F.lit("")).cast("binary").alias("text"),
     )
+    # One plan: the three looks at the documents share one exchange of the texts.
     empty = lambda schema: pa.table([pa.array([], x) for x in (pa.int32(),) * 2 + (pa.binary(),) * 4], names=[c.split()[0] for c in schema.split(", ")])
     reply = "block int, kind int, shard int, data binary"
     asked = docs.groupBy("block").applyInArrow(lambda t: ask(t, length, n_shards), "shard int, block int, hashes binary, again binary")
-    known = landed(asked.groupBy("shard").applyInArrow(repeated, reply).filter("data IS NOT NULL"), "repeats")
+    known = asked.groupBy("shard").applyInArrow(repeated, reply).filter("data IS NOT NULL")
     sent = docs.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
         lambda d, a: send(d, a, length, n_shards) if d.num_rows and a.num_rows else empty(SENT), SENT
     )
-    found = landed(sent.groupBy("shard").applyInArrow(lambda t: settle(t, length), reply), "late")
+    found = sent.groupBy("shard").applyInArrow(lambda t: settle(t, length), reply)
     return docs.groupBy("block").cogroup(known.unionByName(found).groupBy("block")).applyInArrow(lambda d, a: remove(d, a, length, n_shards), LEFT)
