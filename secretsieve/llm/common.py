@@ -15,6 +15,8 @@ from secretsieve.session import shared_folder
 SPACES = " \t\n\x0b\x0c\r"
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+ROWS_PER_BATCH = 1000
+
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
@@ -33,9 +35,17 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def small_batches(df: DataFrame) -> None:
+    """Texts are long: cap the rows of the session's Arrow batches, which executors hold outside their heap."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= ROWS_PER_BATCH:
+        conf.set(name, str(ROWS_PER_BATCH))
+
+
 def map_batches(
     df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str
 ) -> DataFrame:
+    small_batches(df)
     return df.mapInArrow(lambda batches: iter(function(batches)), schema)
 
 

@@ -40,7 +40,7 @@ ARROW = pa.schema([
 ])
 # Shares of a window that a cut, or one window more, may cost in padding.
 DOCUMENT_CUT, SENTENCE_CUT, WORD_CUT, WINDOW_COST = 0.0, 1 / 256, 1 / 64, 1 / 128
-CACHED_WORDS = 600_000
+CACHED_WORDS = 400_000
 CLOSING = b".,!?;:"
 LATIN_END = "\u0250"
 
@@ -242,7 +242,7 @@ def pack(
         for b in batches:
             for doc, coded in zip(b.column(0).to_pylist(), code(byte_texts(b.column(1)))):
                 rows.extend(stream.add(doc, coded + stop))
-                if len(rows) >= 4000:
+                if len(rows) >= 500:
                     yield batch(rows)
                     rows = []
         while stream.waiting:
