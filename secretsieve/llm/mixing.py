@@ -31,6 +31,7 @@ from .common import landed
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 1 << 14
+MAX_BROADCAST_SOURCES = 10_000
 
 
 def n_words(text: Column) -> Column:
@@ -96,7 +97,9 @@ def targets(rows: DataFrame, weights: Sequence[float], share: float, epochs: int
 
 
 def df_of(like: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
-    return like.sparkSession.createDataFrame(rows, schema)
+    """A row per source; broadcast unless there are very many."""
+    table = like.sparkSession.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= MAX_BROADCAST_SOURCES else table
 
 
 def with_part(rows: DataFrame, table: DataFrame, source_col: str, id_col: str) -> DataFrame:
