@@ -30,7 +30,7 @@ from .common import CAPITALS, SMALL, map_batches, mixed, total
 LOWER = bytes.maketrans(CAPITALS.encode(), SMALL.encode())
 BINS, BITS, SHINGLE = 256, 4, 5
 STEPS = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) & (1 << 64) - 1 | 1 for i in range(64)], dtype=np.uint64)
-BLOCK_BYTES, MAX_BLOCKS = 16 << 20, 10_000
+BLOCK_BYTES, MAX_BLOCKS, BLOCKS_PER_TASK = 4 << 20, 10_000, 4
 
 
 @lru_cache(maxsize=4)
@@ -108,7 +108,7 @@ def neighbours(df: DataFrame, id_col: str, text_col: str, block_bytes: int) -> t
 
     Block bounds are quantiles of the ids.  The largest id of every block (one number a
     block reaches the driver) also goes to the block before it as a guest, so
-    texts are shuffled once and no task needs the whole order.  After the last block comes the first.
+    texts are shuffled once and no task needs the whole order.  A task gets several small blocks, which evens out their hashing.  After the last block comes the first.
     """
     lowest = -(1 << 63)
     docs = df.select(
@@ -137,7 +137,7 @@ def neighbours(df: DataFrame, id_col: str, text_col: str, block_bytes: int) -> t
         return pd.Series([[b, guest_of[o]] if o in guest_of else [b] for o, b in zip(order.tolist(), own)])
 
     placed = docs.select("doc_id", "_order", "text", F.posexplode(homes("_order")).alias("guest", "block"))
-    return placed.repartition(max(1, len(blocks)), "block").sortWithinPartitions("block", "guest", F.desc("_order"), "text"), len(blocks)
+    return placed.repartition(max(1, len(blocks) // BLOCKS_PER_TASK), "block").sortWithinPartitions("block", "guest", F.desc("_order"), "text"), len(blocks)
 
 
 def compare_with_next(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
