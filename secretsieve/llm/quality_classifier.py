@@ -8,12 +8,12 @@
 2. Sites: the mean class probability of a host is shrunk toward the global mean, and that of a path of
    the host toward its host.  A prior's strength is estimated by moments: the less sites differ beyond
    chance, the more they are shrunk; sites with few documents take their parent's mean.
-   A labelled document gives its label, any other its probability.
+   Every labelled document gives its label, whether it was fitted on or not; any other its probability.
 3. A document's probability has its path's posterior mean, without its own share, as prior odds and its evidence
    as likelihood ratio.
 
 Texts are read twice and never shuffled: the fitting sample is bounded, so it is sent to the
-scan.  Sites are grouped sums with map-side combining.
+scan.  All labels are joined with the narrow rows by id.  Sites are grouped sums with map-side combining.
 
 Defined results: a null or empty text has no evidence and takes its site's prior; null
 hosts and paths are sites; labels with nulls are not used, and of repeated labels of an id the greatest counts; repeated rows get a row
@@ -55,11 +55,15 @@ def features(text: bytes) -> np.ndarray:
     return h.view(np.int64)
 
 
-def labelled_sample(labels: DataFrame, max_labelled: int, id_col: str) -> DataFrame:
-    """At most ``max_labelled`` labelled ids, chosen by hash."""
+def one_per_id(labels: DataFrame, id_col: str) -> DataFrame:
+    """All labels without nulls, one row per id."""
     known = labels.select(F.col(id_col).cast("long").alias("_id"), *[F.col(t).cast("int").alias(t) for t in TARGETS]).dropna()
-    one = known.groupBy("_id").agg(*[F.max(t).alias(t) for t in TARGETS])
-    return one.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
+    return known.groupBy("_id").agg(*[F.max(t).alias(t) for t in TARGETS])
+
+
+def labelled_sample(known: DataFrame, max_labelled: int) -> DataFrame:
+    """At most ``max_labelled`` labelled ids, chosen by hash."""
+    return known.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
 
 
 def without_copies(rows: DataFrame) -> DataFrame:
@@ -184,13 +188,13 @@ def classify(
 ) -> DataFrame:
     """doc_id, host, path, and per target the evidence (llr), the host's and the path's posterior mean and the document's
     probability; kept if the text is probably good and not toxic."""
-    sample = landed(labelled_sample(labels, max_labelled, id_col), "labelled")
+    known = landed(one_per_id(labels, id_col), "labels")
+    sample = landed(labelled_sample(known, max_labelled), "labelled")
     hashes, weights = fit(df, sample, id_col, text_col, min_evidence, min_odds)
     docs = evidence(df, hashes, weights, id_col, text_col, host_col, path_col)
-    known = sample.agg(F.count(F.lit(1)), *[F.avg(t) for t in TARGETS]).first()
-    rates = [0.5 if r is None else min(1 - EDGE, max(EDGE, r)) for r in known[1:]]
+    rates = [0.5 if r is None else min(1 - EDGE, max(EDGE, r)) for r in known.agg(*[F.avg(t) for t in TARGETS]).first()]
     # A label says what a document is; the others are judged by their evidence and the global rate.
-    docs = docs.join(F.broadcast(sample), docs["doc_id"] == sample["_id"], "left").drop("_id")
+    docs = docs.join(known, docs["doc_id"] == known["_id"], "left").drop("_id")
     for t, rate in zip(TARGETS, rates):
         docs = docs.withColumn(f"own_{t}", F.coalesce(F.col(t).cast("double"), chance(F.col(f"llr_{t}") + logit(F.lit(rate)))))
     paths = docs.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"own_{t}").alias(f"sum_{t}") for t in TARGETS])

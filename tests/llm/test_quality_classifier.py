@@ -48,6 +48,18 @@ def test_sparse_sites_are_shrunk_toward_their_parents(spark, table):
     assert 0.5 < got[0]["host_quality"] < 1.0 and got[100]["host_quality"] < 0.5
 
 
+def test_labels_beyond_the_fitting_limit_count_for_sites(spark, table):
+    rows, labels = [], []
+    for h in range(10):
+        for k in range(40):
+            rows.append((100 * h + k, "the same plain words in all of the texts", f"h{h}"))
+            labels.append((100 * h + k, int(h % 2 == 0), 0))
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality_classifier.classify(table(rows), known, max_labelled=4).collect()}
+    assert all(got[i]["host_quality"] > 0.8 if q else got[i]["host_quality"] < 0.2 for i, q, _ in labels)
+    assert all(r["llr_quality"] == 0 for r in got.values())
+
+
 def test_strength_follows_the_spread_of_sites(spark):
     far = spark.createDataFrame([(0.1, 200), (0.9, 200)] * 5, "m double, n long")
     near = spark.createDataFrame([(0.49, 200), (0.51, 200)] * 5, "m double, n long")
