@@ -8,8 +8,10 @@ string of ``length`` bytes has a least hash among its 32-byte grams; equal strin
 it.  Neighbouring strings with the same least hash form a segment; its text, from the first
 string's start to the last string's end, is a passage.  Documents are dealt to blocks, texts once.
 
-1. A block sends the distinct least hashes of its segments to shards, which answer which occur more than once
-   (a hash from several places of one segment does).
+1. A block sends the distinct least hashes of its segments to shards, with the number of their distinct passages. These answer
+   which occur more than once (a hash from several places of one segment does), and whether more than ``shard_bytes``
+   would come to them.  If so, their hashes are dealt to several parts, and a hash with half that much alone is heavy: its
+   passages are cut into single strings, which are dealt by hashes of their own, so that only equal strings have to meet.
 2. The block sends the passages of those segments, equal ones once, to the shards of their hashes.  A shard
    sorts the suffixes of its distinct passages in two stages: suffixes that are smaller than
    their successors are sorted directly, all others are induced from them by scanning the buckets of
@@ -18,7 +20,8 @@ string's start to the last string's end, is a passage.  Documents are dealt to b
 3. The block marks the reported strings and takes their bytes out.
 
 A passage in a third of all documents is sent once per block and sorted once.  Depth of sorting is bounded by
-``length``, a shard by ``shard_bytes``, a block by ``block_bytes`` (or one document).
+``length``, a block by ``block_bytes`` (or one document), and a part of a shard by about ``shard_bytes``, as far as hashes deal
+evenly and but for one string's copies, one from each block.
 
 Defined results: a null text is empty; texts shorter than ``length`` stay; rows with the same id are one
 document whose texts follow each other in text order, matches staying within a row; null ids come last; cuts may
@@ -29,6 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -109,67 +113,105 @@ def shard_of(hashes: np.ndarray, n_shards: int) -> np.ndarray:
     return (hashes >> np.uint64(40)).astype(np.int64) % n_shards
 
 
+ASKED = "shard long, block int, hashes binary, again binary, passages binary"
+
+
 def ask(table: pa.Table, length: int, n_shards: int) -> pa.Table:
-    """Distinct least hashes of a block per shard, and which of them it holds more than once."""
+    """Distinct least hashes of a block per shard, which of them it holds more than once, and the numbers of their distinct passages."""
     block = table.column("block")[0].as_py()
     texts = Texts(table, length)
     hashes, at = np.unique(texts.hash, return_inverse=True)
-    times = np.bincount(at, weights=1 + texts.several)
+    times, n_passages = np.bincount(at, weights=1 + texts.several), np.ones(len(hashes), dtype="<i4")
+    twice = np.flatnonzero(np.bincount(at)[at] > 1)
+    ends = texts.start + texts.n + length - 1
+    places = zip(at[twice].tolist(), texts.row[twice].tolist(), texts.start[twice].tolist(), ends[twice].tolist())
+    several = {(i, texts.texts[row][a:z]) for i, row, a, z in places}
+    n_passages += np.bincount([i for i, _ in several], minlength=len(hashes)).astype("<i4")
+    n_passages[at[twice]] -= 1
     home, out = shard_of(hashes, n_shards), []
     for s in np.unique(home).tolist():
         at = home == s
-        out.append((s, block, squeeze(steps(hashes[at])), np.packbits(times[at] > 1).tobytes()))
-    types = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-    return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["shard", "block", "hashes", "again"])
+        out.append((s, block, squeeze(steps(hashes[at])), np.packbits(times[at] > 1).tobytes(), squeeze(n_passages[at])))
+    types = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=[c.split()[0] for c in ASKED.split(", ")])
 
 
-def repeated(table: pa.Table) -> pa.Table:
-    """For every block that asked, which of its hashes occur more than once anywhere."""
+def repeated(table: pa.Table, length: int, shard_bytes: int) -> pa.Table:
+    """For every block that asked, which of its hashes occur more than once anywhere, apart for those that are heavy, and the
+    number of parts that the shard is dealt to."""
     rows = table.to_pylist()
     hashes = [np.cumsum(expand(r["hashes"], "<u8"), dtype=np.uint64) for r in rows]
     again = [np.unpackbits(np.frombuffer(r["again"], dtype=np.uint8), count=len(h)) for r, h in zip(rows, hashes)]
     distinct, at = np.unique(np.concatenate(hashes), return_inverse=True)
     times = np.bincount(at, weights=1 + np.concatenate(again)) > 1
-    parts = np.split(times[at], np.cumsum([len(h) for h in hashes])[:-1])
-    out = [(r["block"], 0, r["shard"], squeeze(steps(h[p])) if p.any() else None) for r, h, p in zip(rows, hashes, parts)]
+    passages = np.bincount(at, weights=np.concatenate([expand(r["passages"], "<i4") for r in rows])).astype(np.int64) * times
+    sent = passages * (2 * length - GRAM)  # at most
+    n_parts, heavy = 1, np.zeros(len(distinct), dtype=bool)
+    if sent.sum() > shard_bytes:
+        heavy = 2 * sent > shard_bytes
+        strings = int(passages[heavy].sum()) * (length - GRAM + 1) * length
+        n_parts = max(1, -(-2 * int(sent[~heavy].sum()) // shard_bytes) + -(-strings // shard_bytes))
+    out = []
+    for kind, told in ((0, times & ~heavy), (2, times & heavy)):
+        parts = np.split(told[at], np.cumsum([len(h) for h in hashes])[:-1])
+        out += [(r["block"], kind, r["shard"], squeeze(steps(h[p])), n_parts) for r, h, p in zip(rows, hashes, parts) if p.any()]
     return replies(out)
 
 
+REPLY = "block int, kind int, shard long, data binary, parts long"
+
+
 def replies(rows: list[tuple]) -> pa.Table:
-    types = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
-    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["block", "kind", "shard", "data"])
+    types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64())
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[c.split()[0] for c in REPLY.split(", ")])
 
 
 class Passages:
-    """The repeated segments of a block and its distinct passages, in an order that a second look finds again."""
+    """The repeated segments of a block, heavy ones as single strings, and its distinct passages, in an order that a second look finds again."""
 
-    def __init__(self, docs: pa.Table, answers: pa.Table, length: int):
+    def __init__(self, docs: pa.Table, answers: pa.Table, length: int, n_shards: int):
         self.texts = t = Texts(docs, length)
-        known = [np.cumsum(expand(r["data"], "<u8"), dtype=np.uint64) for r in answers.to_pylist() if r["kind"] == 0 and r["data"]]
-        hashes = np.sort(np.concatenate(known)) if known else np.array([], np.uint64)
+        known = [(r, np.cumsum(expand(r["data"], "<u8"), dtype=np.uint64)) for r in answers.to_pylist() if r["kind"] != 1]
+        hashes = np.concatenate([np.array([], np.uint64), *[h for _, h in known]])
+        parts = np.repeat(np.array([r["parts"] for r, _ in known], dtype=np.int64), [len(h) for _, h in known])
+        heavy = np.repeat(np.array([r["kind"] == 2 for r, _ in known], dtype=bool), [len(h) for _, h in known])
+        order = np.argsort(hashes)
+        hashes, parts, heavy = hashes[order], parts[order], heavy[order]
         at = np.minimum(np.searchsorted(hashes, t.hash), max(0, len(hashes) - 1))
-        self.segment = np.flatnonzero(hashes[at] == t.hash) if len(hashes) else np.array([], np.int64)
+        segment = np.flatnonzero(hashes[at] == t.hash) if len(hashes) else np.array([], np.int64)
+        parts, heavy, least = parts[at[segment]], heavy[at[segment]], t.hash[segment]
+        # A heavy segment becomes a piece per string, any other is one piece.
+        pieces = np.where(heavy, t.n[segment], 1)
+        of, ahead = np.repeat(np.arange(len(segment)), pieces), np.cumsum(pieces) - pieces
+        self.row = t.row[segment][of]
+        self.start = t.start[segment][of] + np.arange(len(of)) - ahead[of]
+        self.n = np.where(heavy, 1, t.n[segment])[of]
         self.passage: dict[bytes, int] = {}
-        self.first: list[int] = []  # segment of the passage's first occurrence
-        self.of = np.empty(len(self.segment), dtype=np.int64)
-        rows, starts, ends = t.row[self.segment].tolist(), t.start[self.segment].tolist(), (t.start + t.n + length - 1)[self.segment].tolist()
-        for k, (row, a, z) in enumerate(zip(rows, starts, ends)):
+        self.first: list[int] = []  # piece of the passage's first occurrence
+        self.of = np.empty(len(of), dtype=np.int64)
+        for k, (row, a, z) in enumerate(zip(self.row.tolist(), self.start.tolist(), (self.start + self.n + length - 1).tolist())):
             x = t.texts[row][a:z]
             i = self.passage.setdefault(x, len(self.first))
             if i == len(self.first):
-                self.first.append(int(self.segment[k]))
+                self.first.append(k)
             self.of[k] = i
+        first = of[np.array(self.first, dtype=np.int64)]
+        dealt = mixed(least[first])
+        for i, (x, single) in enumerate(zip(self.passage, heavy[first].tolist())):
+            if single:
+                dealt[i] = xxhash.xxh3_64_intdigest(x)
+        self.home = shard_of(least[first], n_shards) + n_shards * (dealt % parts[first].astype(np.uint64)).astype(np.int64)
 
 
-SENT = "shard int, block int, texts binary, sizes binary, docs binary, starts binary"
+SENT = "shard long, block int, texts binary, sizes binary, docs binary, starts binary"
 
 
 def send(docs: pa.Table, answers: pa.Table, length: int, n_shards: int) -> pa.Table:
     """The distinct passages of a block per shard, with the place of their first occurrence."""
-    p = Passages(docs, answers, length)
+    p = Passages(docs, answers, length, n_shards)
     t, first = p.texts, np.array(p.first, dtype=np.int64)
-    home, passages, out = shard_of(t.hash[first], n_shards), list(p.passage), []
-    doc, start = t.doc[t.row[first]], t.start[first] + t.base[t.row[first]]
+    home, passages, out = p.home, list(p.passage), []
+    doc, start = t.doc[p.row[first]], p.start[first] + t.base[p.row[first]]
     order = np.argsort(home, kind="stable")
     cuts = np.flatnonzero(np.diff(home[order], prepend=-1))
     for at in np.split(order, cuts[1:]) if len(order) else []:
@@ -178,7 +220,7 @@ def send(docs: pa.Table, answers: pa.Table, length: int, n_shards: int) -> pa.Ta
             int(home[at[0]]), docs.column("block")[0].as_py(), zstandard.ZstdCompressor(level=1).compress(b"".join(texts)),
             squeeze(np.array([len(x) for x in texts], dtype="<i8")), squeeze(doc[at].astype("<i8")), squeeze(start[at].astype("<i8")),
         ))
-    types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    types = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
     return pa.table([pa.array([r[i] for r in out], x) for i, x in enumerate(types)], names=[c.split()[0] for c in SENT.split(", ")])
 
 
@@ -333,7 +375,7 @@ def settle(table: pa.Table, length: int) -> pa.Table:
     out = []
     for r, own in zip(rows, sent):
         marks = [late[i] if (doc, start) == (docs[i], starts[i]) else np.ones(n, dtype=bool) for i, doc, start, n in own]
-        out.append((r["block"], 1, r["shard"], zstandard.ZstdCompressor(level=1).compress(np.packbits(np.concatenate(marks)).tobytes())))
+        out.append((r["block"], 1, r["shard"], zstandard.ZstdCompressor(level=1).compress(np.packbits(np.concatenate(marks)).tobytes()), None))
     return replies(out)
 
 
@@ -342,26 +384,25 @@ LEFT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 def remove(docs: pa.Table, answers: pa.Table, length: int, n_shards: int) -> pa.Table:
     """The rows of a block without the bytes of the reported strings."""
-    p = Passages(docs, answers, length)
-    t, first = p.texts, np.array(p.first, dtype=np.int64)
-    home = shard_of(t.hash[first], n_shards)
+    p = Passages(docs, answers, length, n_shards)
+    t, first, home = p.texts, np.array(p.first, dtype=np.int64), p.home
     late: list[np.ndarray | None] = [None] * len(first)
     for r in answers.to_pylist():
         if r["kind"] == 1:
             at = np.flatnonzero(home == r["shard"])
-            n = t.n[first[at]]
+            n = p.n[first[at]]
             bits = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(r["data"]), dtype=np.uint8), count=int(n.sum()))
             for i, x in zip(at.tolist(), np.split(bits, np.cumsum(n)[:-1])):
                 late[i] = x
-    by_row = np.split(np.arange(len(p.segment)), np.searchsorted(t.row[p.segment], np.arange(1, len(t.texts))))
-    starts, counts, of, segment = t.start[p.segment].tolist(), t.n[p.segment].tolist(), p.of.tolist(), p.segment.tolist()
+    by_row = np.split(np.arange(len(p.row)), np.searchsorted(p.row, np.arange(1, len(t.texts))))
+    starts, counts, of = p.start.tolist(), p.n.tolist(), p.of.tolist()
     out = []
     for row, own in enumerate(by_row):
         data = np.frombuffer(t.texts[row], dtype=np.uint8)
         change = np.zeros(len(data) + 1, dtype=np.int64)
         for k in own.tolist():
             a, n, i = starts[k], counts[k], of[k]
-            if p.first[i] != segment[k]:  # a later occurrence of a passage within the block
+            if p.first[i] != k:  # a later occurrence of a passage within the block
                 change[a] += 1
                 change[min(a + n - 1 + length, len(data))] -= 1
             elif late[i].any():
@@ -390,12 +431,11 @@ def dedup_substrings(
         F.coalesce(df[text_col], F.lit("")).cast("binary").alias("text"),
     )
     # One plan: the three looks at the documents share one exchange of the texts.
-    empty = lambda schema: pa.table([pa.array([], x) for x in (pa.int32(),) * 2 + (pa.binary(),) * 4], names=[c.split()[0] for c in schema.split(", ")])
-    reply = "block int, kind int, shard int, data binary"
-    asked = docs.groupBy("block").applyInArrow(lambda t: ask(t, length, n_shards), "shard int, block int, hashes binary, again binary")
-    known = asked.groupBy("shard").applyInArrow(repeated, reply).filter("data IS NOT NULL")
+    empty = lambda schema: pa.table([pa.array([], x) for x in (pa.int64(), pa.int32()) + (pa.binary(),) * 4], names=[c.split()[0] for c in schema.split(", ")])
+    asked = docs.groupBy("block").applyInArrow(lambda t: ask(t, length, n_shards), ASKED)
+    known = asked.groupBy("shard").applyInArrow(lambda t: repeated(t, length, shard_bytes), REPLY)
     sent = docs.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
         lambda d, a: send(d, a, length, n_shards) if d.num_rows and a.num_rows else empty(SENT), SENT
     )
-    found = sent.groupBy("shard").applyInArrow(lambda t: settle(t, length), reply)
+    found = sent.groupBy("shard").applyInArrow(lambda t: settle(t, length), REPLY)
     return docs.groupBy("block").cogroup(known.unionByName(found).groupBy("block")).applyInArrow(lambda d, a: remove(d, a, length, n_shards), LEFT)

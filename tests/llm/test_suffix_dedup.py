@@ -30,6 +30,31 @@ def test_matches_brute_force(table, corpus, length, block, shard):
     assert got == brute(rows, length)
 
 
+def hot_gram(n, seed=8):
+    """A line in every document, each time with other neighbours, copies of some documents, and nothing else repeated."""
+    rng = random.Random(seed)
+    text = lambda size: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(size))
+    rows = [(i, f"{text(80)}\nThis line of forty bytes is in all of them.\n{text(80)}") for i in range(n)]
+    return rows + [(n + k, rows[3 * k][1]) for k in range(n // 10)]
+
+
+def test_a_hot_gram_is_split(table, monkeypatch, tmp_path):
+    rows, settle, folder, limit = hot_gram(400), suffix_dedup.settle, str(tmp_path), 8000
+
+    def weighed(t, length):
+        n = sum(int(suffix_dedup.expand(r["sizes"], "<i8").sum()) for r in t.to_pylist())
+        with open(f"{folder}/{t.column('shard')[0].as_py()}", "w") as f:
+            f.write(str(n))
+        return settle(t, length)
+
+    monkeypatch.setattr(suffix_dedup, "settle", weighed)
+    done = suffix_dedup.dedup_substrings(table(rows), block_bytes=20_000, shard_bytes=limit).collect()
+    got = sorted([(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in done], key=str)
+    assert got == brute(rows, 100)
+    sizes = [int(x.read_text()) for x in tmp_path.iterdir()]
+    assert sizes and max(sizes) <= 2 * limit
+
+
 def test_empty_table(table):
     assert suffix_dedup.dedup_substrings(table([])).count() == 0
     assert suffix_dedup.dedup_substrings(table([(1, "short"), (2, None)])).count() == 2
