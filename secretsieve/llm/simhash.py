@@ -55,15 +55,19 @@ def fingerprint(text: bytes, k: int, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(df: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp), the fingerprint as a signed 64-bit number."""
+def fingerprints(df: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", content: Column | None = None) -> DataFrame:
+    """(doc_id, fp), the fingerprint as a signed 64-bit number, and ``content``, if given."""
+    more = [] if content is None else ["content"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = np.array([fingerprint(x, k) for x in byte_texts(b.column(1))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(found.view(np.int64)), *b.columns[2:]], names=["doc_id", "fp", *more]
+            )
 
-    return map_batches(df.select(df[id_col].cast("long").alias("doc_id"), df[text_col]), run, "doc_id long, fp long")
+    rows = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col], *[content.alias(c) for c in more])
+    return map_batches(rows, run, ", ".join(f"{c} long" for c in ["doc_id", "fp", *more]))
 
 
 def segments(max_bits: int) -> list[tuple[int, int]]:
@@ -230,31 +234,46 @@ def links(nodes: DataFrame, max_bits: int, split_above: int = SPLIT_ABOVE) -> Da
     return map_batches(parts.select("key", "kind", "fp"), run, "u long, v long")
 
 
+def grouped(docs: DataFrame, max_bits: int, split_above: int) -> DataFrame:
+    """The columns of ``docs`` (doc_id, fp and others), component_id and root, the least fingerprint of the component."""
+    nodes = landed(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
+    roots = components(links(nodes, max_bits, split_above))
+    linked = nodes.join(roots, nodes["fp"] == roots["node"])
+    names = linked.groupBy("root").agg(F.min("first").alias("least"))
+    renamed = linked.join(names, "root").select(F.col("node").alias("fp"), "least", "root")
+    nodes = nodes.join(renamed, "fp", "left").select(
+        "fp", F.coalesce("least", "first").alias("component_id"), F.coalesce("root", "fp").alias("root")
+    )
+    return docs.join(nodes, "fp")
+
+
 def near_duplicates(
     df: DataFrame, *, shingle_words: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text",
     split_above: int = SPLIT_ABOVE,
 ) -> DataFrame:
     """doc_id, fp (signed), fingerprint (hex) and component_id, the least id that is reachable over links."""
     docs = landed(fingerprints(df, shingle_words, id_col, text_col), "simhash")
-    nodes = landed(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
-    roots = components(links(nodes, max_bits, split_above))
-    linked = nodes.join(roots, nodes["fp"] == roots["node"])
-    names = linked.groupBy("root").agg(F.min("first").alias("least"))
-    renamed = linked.join(names, "root").select(F.col("node").alias("fp"), "least")
-    nodes = nodes.join(renamed, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return docs.join(nodes, "fp").select(
+    return grouped(docs, max_bits, split_above).select(
         "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The rows of the input that stand for their component: the one with the least id.
-    Of rows that share that id the first in text order stays.  A document with a null id goes if its component
-    has another."""
-    marked = near_duplicates(df, id_col=id_col, text_col=text_col, **settings)
-    key, n, nth = (unused(df, c) for c in ("_kept", "_rows", "_nth"))
-    kept = marked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias(n))
-    rows = df.join(kept, df[id_col].cast("long").eqNullSafe(F.col(key)))
-    first = W.partitionBy(key).orderBy(text_col)
+def keep_one(
+    df: DataFrame, *, shingle_words: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text",
+    split_above: int = SPLIT_ABOVE,
+) -> DataFrame:
+    """The rows of the input that stand for their component, one each: the one with the least id, null ids last,
+    and of rows that share that id the first in text order.  Rows are told apart by id and a hash of their text, so an id that
+    is null or leads several components costs none of them its row."""
+    key, mark, group, n, nth = (unused(df, c) for c in ("_kept", "_content", "_root", "_rows", "_nth"))
+    content = F.xxhash64(F.coalesce(df[text_col].cast("string"), F.lit("")))
+    docs = landed(fingerprints(df, shingle_words, id_col, text_col, content), "simhash")
+    least = grouped(docs, max_bits, split_above).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    counts = least.groupBy("root").agg(F.count(F.lit(1)).alias(n))
+    kept = least.select("doc_id", "content", "root").distinct().join(counts, "root").select(
+        F.col("doc_id").alias(key), F.col("content").alias(mark), F.col("root").alias(group), n
+    )
+    rows = df.join(kept, df[id_col].cast("long").eqNullSafe(F.col(key)) & (content == F.col(mark)))
+    first = W.partitionBy(group).orderBy(text_col)
     repeated = rows.filter(F.col(n) > 1).withColumn(nth, F.row_number().over(first)).filter(F.col(nth) == 1)
     return rows.filter(F.col(n) == 1).select(*df.columns).unionByName(repeated.select(*df.columns))

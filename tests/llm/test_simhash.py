@@ -95,6 +95,16 @@ def test_keep_one_keeps_columns_and_one_row_per_group(table, corpus):
     assert len(ids) == len(set(ids)) and 7 in ids and not set(range(100, 108)) & set(ids) and 300 in ids and 301 not in ids
 
 
+def test_keep_one_keeps_a_row_of_every_component(table):
+    rng = random.Random(11)
+    text = lambda: " ".join(f"{rng.randrange(10**6)}" for _ in range(60))
+    alone, other, third, copied, left, right, both = (text() for _ in range(7))
+    rows = [(None, alone), (None, other), (None, third), (None, third), (None, copied), (5, copied), (9, left), (9, right), (9, right), (20, both), (21, both)]
+    kept = simhash.keep_one(table(rows)).collect()
+    got = sorted(((r["doc_id"], r["text"]) for r in kept), key=str)
+    assert got == sorted([(None, alone), (None, other), (None, third), (5, copied), (9, left), (9, right), (20, both)], key=str)
+
+
 def test_empty_table(table):
     assert simhash.near_duplicates(table([])).count() == 0
     assert simhash.keep_one(table([])).count() == 0
