@@ -6,28 +6,28 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     LinearSVC,
     LogisticRegression,
     NaiveBayes,
+    RandomForestClassificationModel,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.features import FEATURE_COLUMNS, FLAG_COLUMNS, NOT_SECRET
-from ..session import shared_folder
-from .selection import top_k_per_group
+from ..functions.features import FEATURE_COLUMNS, NOT_SECRET
 
-SEED = 42
+SEED, DEPTH, TREES, RBF_FEATURES = 42, 10, 100, 64
 
 
 # ------------------------------------------------------------- MLlib classifiers
@@ -40,10 +40,10 @@ def classifier(name: str, rows: float):
     common = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight"}
     linear = {"regParam": 1.0 / max(rows, 1.0), "standardization": False, **common}
     makers = {
-        "decision_tree": lambda: DecisionTreeClassifier(maxDepth=10, seed=SEED, **common),
-        "random_forest": lambda: RandomForestClassifier(numTrees=100, maxDepth=10, seed=SEED, **common),
-        "logistic_regression": lambda: LogisticRegression(maxIter=1000, tol=1e-4, **linear),
+        "decision_tree": lambda: DecisionTreeClassifier(maxDepth=DEPTH, seed=SEED, **common),
+        "logistic_regression": lambda: LogisticRegression(maxIter=1000, tol=1e-12, **linear),
         "linear_svm": lambda: LinearSVC(maxIter=100, tol=1e-3, **linear),
+        "rbf_svm": lambda: LinearSVC(maxIter=100, tol=1e-3, **linear),
         "naive_bayes": lambda: NaiveBayes(modelType="gaussian", **common),
     }
     return makers[name]()
@@ -55,20 +55,99 @@ def distinct_vectors(train: DataFrame) -> DataFrame:
     return train.groupBy(*FEATURE_COLUMNS, "label").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
-def fit(name: str, train: DataFrame, partitions: int = 4) -> PipelineModel:
-    """Fit on rows with feature columns and a label.  A forest draws its samples
-    from the single rows; the others get weighted distinct vectors.  Flags and rounded entropies
-    take few values, and every pass costs a task per partition: ``partitions`` hold the vectors at any size."""
-    single = train.select(*FEATURE_COLUMNS, "label").withColumn("weight", F.lit(1.0))
-    rows = single if name == "random_forest" else distinct_vectors(train)
+def assembled(columns: list[str]) -> VectorAssembler:
+    return VectorAssembler(inputCols=columns, outputCol="features")
+
+
+def fit(name: str, train: DataFrame, vectors_per_partition: int = 20_000) -> PipelineModel:
+    """Fit on rows with feature columns and a label; the models read weighted distinct vectors.
+
+    Every pass of a fit costs a task per partition, so partitions are sized by the number of vectors.
+    """
     # Training reads its input many times; features are computed once.
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = distinct_vectors(train).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        partitions = 1 + rows.count() // vectors_per_partition
+        rows = rows.coalesce(partitions) if partitions < rows.rdd.getNumPartitions() else rows.repartition(partitions)
+        if name == "random_forest":
+            return fit_forest(rows)
+        size = rows.agg(F.sum("weight").alias("weight")).first()["weight"] or 0.0
+        stages = [assembled(FEATURE_COLUMNS)]
+        if name == "rbf_svm":
+            names = [f"_rbf{i}" for i in range(RBF_FEATURES)]
+            stages = [fourier_features(rows, RBF_FEATURES), assembled(names)]
+        return Pipeline(stages=[*stages, classifier(name, size)]).fit(rows)
+    finally:
+        rows.unpersist()
+
+
+# ------------------------------------------------------------ a kernel by random features
+def fourier_features(vectors: DataFrame, n: int, columns: list[str] | None = None, gamma: float | None = None, seed: int = SEED) -> SQLTransformer:
+    """A stage that adds ``n`` columns whose inner products approach the kernel exp(-gamma |x - y|^2).
+
+    A column is a cosine of a seeded normal projection, plain arithmetic on the feature
+    columns, so the stage needs no state and no Python.  ``gamma`` defaults to one over
+    the number of features times the variance of all their values.
+    """
+    columns = columns or FEATURE_COLUMNS
+    if gamma is None:
+        sums = vectors.agg(
+            F.sum(F.col("weight") * sum(F.col(c).cast("double") for c in columns)).alias("s"),
+            F.sum(F.col("weight") * sum(F.col(c).cast("double") ** 2 for c in columns)).alias("q"), F.sum("weight").alias("w"),
+        ).first()
+        values = (sums["w"] or 0.0) * len(columns) or 1.0
+        variance = (sums["q"] or 0.0) / values - ((sums["s"] or 0.0) / values) ** 2
+        gamma = 1.0 / (len(columns) * variance) if variance > 0 else 1.0
+    random = np.random.default_rng(seed)
+    directions = random.normal(0.0, math.sqrt(2 * gamma), (n, len(columns)))
+    phases, scale = random.uniform(0, 2 * math.pi, n), math.sqrt(2 / n)
+    terms = [
+        f"{scale!r}D * cos({phase!r}D + " + " + ".join(f"{w!r}D * `{c}`" for w, c in zip(row, columns)) + f") AS _rbf{i}"
+        for i, (row, phase) in enumerate(zip(directions.tolist(), phases.tolist()))
+    ]
+    return SQLTransformer(statement=f"SELECT *, {', '.join(terms)} FROM __THIS__")
+
+
+# ------------------------------------------------------------------------ a forest
+def bootstrap_counts(vectors: DataFrame, trees: int, seed: int = SEED) -> DataFrame:
+    """Add ``draws``: how often each tree's bootstrap sample has the vector, a seeded Poisson count around its
+    weight.  That is what drawing single rows gives, without the rows."""
+
+    @F.pandas_udf("array<double>")
+    def drawn(key: pd.Series, weight: pd.Series) -> pd.Series:
+        sample = lambda k, w: np.random.default_rng([seed, k & (1 << 64) - 1]).poisson(w, trees).astype(float)
+        return pd.Series([sample(k, w) for k, w in zip(key.tolist(), weight.tolist())])
+
+    return vectors.withColumn("draws", drawn(F.xxhash64(*FEATURE_COLUMNS, "label"), "weight"))
+
+
+def fit_forest(vectors: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, at_once: int = 8) -> PipelineModel:
+    """A forest over weighted distinct vectors.  Each tree reads the vectors once a level, weighted by its bootstrap
+    counts, with a random subset of the features at every node; ``at_once`` trees are grown side by side."""
+    spark = vectors.sparkSession
+    vector = assembled(FEATURE_COLUMNS)
+    rows = vector.transform(bootstrap_counts(vectors, trees, seed)).select("features", "label", "draws").persist(StorageLevel.MEMORY_AND_DISK)
+    tree = RandomForestClassifier(
+        numTrees=1, maxDepth=depth, featureSubsetStrategy="sqrt", bootstrap=False, featuresCol="features", labelCol="label", weightCol="weight"
+    )
+
+    def grown(i: int):
+        sample = rows.select("features", "label", F.col("draws")[i].alias("weight")).filter("weight > 0")
+        return tree.copy({tree.seed: seed + i}).fit(sample)
+
     try:
-        size = rows.agg(F.sum("weight").alias("weight")).first()
-        stages = [VectorAssembler(inputCols=FEATURE_COLUMNS, outputCol="features"), classifier(name, size["weight"] or 0.0)]
-        return Pipeline(stages=stages).fit(rows if name == "random_forest" else rows.coalesce(partitions))
+        rows.count()
+        with ThreadPool(at_once) as pool:
+            models = pool.map(inheritable_thread_target(spark)(grown), range(trees))
     finally:
         rows.unpersist()
+    # One model that votes with all trees.
+    first, jvm = models[0], spark.sparkContext._jvm
+    parts = spark.sparkContext._gateway.new_array(jvm.org.apache.spark.ml.classification.DecisionTreeClassificationModel, trees)
+    for i, model in enumerate(models):
+        parts[i] = model._java_obj.trees()[0]
+    whole = jvm.org.apache.spark.ml.classification.RandomForestClassificationModel(first.uid, parts, first.numFeatures, first.numClasses)
+    return PipelineModel([vector, RandomForestClassificationModel(first._java_obj.copyValues(whole, first._java_obj.extractParamMap()))])
 
 
 def predict(model: PipelineModel, df: DataFrame, column: str = "prediction") -> DataFrame:
@@ -125,107 +204,6 @@ def fit_gaussian(train: DataFrame, features: list[str] | None = None) -> Gaussia
     )
 
 
-# ------------------------------------------------------------ nearest neighbours
-MICRO = 1_000_000
-# Twelve free flags and one of five entropy bins.
-MAX_SIGNATURES = 5 * 2**12
-
-
-def _vector(df: DataFrame) -> DataFrame:
-    """A feature vector as the bits of its flags and the entropy in millionths."""
-    bits = reduce(
-        lambda a, b: a.bitwiseOR(b),
-        [F.shiftleft(F.col(name).cast("long"), i) for i, name in enumerate(FLAG_COLUMNS)],
-    )
-    return df.withColumn("_bits", bits).withColumn("_micro", F.round(F.col("entropy_value") * MICRO).cast("long"))
-
-
-def nearest_neighbours(train: DataFrame, test: DataFrame, key: str = "id", k: int = 5) -> DataFrame:
-    """Majority label of the ``k`` nearest training rows (squared distance, then key).
-
-    The flags of a vector form a signature, and its entropy is the one real
-    number.  Within a signature the nearest rows are therefore the closest
-    entropies, which two running windows find without any pairs.  The steps:
-
-    * training: at most ``k`` rows per distinct vector can matter (lowest keys);
-    * test: distinct vectors only, once per signature of the training data (at
-      most ``MAX_SIGNATURES`` exist, some dozens occur);
-    * per signature the ``k`` closest entropies from below and from above, then
-      the best ``k`` over all signatures.
-
-    A window holds the distinct vectors of one signature, not its rows; the
-    entropy grid of millionths bounds them.
-    """
-    points = top_k_per_group(
-        _vector(train).select(F.col(key).cast("string").alias("_key"), F.col("label").cast("int"), "_bits", "_micro"),
-        ["_bits", "_micro"], [F.col("_key")], k,
-    )
-    # The points are few and read several times: land them instead of redoing the features.
-    path = shared_folder(train.sparkSession, "points")
-    points.write.parquet(path)
-    points = train.sparkSession.read.schema(points.schema).parquet(path)
-    found = points.select("_bits").distinct().limit(MAX_SIGNATURES + 1).collect()
-    if len(found) > MAX_SIGNATURES:
-        raise ValueError(f"more than {MAX_SIGNATURES} signatures: these are no candidate features")
-    signatures = [r["_bits"] for r in found]
-    probes = (
-        _vector(test).select(F.col("_bits").alias("_own"), "_micro").distinct()
-        .withColumn("_bits", F.explode(F.array(*[F.lit(s).cast("long") for s in signatures])))
-    )
-    own = F.struct("_key", "label", "_micro").alias("_point")
-    none = F.lit(None)
-    # In both directions the rows a probe may use come before it, the closest last.
-    is_probe = F.col("_own").isNotNull().cast("int")
-    by_signature = W.partitionBy("_bits")
-    upward = by_signature.orderBy(F.col("_micro"), is_probe, F.col("_key").desc())
-    downward = by_signature.orderBy(F.col("_micro").desc(), is_probe, F.col("_key").desc())
-
-    def at_probe(column: str, order) -> Column:
-        return F.last(column, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
-
-    # The k points up to each point, counted among points only.
-    chains = (
-        points.select("_bits", "_micro", "_key", own)
-        .withColumn(
-            "_below",
-            F.collect_list("_point").over(
-                by_signature.orderBy(F.col("_micro"), F.col("_key").desc()).rowsBetween(1 - k, 0)
-            ),
-        )
-        .withColumn(
-            "_above",
-            F.collect_list("_point").over(
-                by_signature.orderBy(F.col("_micro").desc(), F.col("_key").desc()).rowsBetween(1 - k, 0)
-            ),
-        )
-        .drop("_point")
-        .withColumn("_own", none.cast("long"))
-    )
-    list_type = "array<struct<_key:string,label:int,_micro:bigint>>"
-    asked = probes.select(
-        "_bits", "_micro", none.cast("string").alias("_key"), none.cast(list_type).alias("_below"),
-        none.cast(list_type).alias("_above"), "_own",
-    )
-    found = (
-        chains.unionByName(asked)
-        .withColumn("_below", at_probe("_below", upward))
-        .withColumn("_above", at_probe("_above", downward))
-        .filter(F.col("_own").isNotNull())
-    )
-    gap = F.col("_n._micro") - F.col("_micro")
-    distance = F.bit_count(F.col("_own").bitwiseXOR(F.col("_bits"))).cast("long") * (MICRO * MICRO) + gap * gap
-    empty = F.array().cast(list_type)
-    options = (
-        found.withColumn("_n", F.explode(F.array_union(F.coalesce("_below", empty), F.coalesce("_above", empty))))
-        .select("_own", "_micro", distance.alias("_distance"), F.col("_n._key").alias("_key"), F.col("_n.label").alias("_label"))
-    )
-    best = top_k_per_group(options, ["_own", "_micro"], [F.col("_distance"), F.col("_key")], k, salts=1)
-    votes = best.groupBy(F.col("_own").alias("_bits"), "_micro").agg(
-        (2 * F.sum("_label") > F.count(F.lit(1))).cast("int").alias("prediction")
-    )
-    return _vector(test).join(votes, ["_bits", "_micro"], "left").drop("_bits", "_micro")
-
-
 # ----------------------------------------------------------------------- ensembles
 def majority_vote(df: DataFrame, votes: list[str], column: str = "prediction") -> DataFrame:
     """1 where more than half of the vote columns are 1."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import prompts
 from ..functions.features import FEATURE_COLUMNS, FLAG_COLUMNS, add_features, label_name
 from ..functions.text import context_window
-from ..operators import evaluate, scoring
+from ..operators import certificates, evaluate, neighbours, scoring
 from . import sql as q
 from . import views
 from .base import query
@@ -27,35 +27,46 @@ _PARTS = {
 
 
 # --------------------------------------------------------------- F1-F5: models
-# A fitted model has no SQL form.  Its confusions must cover both parts, and where it has learned it must be right
-# at least as often as a guess of the larger class.
+# A fitted model has no SQL form.  Its confusions must cover both parts, and it must be what its training rows call for
+# (see operators.certificates): that is ``good``, which SQL expects to be true.
 _TOTALS = """SELECT {model} AS model, part, count(*) FILTER (label = 1) AS n_positive, count(*) FILTER (label = 0) AS n_negative, TRUE AS good
     FROM (SELECT label, 'test' AS part FROM test UNION ALL SELECT label, 'train' FROM train) GROUP BY part"""
 
 
-def _judged(train, test):
-    """Both parts with ``model`` and ``prediction``."""
+def _judged(train, test, good: bool):
+    """Class totals of both parts, which have ``model`` and ``prediction``."""
     rows = train.select("model", "label", "prediction", F.lit("train").alias("part")).unionByName(
         test.select("model", "label", "prediction", F.lit("test").alias("part")))
     cells = evaluate.confusion(rows, ["model", "part"])
     positive, negative = F.col("tp") + F.col("fn"), F.col("tn") + F.col("fp")
-    right = F.col("tp") + F.col("tn") >= F.greatest(positive, negative)
-    return cells.select("model", "part", positive.alias("n_positive"), negative.alias("n_negative"), ((F.col("part") == "test") | right).alias("good"))
+    return cells.select("model", "part", positive.alias("n_positive"), negative.alias("n_negative"), F.lit(good).alias("good"))
+
+
+def _certified(model: str, fitted, train) -> bool:
+    vectors = scoring.distinct_vectors(train)
+    if model == "logistic_regression":
+        return certificates.logistic_gradient(fitted, vectors) <= certificates.GRADIENT
+    if model in ("linear_svm", "rbf_svm"):
+        return certificates.hinge_improvement(fitted, vectors) <= certificates.LOSS
+    if model == "decision_tree":
+        return certificates.tree_fits(fitted, vectors)
+    return certificates.forest_fits(fitted, scoring.bootstrap_counts(vectors, scoring.TREES), scoring.fit("decision_tree", train))
 
 
 def _fitted(name: str, model: str):
     @query(name, q.with_views("labelled_tokens", _TOTALS.format(model=q.quote(model)), **_PARTS))
     def run(spark, folder):
-        """Fits on the training part and judges the confusions of both parts."""
+        """Fits on the training part, checks the model against it and judges the confusions of both parts."""
         train, test = _featured(spark, folder)
         fitted = scoring.fit(model, train)
-        return _judged(*[scoring.predict(fitted, part).withColumn("model", F.lit(model)) for part in (train, test)])
+        return _judged(*[scoring.predict(fitted, part).withColumn("model", F.lit(model)) for part in (train, test)], _certified(model, fitted, train))
 
 
 _fitted("F1_decision_tree", "decision_tree")
 _fitted("F2_random_forest", "random_forest")
 _fitted("F3_logistic_regression", "logistic_regression")
 _fitted("F4_linear_svm", "linear_svm")
+_fitted("F4_rbf_svm", "rbf_svm")
 
 _MOMENTS = "SELECT label, count(*) AS n, " + ", ".join(f"avg({f}) AS m_{f}, var_pop({f}::DOUBLE) AS v_{f}" for f in FEATURE_COLUMNS) + " FROM train GROUP BY 1"
 _FLOOR = "SELECT 1e-9 * greatest(" + ", ".join(f"var_pop({f}::DOUBLE)" for f in FEATURE_COLUMNS) + ") AS eps FROM train"
@@ -90,7 +101,7 @@ _VECTOR = f"SELECT id, label, {_BITS} AS bits, round(entropy_value * 1000000)::B
         ORDER BY bit_count(xor(t.bits, r.bits))::BIGINT * 1000000000000 + (t.micro - r.micro) * (t.micro - r.micro), r.id) <= 5"""))
 def nearest_neighbours(spark, folder):
     train, test = _featured(spark, folder)
-    return scoring.nearest_neighbours(train, test).select("id", "prediction")
+    return neighbours.nearest_neighbours(train, test).select("id", "prediction")
 
 
 # ------------------------------------------------------------------ F7-F8: ensembles
@@ -109,6 +120,7 @@ def fitted_vote(spark, folder):
     try:
         models = {name: scoring.fit(name, train) for name in ("logistic_regression", "linear_svm")}
         gaussian = scoring.fit_gaussian(train)
+        good = all(_certified(name, model, train) for name, model in models.items())
     finally:
         train.unpersist()
 
@@ -118,7 +130,7 @@ def fitted_vote(spark, folder):
         part = gaussian.score(part).withColumnRenamed("prediction", "naive_bayes")
         return scoring.majority_vote(part, [*models, "naive_bayes"]).withColumn("model", F.lit("vote"))
 
-    return _judged(voted(train), voted(test))
+    return _judged(voted(train), voted(test), good)
 
 
 @query("F8_average_probabilities", q.with_views("", """SELECT doc_id, p1 AS candidate_prob_1, p2 AS context_prob_1, round((p1 + p2) / 2, 6) AS ensemble_prob_1,
