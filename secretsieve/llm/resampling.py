@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import byte_texts, landed, map_batches
 
 BUCKETS, LEAST_WORDS, SHARE, SEED = 10_000, 20, 25, 7
-SLICE_BYTES, CACHED_WORDS = 4 << 20, 1 << 20
+SLICE_BYTES, CACHED_WORDS = 1 << 20, 1 << 17
 BLOCK_ROWS, DIGIT_BITS = 4096, 10
 # Lower-cased letters, digits and whatever is not ASCII make words; all other bytes part them.
 WORD_BYTES = bytes(
