@@ -21,10 +21,10 @@ documents of their own; an empty table gives no rows.
 from __future__ import annotations
 
 import os
+from array import array
 from collections import deque
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from struct import pack as bytes_of
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +40,32 @@ ARROW = pa.schema([
 ])
 # Shares of a window that a cut, or one window more, may cost in padding.
 DOCUMENT_CUT, SENTENCE_CUT, WORD_CUT, WINDOW_COST = 0.0, 1 / 256, 1 / 64, 1 / 128
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000  # in each of two generations
 CLOSING = b".,!?;:"
 LATIN_END = "\u0250"
 
 
+class Recent:
+    """A bounded cache in two generations: what is met again moves to the young one; when that is full, the old one goes.
+    So frequent keys stay, whatever comes between."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def missing(self, keys: set[bytes]) -> list[bytes]:
+        """The keys that neither generation has; the others are in the young one afterwards."""
+        if len(self.young) + len(keys) > self.size:
+            self.young, self.old = {}, self.young
+        young, old, out = self.young, self.old, []
+        for key in keys.difference(young):
+            value = old.get(key)
+            if value is None:
+                out.append(key)
+            else:
+                young[key] = value
+        return out
+
+
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
@@ -52,7 +73,7 @@ class Encoder:
     text are those of its blank-separated parts, and those of a part are the ids of the
     part without its closing punctuation and of that punctuation.  Parts met before come
     out of a bounded cache.  A word of Latin letters goes to the tokenizer's model directly; all
-    else goes through the whole tokenizer.
+    else goes through the whole tokenizer, the new parts of a text at once.
     """
 
     def __init__(self, path: str):
@@ -62,45 +83,57 @@ class Encoder:
         self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.known: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
+        self.parts, self.stems = Recent(CACHED_WORDS), Recent(CACHED_WORDS)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.removesuffix("</w>")[-1:] in (".", "!", "?")
         self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def stem(self, part: bytes) -> bytes:
-        ids = self.stems.get(part)
-        if ids is None:
-            text = part.decode("utf-8", "replace")
+    def code(self, stems: list[bytes]) -> None:
+        """Ids of new stems."""
+        known, tokenize, others = self.stems.young, self.model.tokenize, []
+        for stem in stems:
+            if stem.isalpha():  # bytes: plain letters only
+                known[stem] = array("I", [t.id for t in tokenize(stem.decode().lower())]).tobytes()
+                continue
+            text = stem.decode("utf-8", "replace")
             word = text.lower()
             # Latin letters only: one word, which normalising only turns into small letters.
             if word.isalpha() and max(word) < LATIN_END and len(word) == len(text):
-                found = [t.id for t in self.model.tokenize(word if word.isascii() else self.as_bytes(word)[0][0])]
+                known[stem] = array("I", [t.id for t in tokenize(self.as_bytes(word)[0][0])]).tobytes()
             else:
-                found = self.tokenizer.encode(text, add_special_tokens=False).ids
-            ids = self.stems[part] = bytes_of(f"<{len(found)}I", *found)
-        return ids
-
-    def part(self, part: bytes) -> bytes:
-        bare = part.rstrip(CLOSING)
-        # Punctuation is a piece of its own only behind a letter.
-        if len(bare) < len(part) and bare.decode("utf-8", "replace").lower()[-1:].isalpha():
-            return self.stem(bare) + self.stem(part[len(bare) :])
-        return self.stem(part)
+                others.append((stem, text))
+        if others:
+            coded = self.tokenizer.encode_batch([text for _, text in others], add_special_tokens=False)
+            for (stem, _), found in zip(others, coded):
+                known[stem] = array("I", found.ids).tobytes()
+
+    def learn(self, parts: list[bytes]) -> None:
+        """Ids of new parts."""
+        split = []
+        for part in parts:
+            bare = part.rstrip(CLOSING)
+            # Punctuation is a piece of its own only behind a letter.
+            if len(bare) < len(part) and (bare[-1:].isalpha() or bare.decode("utf-8", "replace").lower()[-1:].isalpha()):
+                split.append((part, bare, part[len(bare) :]))
+            else:
+                split.append((part, part, b""))
+        self.code(self.stems.missing({x for _, *both in split for x in both if x}))
+        known, stems = self.parts.young, self.stems.young
+        for part, bare, closing in split:
+            known[part] = stems[bare] + stems[closing] if closing else stems[bare]
 
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
         for text in texts:
             small = text.lower()  # bytes: plain letters only
             # Only the exact spelling of an added token is one.
             parts = (text if any(x in small for x in self.added) else small).split()
-            new = set(parts).difference(self.known)
-            if len(self.known) + len(new) > CACHED_WORDS:
-                self.known, self.stems, new = {}, {}, set(parts)
-            for x in new:
-                self.known[x] = self.part(x)
-            yield b"".join([self.known[x] for x in parts])
+            new = self.parts.missing(set(parts))
+            if new:
+                self.learn(new)
+            known = self.parts.young
+            yield b"".join([known[x] for x in parts])
 
 
 @lru_cache(maxsize=2)
