@@ -23,7 +23,7 @@ from __future__ import annotations
 import os
 from array import array
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -40,30 +40,30 @@ ARROW = pa.schema([
 ])
 # Shares of a window that a cut, or one window more, may cost in padding.
 DOCUMENT_CUT, SENTENCE_CUT, WORD_CUT, WINDOW_COST = 0.0, 1 / 256, 1 / 64, 1 / 128
-CACHED_WORDS = 200_000  # in each of two generations
-CLOSING = b".,!?;:"
+CACHED_WORDS, LONGEST_CACHED = 600_000, 64  # in each of two generations
+# Neither letters nor digits, and in no added token; an apostrophe may begin a piece.
+CLOSING = b".,!?;:$%&#*()[]{}+=/@^~-"
 LATIN_END = "\u0250"
 
 
-class Recent:
-    """A bounded cache in two generations: what is met again moves to the young one; when that is full, the old one goes.
-    So frequent keys stay, whatever comes between."""
+class Recent(dict):
+    """Ids of parts, in two generations: what the young one lacks comes from the old one or is coded.  When
+    the young one is full it becomes the old one, so frequent parts stay, whatever comes between."""
 
-    def __init__(self, size: int):
-        self.size, self.young, self.old = size, {}, {}
+    def __init__(self, code: Callable[[bytes, Recent], bytes], old: dict):
+        self.code, self.old = code, old
 
-    def missing(self, keys: set[bytes]) -> list[bytes]:
-        """The keys that neither generation has; the others are in the young one afterwards."""
-        if len(self.young) + len(keys) > self.size:
-            self.young, self.old = {}, self.young
-        young, old, out = self.young, self.old, []
-        for key in keys.difference(young):
-            value = old.get(key)
-            if value is None:
-                out.append(key)
-            else:
-                young[key] = value
-        return out
+    def __missing__(self, part: bytes) -> bytes:
+        ids = self.old.get(part)
+        if ids is None:
+            ids = self.code(part, self)
+        if len(part) <= LONGEST_CACHED:
+            self[part] = ids
+        return ids
+
+    def aged(self) -> Recent:
+        self.old = {}
+        return Recent(self.code, self)
 
 
 class Encoder:
@@ -73,67 +73,50 @@ class Encoder:
     text are those of its blank-separated parts, and those of a part are the ids of the
     part without its closing punctuation and of that punctuation.  Parts met before come
     out of a bounded cache.  A word of Latin letters goes to the tokenizer's model directly; all
-    else goes through the whole tokenizer, the new parts of a text at once.
+    else goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        # How the model spells the bytes of Latin letters.
+        self.spelling = {}
+        for letter in map(chr, range(0x80, ord(LATIN_END))):
+            self.spelling.update(zip(letter.encode(), spell(letter)[0][0]))
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.parts, self.stems = Recent(CACHED_WORDS), Recent(CACHED_WORDS)
+        self.parts = Recent(self.code, {})
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.removesuffix("</w>")[-1:] in (".", "!", "?")
         self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def code(self, stems: list[bytes]) -> None:
-        """Ids of new stems."""
-        known, tokenize, others = self.stems.young, self.model.tokenize, []
-        for stem in stems:
-            if stem.isalpha():  # bytes: plain letters only
-                known[stem] = array("I", [t.id for t in tokenize(stem.decode().lower())]).tobytes()
-                continue
-            text = stem.decode("utf-8", "replace")
-            word = text.lower()
-            # Latin letters only: one word, which normalising only turns into small letters.
-            if word.isalpha() and max(word) < LATIN_END and len(word) == len(text):
-                known[stem] = array("I", [t.id for t in tokenize(self.as_bytes(word)[0][0])]).tobytes()
-            else:
-                others.append((stem, text))
-        if others:
-            coded = self.tokenizer.encode_batch([text for _, text in others], add_special_tokens=False)
-            for (stem, _), found in zip(others, coded):
-                known[stem] = array("I", found.ids).tobytes()
-
-    def learn(self, parts: list[bytes]) -> None:
-        """Ids of new parts."""
-        split = []
-        for part in parts:
-            bare = part.rstrip(CLOSING)
-            # Punctuation is a piece of its own only behind a letter.
-            if len(bare) < len(part) and (bare[-1:].isalpha() or bare.decode("utf-8", "replace").lower()[-1:].isalpha()):
-                split.append((part, bare, part[len(bare) :]))
-            else:
-                split.append((part, part, b""))
-        self.code(self.stems.missing({x for _, *both in split for x in both if x}))
-        known, stems = self.parts.young, self.stems.young
-        for part, bare, closing in split:
-            known[part] = stems[bare] + stems[closing] if closing else stems[bare]
+    def code(self, part: bytes, known: Recent) -> bytes:
+        """Ids of a new part."""
+        if part.isalpha():  # bytes: plain letters only
+            return array("I", [t.id for t in self.model.tokenize(part.decode().lower())]).tobytes()
+        bare = part.rstrip(CLOSING)
+        # Punctuation is a piece of its own only behind a letter.
+        if len(bare) < len(part) and (bare[-1:].isalpha() or bare.decode("utf-8", "replace").lower()[-1:].isalpha()):
+            return known[bare] + known[part[len(bare) :]]
+        text = part.decode("utf-8", "replace")
+        word = text.lower()
+        # Latin letters only: one word, which normalising only turns into small letters.
+        if word.isalpha() and max(word) < LATIN_END and len(word) == len(text):
+            return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.spelling))]).tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
         for text in texts:
+            if len(self.parts) > CACHED_WORDS:
+                self.parts = self.parts.aged()
             small = text.lower()  # bytes: plain letters only
             # Only the exact spelling of an added token is one.
             parts = (text if any(x in small for x in self.added) else small).split()
-            new = self.parts.missing(set(parts))
-            if new:
-                self.learn(new)
-            known = self.parts.young
-            yield b"".join([known[x] for x in parts])
+            yield b"".join(map(self.parts.__getitem__, parts))
 
 
 @lru_cache(maxsize=2)
