@@ -4,8 +4,8 @@
    its distinct normalised lines (A-Z in small letters, white space runs as one blank).
    This narrow table is written; texts are not read again for the verdict.
 2. Per host and line, documents of distinct content are counted (exact copies count once).
-   A line in more than ``max_share`` of the host's distinct documents, and in more than ``min_docs``, is over the
-   limit.  It stays in the host's least document that holds it and is removed from the others.
+   A line in more than ``min_docs`` of them is over the limit, however large the host is; ``max_share`` can lower the
+   limit of small hosts to a share of their distinct documents.  Such a line stays in the host's least document that holds it and is removed from the others.
 3. A document that loses so many words that less than ``min_left_share`` of them, or less than ``min_words``, are left is
    depleted and rejected.
 
@@ -105,21 +105,23 @@ def measured(df: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
     return landed(map_batches(rows, run, ", ".join(f"{n} {t}" for n, t, _ in FIELDS)), "quality")
 
 
-def frequent_lines(docs: DataFrame, min_docs: int, max_share: float) -> DataFrame:
+def frequent_lines(docs: DataFrame, min_docs: int, max_share: float | None) -> DataFrame:
     """(host, line, keeper) for the lines over the limit."""
     contents = docs.groupBy("host", "content").agg(F.min("doc_id").alias("doc_id"), F.first("lines").alias("lines"))
-    limits = contents.groupBy("host").agg(F.count(F.lit(1)).alias("_docs")).select(
-        F.col("host").alias("_h"), F.greatest(F.lit(float(min_docs)), F.col("_docs") * max_share).alias("_limit")
-    )
     counts = contents.select("host", "doc_id", F.explode("lines").alias("line")).groupBy("host", "line").agg(
         F.count(F.lit(1)).alias("_n"), F.min("doc_id").alias("keeper")
-    ).filter(F.col("_n") > min_docs)
+    )
+    if max_share is None:
+        return counts.filter(F.col("_n") > min_docs).select("host", "line", "keeper")
+    limits = contents.groupBy("host").agg(F.count(F.lit(1)).alias("_docs")).select(
+        F.col("host").alias("_h"), F.least(F.lit(float(min_docs)), F.col("_docs") * max_share).alias("_limit")
+    )
     return counts.join(limits, F.col("host").eqNullSafe(F.col("_h"))).filter(F.col("_n") > F.col("_limit")).select("host", "line", "keeper")
 
 
 def judge(
     df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 20,
-    max_share: float = 0.1, min_words: int = 10, min_left_share: float = 0.3, max_repeat_percent: int = 20,
+    max_share: float | None = None, min_words: int = 10, min_left_share: float = 0.3, max_repeat_percent: int = 20,
 ) -> DataFrame:
     """doc_id, content (hash of the text), the statistics, base_failed, removed (hashes of the lines to remove),
     n_left (words left), depleted and kept."""

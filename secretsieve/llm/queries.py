@@ -114,11 +114,8 @@ WITH docs AS (
     FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), doubles AS (
     SELECT doc_id, (count(*) - count(DISTINCT line)) AS n_dup_lines FROM normal GROUP BY doc_id
-), hosts AS (
-    SELECT host, count(DISTINCT text) AS n_docs FROM docs GROUP BY host
 ), frequent AS (
-    SELECT l.host, l.key, min(l.doc_id) AS keeper FROM normal l JOIN hosts h ON l.host IS NOT DISTINCT FROM h.host
-    GROUP BY l.host, l.key, h.n_docs HAVING count(DISTINCT l.text) > greatest(20, 0.1 * h.n_docs)
+    SELECT host, key, min(doc_id) AS keeper FROM normal GROUP BY host, key HAVING count(DISTINCT text) > 20
 ), lost AS (
     SELECT l.doc_id, sum(l.n)::BIGINT AS n FROM normal l JOIN frequent f ON l.key = f.key AND l.host IS NOT DISTINCT FROM f.host
     WHERE l.doc_id <> f.keeper GROUP BY l.doc_id
