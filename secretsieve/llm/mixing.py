@@ -8,7 +8,8 @@ the target goes to documents in the order of a seeded hash, and the document in
 the rest runs out gives its first words only.  So the words taken equal the target,
 rounded, whatever the sizes of the documents.
 
-Work: one row per source reaches the driver (the list that the weights belong to) and goes back to the documents.
+Work: up to ``MAX_BROADCAST_SOURCES`` sources reach the driver, a row each, and go back to the documents as a broadcast; more
+stay a table, whose level comes from running sums over ranges of the sources in the order in which they reach their caps.
 The place where the rest runs out comes from word counts per source and bucket
 of the hash, summed on the map side, so no task sorts a whole source;
 only the rows of the bucket in question are shuffled and ordered, one of ``BUCKETS`` parts of the source.
@@ -47,20 +48,19 @@ def first_words(text: Column, n: Column) -> Column:
 
 
 def water_fill(sizes: Sequence[int], weights: Sequence[float], budget: float, epochs: float) -> list[float]:
-    """Shares of the budget: proportional to the weights, none above epochs x size."""
-    target = [0.0] * len(sizes)
-    free, left = list(range(len(sizes))), float(budget)
-    while free and left > 0:
-        unit = left / sum(weights[i] for i in free)
-        full = [i for i in free if weights[i] * unit >= epochs * sizes[i]]
-        if not full:
-            for i in free:
-                target[i] = weights[i] * unit
+    """Shares of the budget: proportional to the weights, none above epochs x size.
+
+    Sources reach their caps in the order of cap by weight; the first one that does not gives the level for all behind it."""
+    order = sorted(range(len(sizes)), key=lambda i: epochs * sizes[i] / weights[i])
+    capped, free, unit = 0, math.fsum(weights), 0.0
+    target = [float(epochs * n) for n in sizes]
+    for k, i in enumerate(order):
+        unit = max(0.0, budget - epochs * capped) / free
+        if weights[i] * unit < epochs * sizes[i]:
+            for j in order[k:]:
+                target[j] = weights[j] * unit
             break
-        for i in full:
-            target[i] = float(epochs * sizes[i])
-            left -= target[i]
-        free = [i for i in free if i not in set(full)]
+        capped, free = capped + sizes[i], free - weights[i]
     return target
 
 
@@ -72,34 +72,82 @@ def drawn(df: DataFrame, text_col: str, id_col: str, seed: int) -> DataFrame:
     return df.withColumn("_bucket", F.pmod("_draw", F.lit(BUCKETS)))
 
 
-def targets(rows: DataFrame, weights: Sequence[float], share: float, epochs: int) -> DataFrame:
+def targets(rows: DataFrame, weights: Sequence[float], share: float, epochs: int, max_sources: int = MAX_BROADCAST_SOURCES) -> DataFrame:
     """One row per source: size, target, whole repetitions, and where the rest of the target runs out.
 
     ``rows`` has source, _size and _bucket.  Documents of buckets below ``_edge`` give one repetition more; those of the edge
     bucket share ``_left`` words.
     """
-    sums = rows.groupBy("source", "_bucket").agg(F.sum("_size").alias("_words"))
-    found = sums.groupBy("source").agg(F.sum("_words").alias("n")).orderBy(F.asc_nulls_last("source")).collect()
-    sizes = [int(r["n"]) for r in found]
-    shares = water_fill(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share * sum(sizes), epochs)
-    wholes = [min(epochs, math.floor(t / n)) if n else 0 for t, n in zip(shares, sizes)]
-    table = df_of(rows, [(r["source"], n, t, w, round(t - w * n)) for r, n, t, w in zip(found, sizes, shares, wholes)],
-                  "_source string, source_size long, target double, whole int, _rest long")
+    sums = landed(rows.groupBy("source", "_bucket").agg(F.sum("_size").alias("_words")), "source-buckets")
+    sizes = sums.groupBy("source").agg(F.sum("_words").alias("n"))
+    found = sizes.limit(max_sources + 1).collect()
+    few = len(found) <= max_sources
+    if few:
+        found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
+        n = [int(r["n"]) for r in found]
+        shares = water_fill(n, [weights[i % len(weights)] for i in range(len(n))], share * sum(n), epochs)
+        table = rows.sparkSession.createDataFrame([(r["source"], k, t) for r, k, t in zip(found, n, shares)], "_source string, source_size long, target double")
+    else:
+        table = level_in_tables(sizes, weights, share, epochs)
+    n, target = F.col("source_size"), F.col("target")
+    whole = F.when(n > 0, F.least(F.lit(epochs), F.floor(target / n))).otherwise(0).cast("int")
+    table = table.withColumn("whole", whole).withColumn("_rest", half_even(target - F.col("whole") * n))
+    table = F.broadcast(table) if few else landed(table, "targets")
     upto = W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
     edges = (
         sums.withColumn("_upto", F.sum("_words").over(upto)).join(table, F.col("source").eqNullSafe(F.col("_source")))
         .filter((F.col("_upto") >= F.col("_rest")) & (F.col("_upto") - F.col("_words") < F.col("_rest")))
-        .select("source", "_bucket", (F.col("_rest") - F.col("_upto") + F.col("_words")).alias("_left")).collect()
+        .select(F.col("source").alias("_s"), F.col("_bucket").alias("_edge"), (F.col("_rest") - F.col("_upto") + F.col("_words")).alias("_left"))
     )
-    at = {r["source"]: (r["_bucket"], r["_left"]) for r in edges}
-    return df_of(rows, [(r["source"], n, t, w, *at.get(r["source"], (-1, 0))) for r, n, t, w in zip(found, sizes, shares, wholes)],
-                 "_source string, source_size long, target double, whole int, _edge long, _left long")
-
-
-def df_of(like: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
-    """A row per source; broadcast unless there are very many."""
-    table = like.sparkSession.createDataFrame(rows, schema)
-    return F.broadcast(table) if len(rows) <= MAX_BROADCAST_SOURCES else table
+    out = landed(
+        table.join(edges, F.col("_source").eqNullSafe(F.col("_s")), "left").select(
+            "_source", "source_size", "target", "whole", F.coalesce("_edge", F.lit(-1)).alias("_edge"), F.coalesce("_left", F.lit(0)).alias("_left")
+        ), "targets",
+    )
+    return F.broadcast(out) if few else out
+
+
+def half_even(x: Column) -> Column:
+    """Rounded to a whole number, a half to the even one."""
+    return F.bround(x).cast("long")
+
+
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Add ``_place`` (from 0) in the order, and the sums over all rows ahead.
+
+    Ranges of the order are summed apart; a number a range and sum reaches the driver."""
+    spread = landed(df.orderBy(*order).withColumns({f"_v{i}": x for i, x in enumerate(sums.values())}).withColumn("_range", F.spark_partition_id()), "ranges")
+    names = [*sums, "_place"]
+    values = [*[F.col(f"_v{i}") for i in range(len(sums))], F.lit(1)]
+    heads = spread.groupBy("_range").agg(*[F.sum(v).alias(n) for n, v in zip(names, values)]).orderBy("_range").collect()
+    ahead, total = [], [0] * len(names)
+    for r in heads:
+        ahead.append((r["_range"], *total))
+        total = [a + b for a, b in zip(total, r[1:])]
+    # As the sums, which may be whole or not.
+    ahead = [(r, *[type(x)(a) for a, x in zip(values, total)]) for r, *values in ahead]
+    starts = df.sparkSession.createDataFrame(ahead, "_range int, " + ", ".join(f"_a{i} {'double' if isinstance(x, float) else 'long'}" for i, x in enumerate(total)))
+    before = W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    rows = spread.join(F.broadcast(starts), "_range")
+    added = {n: F.col(f"_a{i}") + F.coalesce(F.sum(v).over(before), F.lit(0)) for i, (n, v) in enumerate(zip(names, values))}
+    return rows.withColumns(added).select(*df.columns, *names)
+
+
+def level_in_tables(sizes: DataFrame, weights: Sequence[float], share: float, epochs: int) -> DataFrame:
+    """:func:`water_fill` without the driver."""
+    named = running(sizes, [F.asc_nulls_last("source")], {})
+    weight = F.array(*[F.lit(float(w)) for w in weights])[(F.col("_place") % len(weights)).cast("int")]
+    weighed = landed(named.select("source", "n", weight.alias("w")), "weights")
+    total = weighed.agg(F.sum("n").alias("n"), F.sum("w").alias("w")).first()
+    order = [epochs * F.col("n") / F.col("w"), F.asc_nulls_last("source")]
+    filled = running(weighed, order, {"_capped": F.col("n"), "_used": F.col("w")})
+    unit = F.greatest(F.lit(0.0), F.lit(share * total["n"]) - epochs * F.col("_capped")) / (F.lit(total["w"]) - F.col("_used"))
+    level = filled.withColumn("unit", unit).filter(F.col("w") * F.col("unit") < epochs * F.col("n")).agg(
+        F.min("_place").alias("at"), F.min_by("unit", "_place").alias("unit")
+    ).first()
+    cap = (epochs * F.col("n")).cast("double")
+    target = cap if level["at"] is None else F.when(F.col("_place") < level["at"], cap).otherwise(F.col("w") * level["unit"])
+    return filled.select(F.col("source").alias("_source"), F.col("n").alias("source_size"), target.alias("target"))
 
 
 def with_part(rows: DataFrame, table: DataFrame, source_col: str, id_col: str) -> DataFrame:
@@ -117,7 +165,7 @@ def with_part(rows: DataFrame, table: DataFrame, source_col: str, id_col: str) -
 
 def plan(
     df: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, epochs: int = 3,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, max_sources: int = MAX_BROADCAST_SOURCES,
 ) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target (its source's), whole (repetitions),
     part (words of one more, partial or whole) and taken (words in all).
@@ -127,7 +175,7 @@ def plan(
     # Texts are read once; everything below works on narrow rows.
     rows = landed(df.select(df[id_col].alias("doc_id"), df[source_col].alias("source"), n_words(df[text_col]).alias("_size")), "word-counts")
     rows = drawn(rows, "", "doc_id", seed)
-    table = targets(rows, weights, share, epochs)
+    table = targets(rows, weights, share, epochs, max_sources)
     return with_part(rows, table, "source", "doc_id").select(
         "doc_id", "source", F.col("_size").alias("size"), "source_size", "target", "whole", "part",
         (F.col("whole") * F.col("_size") + F.col("part")).cast("long").alias("taken"),
@@ -136,17 +184,16 @@ def plan(
 
 def mix(
     df: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, epochs: int = 3,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, max_sources: int = MAX_BROADCAST_SOURCES,
 ) -> DataFrame:
     """The documents that the mix is made of, with all columns of the input: every document
     as often as :func:`plan` takes it, a partial repetition with its first words only."""
-    rows = drawn(df, text_col, id_col, seed)
-    narrow = landed(rows.select(F.col(source_col).alias("source"), "_size", "_bucket"), "word-counts")
     # Columns of the input may bear the names that are added here.
     own = [f.alias(f"_in{i}") for i, f in enumerate(df[c] for c in df.columns)]
     name = {c: f"_in{i}" for i, c in enumerate(df.columns)}
-    table = targets(narrow, weights, share, epochs)
-    inner = drawn(df.select(*own), name[text_col], name[id_col], seed)
+    # Words are counted once, and the texts written with their counts.
+    inner = landed(drawn(df.select(*own), name[text_col], name[id_col], seed), "counted")
+    table = targets(inner.select(F.col(name[source_col]).alias("source"), "_size", "_bucket"), weights, share, epochs, max_sources)
     rows = with_part(inner, table, name[source_col], name[id_col])
     copies = F.concat(
         F.array_repeat(F.col("_size"), F.col("whole")),

@@ -25,6 +25,26 @@ def test_water_filling(sources, share):
     assert all(w * max(level, default=0) >= t - 1e-6 for t, w, n in zip(targets, weights, sizes) if t >= 3 * n - 1e-6)
 
 
+def test_many_sources_take_linear_time():
+    import time
+
+    rng = random.Random(1)
+    sizes = [rng.randrange(1, 10**6) for _ in range(200_000)]
+    start = time.perf_counter()
+    targets = mixing.water_fill(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))], sum(sizes), 3)
+    assert time.perf_counter() - start < 5 and sum(targets) == pytest.approx(sum(sizes))
+
+
+def test_sources_beyond_the_broadcast_stay_a_table(table):
+    rng = random.Random(5)
+    rows = [(i, " ".join("w" * rng.randint(0, 30)), rng.choice([None, *[f"s{k}" for k in range(40)]])) for i in range(400)]
+    few, many = (mixing.plan(table(rows), max_sources=n) for n in (10_000, 7))
+    pick = lambda df: sorted(((r["doc_id"], r["taken"], r["whole"], round(r["target"], 6)) for r in df.collect()))
+    assert pick(few) == pick(many)
+    count = lambda n: sorted((r["doc_id"], r["text"]) for r in mixing.mix(table(rows), max_sources=n).collect())
+    assert count(10_000) == count(7)
+
+
 def test_plan(table, corpus):
     rows = mixing.plan(table(corpus)).collect()
     size = lambda t: len(WORD.findall(t or ""))
