@@ -37,6 +37,7 @@ LOWER = bytes.maketrans(CAPITALS.encode(), SMALL.encode())
 STRIP = SPACES.encode()
 KEYS_PER_SHARD = 1 << 20
 BROADCAST_BYTES = 48 << 20
+ASKED_BYTES = 64 << 20
 
 
 def keys_of(text: bytes, min_chars: int) -> list[bytes | None]:
@@ -208,7 +209,7 @@ def cleaned(b: pa.RecordBatch, id_at: str, text_at: str, min_chars: int, probe)
 
 def dedup_lines(
     df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5,
-    broadcast_bytes: int = BROADCAST_BYTES,
+    broadcast_bytes: int = BROADCAST_BYTES, asked_bytes: int = ASKED_BYTES,
 ) -> DataFrame:
     """The input with repeated lines taken out of ``text_col``, n_lines (before) and n_dropped.
 
@@ -222,7 +223,7 @@ def dedup_lines(
     index = build_index(df, id_col=id_col, text_col=text_col, min_chars=min_chars, min_docs=min_docs)
     size = total(index, F.octet_length("data"))
     if size > broadcast_bytes:
-        return probe_shards(df, index, schema, id_col, text_col, min_chars)
+        return probe_shards(df, index, schema, id_col, text_col, min_chars, asked_bytes)
     rows = index.collect()
     data = df.sparkSession.sparkContext.broadcast([(r["shard"], bytes(r["data"])) for r in rows])
     n_shards = rows[0]["n_shards"] if rows else 1
@@ -236,12 +237,13 @@ def dedup_lines(
     return map_batches(df, run, schema)
 
 
-def probe_shards(df: DataFrame, index: DataFrame, schema: str, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+def probe_shards(df: DataFrame, index: DataFrame, schema: str, id_col: str, text_col: str, min_chars: int, asked_bytes: int = ASKED_BYTES) -> DataFrame:
     """The way for an index that is too large to send to every task.
 
     Documents are dealt to blocks.  A block sends each of its distinct hashes once to
     the hash's shard, the shard answers with the keepers of its hits, and
-    the block takes its lines out.
+    the block takes its lines out.  All blocks ask every shard, so a shard's index goes to as many
+    tasks as its questions need: some ``asked_bytes`` each.
     """
     n_shards = (index.first() or {"n_shards": 1})["n_shards"]
     n_blocks = max(1, -(-total(df, F.octet_length(text_col)) // (16 << 20)))
@@ -279,8 +281,11 @@ def probe_shards(df: DataFrame, index: DataFrame, schema: str, id_col: str, text
         done = [cleaned(b, id_col, text_col, min_chars, probe) for b in batches]
         return pa.Table.from_batches(done)
 
-    asked = blocked.select(mark, text_col).groupBy(mark).applyInArrow(ask, "shard int, block int, asked binary")
-    hits = asked.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(
+    asked = landed(blocked.select(mark, text_col).groupBy(mark).applyInArrow(ask, "shard int, block int, asked binary"), "asked")
+    n_parts = max(1, -(-total(asked, F.octet_length("asked")) // (n_shards * asked_bytes)))
+    questions = asked.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(n_parts)).cast("int"))
+    indexes = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
+    hits = questions.groupBy("shard", "part").cogroup(indexes.groupBy("shard", "part")).applyInArrow(
         lambda a, d: answer(a, d) if a.num_rows and d.num_rows else pa.table({"block": pa.array([], pa.int32()), "hits": pa.array([], pa.binary())}),
         "block int, hits binary",
     )

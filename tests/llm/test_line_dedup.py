@@ -25,9 +25,9 @@ def brute(rows, min_docs=5):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("limit", [line_dedup.BROADCAST_BYTES, 0])
-def test_both_ways_match_brute_force(table, corpus, limit):
-    done = line_dedup.dedup_lines(table(corpus), broadcast_bytes=limit)
+@pytest.mark.parametrize("limit, asked", [(line_dedup.BROADCAST_BYTES, 1), (0, line_dedup.ASKED_BYTES), (0, 100)])
+def test_both_ways_match_brute_force(table, corpus, limit, asked):
+    done = line_dedup.dedup_lines(table(corpus), broadcast_bytes=limit, asked_bytes=asked)
     assert set(done.columns) == set(table([]).columns) | {"n_dropped"}
     got = sorted([(r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in done.collect()], key=str)
     assert got == brute(corpus)
@@ -40,6 +40,17 @@ def test_empty_table_and_no_repeats(table, limit):
     assert [r["text"] for r in line_dedup.dedup_lines(table([(1, "a\nb")]), broadcast_bytes=limit).collect()] == ["a\nb"]
 
 
+def test_questions_are_spread_by_their_size(spark, monkeypatch):
+    """However many lines ask a shard, a task gets some of them only."""
+    rows = [(i, "\n".join(f"line {k} of many that ask, all of forty characters or more {i % 97}" for k in range(20)), "s", i % 7) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(3)
+    seen, make = [], line_dedup.F.sequence
+    monkeypatch.setattr(line_dedup.F, "sequence", lambda a, b: seen.append(b) or make(a, b))
+    monkeypatch.setattr(line_dedup, "total", lambda frame, value: 400 if "asked" not in frame.columns else 50_000)
+    line_dedup.dedup_lines(df, broadcast_bytes=-1, asked_bytes=1000).count()
+    assert "49" in str(seen[0])
+
+
 def test_only_null_ids_keep_the_line(table):
     line = "a line that is long enough to be counted as one"
     rows = [(None, line)] * 6

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -5,6 +7,7 @@ from secretsieve.llm import packing
 from secretsieve.llm.queries import tokenizer_path
 
 FOLDER = "/root/testdata/sf0.001"
+SMALL = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 @pytest.fixture(scope="module")
@@ -45,6 +48,43 @@ def test_sequences_hold_every_token(stages):
     assert all(len(np.frombuffer(r["ids"], "<u4")) == r["length"] for r in pieces)
 
 
+def edge_rows(spark, corpus):
+    """Null, empty, repeated rows and ids, and columns that bear the operators' names."""
+    schema = (
+        "doc_id long, text string, lang string, source string, n_chars long, n_lines string, n_dropped double, _in0 string, _size int, fp string, kept int"
+    )
+    rows = [(d, t, "en", s, len(t or ""), f"x{i}", 0.5, "y", i, "z", i) for i, (d, t, s) in enumerate((*r, "src0")[:3] for r in corpus)]
+    return spark.createDataFrame(rows, schema).repartition(3), rows
+
+
+def test_stages_on_edge_rows(spark, corpus):
+    """Every stage but the last keeps columns and types, and the values of the columns that it does not own."""
+    import corpus_pipeline
+
+    docs, rows = edge_rows(spark, corpus)
+    texts = {r[5]: r for r in rows}
+    plain = Counter(line.translate(SMALL).strip(" \t\n\x0b\x0c\r") for _, t, *_ in rows for line in set((t or "").split("\n")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, FOLDER)
+        assert out.dtypes == docs.dtypes
+        found = out.collect()
+        for r in found:
+            origin = texts[r["n_lines"]]
+            assert (r["doc_id"], r["n_dropped"], r["_in0"], r["_size"], r["fp"], r["kept"]) == (origin[0], 0.5, "y", origin[8], "z", origin[10])
+            assert r["n_chars"] == (len(r["text"] or "") if name != "near_duplicates" else origin[4])
+        if name == "line_dedup":
+            assert len(found) == len(rows)
+            gone = {r["n_lines"]: set((texts[r["n_lines"]][1] or "").split("\n")) - set((r["text"] or "").split("\n")) for r in found}
+            lost = {x.translate(SMALL).strip(" \t\n\x0b\x0c\r") for lines in gone.values() for x in lines}
+            assert lost and all(len(x) >= 40 and plain[x] >= 5 for x in lost)
+        if name == "quality_rules":
+            assert {r["n_lines"] for r in found} <= set(texts) and all(len((r["text"] or "").split()) >= 10 for r in found)
+        if name == "near_duplicates":
+            assert len({(r["doc_id"], r["text"]) for r in found}) == len(found) < len(rows)
+        assert stage(spark, docs.limit(0), FOLDER).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), FOLDER).count() == 0
+
+
 def test_run_gives_the_last_stage(spark, stages):
     import corpus_pipeline
 
