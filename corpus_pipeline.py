@@ -27,8 +27,10 @@ def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Lines of many documents stay in the last one only."""
-    return measured(line_dedup.dedup_lines(docs), docs.columns)
+    """Lines of many documents stay in the last one only.  Columns that the operator would replace keep their values."""
+    away = {c: f"_in{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    cleaned = line_dedup.dedup_lines(docs.withColumnsRenamed(away)).drop("n_lines", "n_dropped")
+    return measured(cleaned.withColumnsRenamed({new: c for c, new in away.items()}), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
