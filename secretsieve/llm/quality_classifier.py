@@ -2,8 +2,8 @@
 
 1. Evidence of a document: a naive Bayes classifier over its distinct words and
    word shapes, fitted on at most ``max_labelled`` labelled documents (those with the least hashes of their ids).
-   Of near copies in the sample one counts: documents that share one of three least shingle hashes are taken for copies,
-   else the words of a copied text would look like evidence.  Only features with a likelihood-ratio statistic of
+   Of near copies in the sample one counts, else the words of a copied text would look like evidence: a document goes if it shares
+   a least shingle hash, or two, with one of a smaller id and four fifths of their shingles.  Only features with a likelihood-ratio statistic of
    ``min_evidence`` and log odds of ``min_odds`` count, so neither chance words nor the sum of many common words decides.  The evidence is a log likelihood ratio, free of any prior.
 2. Sites: the mean class probability of a host is shrunk toward the global mean, and that of a path of
    the host toward its host.  A prior's strength is estimated by moments: the less sites differ beyond
@@ -62,12 +62,27 @@ def one_per_id(labels: DataFrame, id_col: str) -> DataFrame:
 
 
 def labelled_sample(known: DataFrame, max_labelled: int) -> DataFrame:
-    """At most ``max_labelled`` labelled ids, chosen by hash."""
-    return known.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
+    """At most ``max_labelled`` labelled ids, those with the least hashes.  A threshold that leaves somewhat more keeps the sort short."""
+    n, order = known.count(), F.xxhash64("_id")
+    if n > max_labelled:
+        share = (max_labelled + 10 * max_labelled**0.5 + 100) / n
+        near = known.filter(order < F.lit(int(min(1.0, share) * (1 << 64)) - (1 << 63) - 1))
+        known = near if share < 1 and near.count() >= max_labelled else known
+    return known.orderBy(order, "_id").limit(max_labelled)
 
 
-def without_copies(rows: DataFrame) -> DataFrame:
-    """Of documents (_id, _text) that share a least shingle hash under one of three orders, the one with the least id."""
+def likeness(a: bytes, b: bytes) -> float:
+    """Shared part of the distinct shingles of two texts; of two texts without words 1."""
+    x, y = np.unique(shingle_hashes(a)), np.unique(shingle_hashes(b))
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common / (len(x) + len(y) - common) if len(x) or len(y) else 1.0
+
+
+def without_copies(rows: DataFrame, least_likeness: float = 0.8) -> DataFrame:
+    """Documents (_id, _text) without those that are near copies of one with a smaller id.
+
+    Candidates are the least id of the documents with the same least shingle hash under one of three orders,
+    and under two of them; their texts are compared."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -78,10 +93,19 @@ def without_copies(rows: DataFrame) -> DataFrame:
                     column.append(int(mixed(h + np.uint64(i)).min()) - (1 << 63) if len(h) else 0)
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, pa.int64()) for x in least]], names=["_id", "m0", "m1", "m2"])
 
-    left = landed(map_batches(rows.select("_id", "_text"), run, "_id long, m0 long, m1 long, m2 long"), "sketches")
-    for m in ("m0", "m1", "m2"):
-        left = left.join(left.groupBy(m).agg(F.min("_id").alias("_id")).select("_id"), "_id", "left_semi")
-    return rows.join(F.broadcast(landed(left.select("_id").distinct(), "unlike")), "_id", "left_semi")  # bounded by max_labelled
+    def alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [likeness(x, y) >= least_likeness for x, y in zip(byte_texts(b.column(1)), byte_texts(b.column(2)))]
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(found, pa.bool_()))], names=["_id"])
+
+    sketches = landed(map_batches(rows.select("_id", "_text"), run, "_id long, m0 long, m1 long, m2 long"), "sketches")
+    shared = [("m0",), ("m1",), ("m2",), ("m0", "m1"), ("m0", "m2"), ("m1", "m2")]
+    keys = sketches.select("_id", F.explode(F.array(*[F.xxhash64(F.lit(i), *names) for i, names in enumerate(shared)])).alias("key"))
+    pairs = keys.join(keys.groupBy("key").agg(F.min("_id").alias("_first")), "key").filter("_first < _id").select("_id", "_first").distinct()
+    texts = rows.select("_id", "_text")
+    both = pairs.join(texts, "_id").join(texts.select(F.col("_id").alias("_first"), F.col("_text").alias("_other")), "_first")
+    copies = landed(map_batches(both.select("_id", "_text", "_other"), alike, "_id long").distinct(), "copies")
+    return rows.join(F.broadcast(copies), "_id", "left_anti")  # bounded by max_labelled
 
 
 def surprise(k: Column, n: Column, rate: float) -> Column:

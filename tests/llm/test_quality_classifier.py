@@ -1,6 +1,9 @@
+import math
 import random
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from secretsieve.llm import quality_classifier
@@ -67,6 +70,84 @@ def test_strength_follows_the_spread_of_sites(spark):
     assert strength(far) < 5 < 1000 < strength(near)
 
 
+def plain_strength(groups):
+    """groups: (n, mean, parent)"""
+    spread = sum(n * (m - p) ** 2 for n, m, p in groups)
+    noise = sum(p * (1 - p) for _, _, p in groups)
+    weighted = sum(n * p * (1 - p) for n, _, p in groups)
+    n = sum(g[0] for g in groups)
+    between = max(0.0, spread - noise) / n
+    return min(1e6, max(1.0, weighted / n / between - 1)) if between > 0 else 1e6
+
+
+def plain_classify(rows, labels, target, min_evidence=30.0, min_odds=2.0):
+    """Everything but the features in plain Python, for labelled texts without copies; (llr, host, path, p) by id."""
+    logit = lambda p: math.log(min(1 - 1e-6, max(1e-6, p)) / (1 - min(1 - 1e-6, max(1e-6, p))))
+    chance = lambda x: 1 / (1 + math.exp(-x))
+    marked = {i: x[target] for i, *x in labels}
+    text = {i: t for i, t, *_ in rows}
+    n, ones, seen, hit = len(marked), sum(marked.values()), Counter(), Counter()
+    for i, y in marked.items():
+        for f in set(quality_classifier.features(text[i].encode()).tolist()):
+            seen[f] += 1
+            hit[f] += y
+    weight = {}
+    for f, k in seen.items():
+        rate, part = ones / n, lambda x, due: x * math.log(x / due) if x else 0.0
+        stat = 2 * (part(hit[f], k * rate) + part(k - hit[f], k * (1 - rate)))
+        value = math.log((hit[f] + 0.5) / (ones + 1)) - math.log((k - hit[f] + 0.5) / (n - ones + 1))
+        if k >= 4 and stat >= min_evidence and abs(value) >= min_odds:
+            weight[f] = value
+    llr = {i: max(-20.0, min(20.0, sum(weight.get(f, 0.0) for f in quality_classifier.features(t.encode()).tolist()))) for i, t, *_ in rows}
+    own = {i: float(marked[i]) if i in marked else chance(llr[i] + logit(ones / n)) for i, *_ in rows}
+    path_of, paths, hosts = {i: (h, "en") for i, _, h in rows}, defaultdict(list), defaultdict(list)
+    for i, _, h in rows:
+        paths[h, "en"].append(own[i])
+        hosts[h].append(own[i])
+    mean = sum(own.values()) / len(own)
+    k = plain_strength([(len(x), sum(x) / len(x), mean) for x in hosts.values()])
+    host = {h: (sum(x) + k * mean) / (len(x) + k) for h, x in hosts.items()}
+    k = plain_strength([(len(x), sum(x) / len(x), host[p[0]]) for p, x in paths.items()])
+    out = {}
+    for i, _, h in rows:
+        x = paths[path_of[i]]
+        others = (sum(x) - own[i] + k * host[h]) / (len(x) - 1 + k)
+        out[i] = (llr[i], host[h], (sum(x) + k * host[h]) / (len(x) + k), chance(llr[i] + logit(others)))
+    return out
+
+
+def test_matches_plain_python(spark, table):
+    rows, labels = made(400, seed=7)
+    labels = [x for x in labels if x[0] % 4]
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality_classifier.classify(table(rows), known).collect()}
+    for t, name in enumerate(("quality", "toxic")):
+        want = plain_classify(rows, labels, t)
+        assert any(abs(w[0]) > 1 for w in want.values())
+        for i, values in want.items():
+            assert [got[i][f"{c}_{name}"] for c in ("llr", "host", "path", "p")] == pytest.approx(values, rel=1e-9, abs=1e-9)
+
+
+def test_only_confirmed_copies_go(spark):
+    """A shared least shingle alone costs no document its place in the sample."""
+    rng = random.Random(3)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    base, shared = words(200), words(30)
+    rows = [(1, " ".join(base)), (2, " ".join(base[:190] + words(5) + base[195:])), (3, " ".join(base))]
+    rows += [(10 + i, " ".join(words(25) + shared + words(25))) for i in range(60)]  # unlike, with one passage in common
+    rows += [(100, None), (101, "")]
+    df = spark.createDataFrame(rows, "_id long, _text string")
+    left = {r["_id"] for r in quality_classifier.without_copies(df).collect()}
+    assert left == {1, 100, *range(10, 70)}
+
+
+def test_sample_takes_the_least_hashes(spark):
+    known = spark.range(5000).select(F.col("id").alias("_id"))
+    got = {r["_id"] for r in quality_classifier.labelled_sample(known, 500).collect()}
+    want = {r["_id"] for r in known.orderBy(F.xxhash64("_id"), "_id").limit(500).collect()}
+    assert got == want and quality_classifier.labelled_sample(known, 6000).count() == 5000
+
+
 def test_features():
     assert len(quality_classifier.features(b"")) == 0
     a, b = quality_classifier.features(b"Word one"), quality_classifier.features(b"word ONE")
