@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.features import NOT_SECRET, SECRET
-from .selection import top_k_per_group
+from .selection import keep_first, top_k_per_group
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -182,6 +182,7 @@ def leaderboard(df: DataFrame, model: str = "model") -> DataFrame:
     ).withColumn("place", place)
 
 
-def best_epoch(metrics: DataFrame, metric: str = "f1", epoch: str = "epoch") -> DataFrame:
-    """The epoch with the best value; the first one on a tie."""
-    return metrics.orderBy(F.col(metric).desc(), F.col(epoch)).limit(1)
+def best_epoch(metrics: DataFrame, metric: str = "f1", epoch: str = "epoch", model: str | None = None) -> DataFrame:
+    """The epoch with the best value, of every model if its column is named; the first one on a tie."""
+    order = [F.col(metric).desc(), F.col(epoch)]
+    return metrics.orderBy(*order).limit(1) if model is None else keep_first(metrics, [model], order)

@@ -36,15 +36,15 @@ CATALOG = [
     Rule("cloud_access_key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", "ia"),
     Rule("code_host_token", r"\bgh[pousr]_[A-Za-z0-9]{36,}+", "gh"),
     Rule("code_host_pat", r"\bgithub_pat_[A-Za-z0-9_]{22,}+", "github_pat_"),
-    Rule("pipeline_token", r"\bglpat-[A-Za-z0-9_-]{20}", "glpat-"),
+    Rule("pipeline_token", r"\bglpat-[A-Za-z0-9_-]{20,}+", "glpat-"),
     Rule("chat_token", r"\bxox[abprs]-[A-Za-z0-9-]{10,}+", "xox"),
     Rule("chat_webhook", r"https://hooks\.slack\.com/services/[A-Za-z0-9/]{20,}+", "hooks.slack.com"),
-    Rule("maps_key", r"\bAIza[0-9A-Za-z_-]{35}", "aiza"),
+    Rule("maps_key", r"\bAIza[0-9A-Za-z_-]{35,}+", "aiza"),
     Rule("oauth_access", r"\bya29\.[0-9A-Za-z_-]{20,}+", "ya29."),
     Rule("payment_key", r"\b[rs]k_(?:live|test)_[0-9A-Za-z]{16,}+", "k_"),
     Rule("mail_key", r"\bSG\.[A-Za-z0-9_-]{16,}+\.[A-Za-z0-9_-]{16,}+", "sg."),
     Rule("model_key", r"\bsk-[A-Za-z0-9_-]{20,}+", "sk-"),
-    Rule("package_token", r"\bnpm_[A-Za-z0-9]{36}", "npm_"),
+    Rule("package_token", r"\bnpm_[A-Za-z0-9]{36,}+", "npm_"),
     Rule("signed_token", r"\beyJ[A-Za-z0-9_-]{5,}+\.eyJ[A-Za-z0-9_-]{5,}+\.[A-Za-z0-9_-]*+", ".eyj"),
     Rule("url_with_password", r"(?<![a-z0-9+.-])[a-z0-9+.-]++://[^\s:/@]++:[^\s:/@]++@[^\s/]++", "://"),
     Rule("bearer_header", r"\bBearer [A-Za-z0-9._~+/-]{16,}+={0,2}", "bearer "),

@@ -128,9 +128,12 @@ def leaks_by_month(issues: DataFrame) -> DataFrame:
     return _leaks_per(issues, "month", F.date_format("created_at", "yyyy-MM"))
 
 
+def quarter_label(time: Column) -> Column:
+    return F.concat(F.year(time).cast("string"), F.lit("-Q"), F.quarter(time).cast("string"))
+
+
 def leaks_by_quarter(issues: DataFrame) -> DataFrame:
-    label = F.concat(F.year("created_at").cast("string"), F.lit("-Q"), F.quarter("created_at").cast("string"))
-    return _leaks_per(issues, "quarter", label)
+    return _leaks_per(issues, "quarter", quarter_label(F.col("created_at")))
 
 
 def last_quarters(by_quarter: DataFrame, n: int = 8) -> DataFrame:

@@ -161,13 +161,14 @@ def leaderboard(spark, folder):
     return _rounded(ev.leaderboard(_predictions(spark, folder)), "accuracy", "precision", "recall", "f1")
 
 
-# Epochs: the model "long" judged on a tenth of the issues each.
-@query("H16_best_epoch", q.with_views("model_predictions", """SELECT epoch, round(f1, 6) AS f1 FROM scores ORDER BY round(f1, 9) DESC, epoch LIMIT 1""",
-    cells="""SELECT issue_id % 10 AS epoch, class, count(*) FILTER (label = class AND prediction = class) AS hit,
+# Epochs: each model judged on a tenth of the issues.
+@query("H16_best_epoch", q.with_views("model_predictions", """SELECT model, epoch, round(f1, 6) AS f1 FROM scores
+        QUALIFY row_number() OVER (PARTITION BY model ORDER BY round(f1, 9) DESC, epoch) = 1""",
+    cells="""SELECT model, issue_id % 10 AS epoch, class, count(*) FILTER (label = class AND prediction = class) AS hit,
         count(*) FILTER (prediction = class) AS guessed, count(*) FILTER (label = class) AS support
-        FROM model_predictions, (VALUES (0), (1)) v(class) WHERE model = 'long' GROUP BY ALL HAVING guessed + support > 0""",
-    scores=f"SELECT epoch, avg({_DIV('2 * hit', '(guessed + support)')}) AS f1 FROM cells GROUP BY 1"))
+        FROM model_predictions, (VALUES (0), (1)) v(class) GROUP BY ALL HAVING guessed + support > 0""",
+    scores=f"SELECT model, epoch, avg({_DIV('2 * hit', '(guessed + support)')}) AS f1 FROM cells GROUP BY ALL"))
 def best_epoch(spark, folder):
-    rows = views.model_predictions(spark, folder).filter("model = 'long'").withColumn("epoch", F.col("issue_id") % 10)
-    macro = ev.macro_average(ev.class_metrics(rows, ["epoch"]), ["epoch"]).withColumn("f1", F.round("f1", 9))
-    return _rounded(ev.best_epoch(macro.select("epoch", "f1")), "f1")
+    rows = views.model_predictions(spark, folder).withColumn("epoch", F.col("issue_id") % 10)
+    macro = ev.macro_average(ev.class_metrics(rows, ["model", "epoch"]), ["model", "epoch"]).withColumn("f1", F.round("f1", 9))
+    return _rounded(ev.best_epoch(macro.select("model", "epoch", "f1"), model="model"), "f1")

@@ -182,6 +182,16 @@ def result_sinks(spark, folder):
         F.count(F.lit(1)).alias("n"), F.sum("candidate_length").alias("chars"))
 
 
+@query("A8_repeated_run", q.with_views("model_predictions", """SELECT run_id, model, count(*) AS n, sum(label)::BIGINT AS positives
+    FROM model_predictions, (VALUES ('first'), ('second')) r(run_id) GROUP BY ALL"""))
+def repeated_run(spark, folder):
+    """Two runs, one of them repeated: each leaves one copy."""
+    path, rows = shared_folder(spark, "runs"), views.model_predictions(spark, folder).select("model", "issue_id", "label")
+    for run_id in ("first", "second", "first"):
+        sinks.append_hits(rows, path, run_id)
+    return spark.read.parquet(path).groupBy("run_id", "model").agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("positives"))
+
+
 @query("A9_resume", q.with_views("issues_text", "SELECT issue_id FROM issues_text WHERE issue_id NOT IN (SELECT doc_id FROM labels)"))
 def resume(spark, folder):
     # The rated documents are the output so far.

@@ -8,6 +8,8 @@ from ..functions import prompts
 from ..functions.features import FEATURE_COLUMNS, FLAG_COLUMNS, add_features, label_name
 from ..functions.text import context_window
 from ..operators import certificates, evaluate, neighbours, scoring
+from ..session import shared_folder
+from ..sources import sinks
 from . import sql as q
 from . import views
 from .base import query
@@ -222,3 +224,13 @@ def score_batches(spark, folder):
 def progress(spark, folder):
     answered = views.responses(spark, folder).withColumn("predicted_label", F.nullif(F.col("response"), F.lit("maybe")))
     return scoring.progress(answered)
+
+
+@query("F14_progress_of_write", q.with_views("responses", """SELECT count(*) AS total, count(*) FILTER (response <> 'maybe') AS done,
+    count(*) FILTER (response = 'maybe') AS remaining, count(*) AS written FROM responses"""))
+def progress_of_write(spark, folder):
+    """Counted by the job that writes the answers; a second look only counts what lies there."""
+    path = shared_folder(spark, "answers")
+    answered = views.responses(spark, folder).withColumn("predicted_label", F.nullif(F.col("response"), F.lit("maybe")))
+    seen = sinks.write_with_progress(answered, path)
+    return spark.read.parquet(path).agg(*[F.lit(seen[n]).alias(n) for n in ("total", "done", "remaining")], F.count(F.lit(1)).alias("written"))

@@ -157,23 +157,50 @@ def summary(spark, folder):
     return tr.summary(views.repos(spark, folder), views.issues_meta(spark, folder))
 
 
-_SECTIONS = {
-    "summary": "SELECT 1 AS x", "issue_types": "SELECT DISTINCT issue_type FROM typed",
-    "leak_by_size": "SELECT unnest(range(5))", "leak_by_stars": "SELECT unnest(range(6))",
-    "by_year": _YEAR, "by_month": _MONTH, "by_quarter": _QUARTER,
-    "languages_by_leaks": f"FROM ({_LANGUAGES}) LIMIT 15", "languages_by_repos": f"FROM ({_LANGUAGES}) LIMIT 15",
-    "repo_profile": "SELECT DISTINCT leaks > 0 FROM counted", "durations": "SELECT unnest(range(2))",
+_NUMBERS = {
+    "summary": ("''", "SELECT (SELECT count(*) FROM repos) AS total_repos, (SELECT count(*) FROM issues_meta) AS total_issues"),
+    "issue_types": ("issue_type", "SELECT issue_type, count(*) AS n_issues, 100.0 * count(*) / sum(count(*)) OVER () AS percentage FROM typed GROUP BY 1"),
+    **{
+        f"leak_by_{name}": ("bucket", f"SELECT *, CASE WHEN repo_count = 0 THEN 0 ELSE 100.0 * repos_with_leaks / repo_count END AS leak_percentage FROM ({_buckets(column, bounds)})")
+        for name, column, bounds in (("size", "size_kb", _fv.SIZE_BUCKETS), ("stars", "stars", _fv.STAR_BUCKETS))
+    },
+    "by_year": ("year", _YEAR), "by_month": ("month", _MONTH), "by_quarter": ("quarter", _QUARTER),
+    "languages_by_leaks": ("language", f"FROM ({_LANGUAGES}) ORDER BY leaks DESC, language LIMIT 15"),
+    "languages_by_repos": ("language", f"FROM ({_LANGUAGES}) ORDER BY repos DESC, language LIMIT 15"),
+    "repo_profile": ("has_leaks", """SELECT leaks > 0 AS has_leaks, count(*) AS n_repos, avg(stars) AS avg_stars, avg(size_kb) AS avg_size_kb,
+        avg(forks) AS avg_forks, 100 * avg(is_fork::INT) AS fork_pct, 100 * avg(is_archived::INT) AS archived_pct FROM counted GROUP BY 1"""),
+    "durations": ("kind", " UNION ALL ".join(f"""SELECT '{kind}' AS kind, {_HOURS(1)}, count(*) AS n_spans,
+        100.0 * count(*) / (SELECT count(*) FROM issues_meta) AS pct_of_issues FROM ({_SPANS.format(until=until)})"""
+        for kind, until in (("response", "updated_at"), ("close", "closed_at")))),
 }
+_COLUMNS = {
+    "summary": ["total_repos", "total_issues"], "issue_types": ["n_issues", "percentage"],
+    **dict.fromkeys(("leak_by_size", "leak_by_stars"), ["repo_count", "repos_with_leaks", "total_leaks", "max_leaks", "avg_leaks_per_repo", "leak_percentage"]),
+    **dict.fromkeys(("by_year", "by_month", "by_quarter"), ["n_leaks"]),
+    **dict.fromkeys(("languages_by_leaks", "languages_by_repos"), ["leaks", "repos"]),
+    "repo_profile": ["n_repos", "avg_stars", "avg_size_kb", "avg_forks", "fork_pct", "archived_pct"],
+    "durations": ["avg_hours", "median_hours", "min_hours", "max_hours", "n_spans", "pct_of_issues"],
+}
+
+
+def _unpivoted(name: str) -> str:
+    """Every number of a section, a row each."""
+    key, part = _NUMBERS[name]
+    return " UNION ALL ".join(
+        f"SELECT {q.quote(name)} AS section, ({key})::VARCHAR AS key, {q.quote(c)} AS name, round(({c})::DOUBLE, 6) AS value FROM ({part})" for c in _COLUMNS[name]
+    )
 
 
-@query("I17_full_report", q.with_views("issues_meta counted", " UNION ALL ".join(
-    f"SELECT {q.quote(name)} AS section, count(*) AS n_rows FROM ({part})" for name, part in _SECTIONS.items()), typed=_TYPED))
+@query("I17_full_report", q.with_views("issues_meta counted", " UNION ALL ".join(map(_unpivoted, _NUMBERS)), typed=_TYPED))
 def full_report(spark, folder):
-    """Writes every section and returns how many rows each has."""
+    """Writes every section and returns every number that was written."""
     path = shared_folder(spark, "report")
     names = trend_report.write_report(views.repos(spark, folder), views.issues_meta(spark, folder), path)
-    counts = [spark.read.json(f"{path}/{n}").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("section", F.lit(n)) for n in names]
-    result = counts[0]
-    for part in counts[1:]:
-        result = result.unionByName(part)
-    return result.select("section", "n_rows")
+    result = None
+    for name in names:
+        written, key = spark.read.json(f"{path}/{name}"), _NUMBERS[name][0]
+        numbers = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in _COLUMNS[name]]))
+        rows = written.select((F.lit("") if key == "''" else F.col(key).cast("string")).alias("key"), numbers.alias("n")).select(
+            F.lit(name).alias("section"), "key", "n.name", F.round("n.value", 6).alias("value"))
+        result = rows if result is None else result.unionByName(rows)
+    return result

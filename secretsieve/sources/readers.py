@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -33,13 +34,12 @@ def read_csv_dataset(spark: SparkSession, path: str, schema: T.StructType = LABE
 
 
 def read_dataset(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Read by file extension; anything but CSV, JSON lines and Parquet is an error."""
+    """Read by file extension; anything but CSV, JSON (lines or arrays) and Parquet is an error."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind == "csv":
         return read_csv_dataset(spark, path, schema or LABELLED)
     if kind in ("json", "jsonl"):
-        reader = spark.read.schema(schema) if schema else spark.read
-        return reader.json(path)
+        return read_json(spark, path, schema)
     if kind == "parquet":
         return spark.read.parquet(path)
     raise ValueError(f"unsupported file type: {path}")
@@ -102,12 +102,32 @@ def read_url_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(strip(F.col("value")).alias("url")).filter("url <> ''").distinct()
 
 
+def json_files(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """The files that hold one array each, and the others, by the first character that is not blank.
+
+    A file's first character comes from its least block and line; a row per file reaches the driver, as in any listing."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
+        F.substring(strip(F.col("value")), 1, 1).alias("first"),
+    )
+    kinds = lines.filter("first <> ''").groupBy("file").agg((F.min_by("first", "at") == "[").alias("array")).collect()
+    found = {array: sorted(unquote(r["file"]) for r in kinds if r["array"] == array) for array in (True, False)}
+    return found[True], found[False]
+
+
+def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """JSON lines, or files that hold one array each (which cannot be split); a folder may have both."""
+    reader = lambda: spark.read.schema(schema) if schema else spark.read
+    arrays, lines = json_files(spark, path)
+    if arrays and lines:
+        both = reader().option("multiLine", True).json(arrays), reader().json(lines)
+        return both[0].unionByName(both[1], allowMissingColumns=True)
+    return reader().option("multiLine", bool(arrays)).json(path)
+
+
 def _read_json_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON lines, or files that hold one array each (which cannot be split)."""
     try:
-        first = spark.read.text(path).select(strip(F.col("value")).alias("line")).filter("line <> ''").first()
-        arrays = first is not None and first["line"].startswith("[")
-        return spark.read.schema(schema).option("multiLine", arrays).json(path).select(*schema.names)
+        return read_json(spark, path, schema).select(*schema.names)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise

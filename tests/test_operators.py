@@ -465,3 +465,21 @@ def test_votes_and_mean(spark):
     b = spark.createDataFrame([(1, 0.2), (2, 0.4)], "id int, context_prob_1 double")
     got = {r["id"]: (r["candidate_pred"], r["context_pred"], r["ensemble_pred"]) for r in scoring.average_probabilities(a, b, "id").collect()}
     assert got == {1: (1, 0, 1), 2: (1, 0, 0)}
+
+
+def test_keys_of_some_rules_are_whole(spark):
+    """Longer keys come back whole, and two with the same start stay two."""
+    stems = {"pipeline_token": "glpat-" + "aB3-" * 5, "maps_key": "AIza" + "Zx_9-" * 7, "package_token": "npm_" + "q7W" * 12}
+    for name, stem in stems.items():
+        df = spark.createDataFrame([(1, f"a {stem} b {stem}tail1 c {stem}tail2 d {stem[:-1]}")], "issue_id int, body string")
+        rule = [r for r in extract.CATALOG if r.name == name]
+        found = {r["candidate_string"] for r in extract.all_matches(extract._lowered(df, "body"), rule).collect()}
+        assert found == {stem, stem + "tail1", stem + "tail2"}
+        long = spark.createDataFrame([(1, stem + "x" * 100_000)], "issue_id int, body string")
+        assert len(extract.first_match_scan(long, rule).first()["candidate_string"]) == len(stem) + 100_000
+
+
+def test_best_epoch_per_model(spark):
+    df = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.7), ("a", 3, 0.7), ("b", 1, 0.1), ("b", 2, 0.0)], "model string, epoch int, f1 double")
+    assert sorted(map(tuple, evaluate.best_epoch(df, model="model").collect())) == [("a", 2, 0.7), ("b", 1, 0.1)]
+    assert tuple(evaluate.best_epoch(df).first()) == ("a", 2, 0.7)

@@ -48,3 +48,14 @@ def test_report_sections_share_the_counts(spark):
         total = parts["summary"].first()["total_repos"]
         assert sum(r["repo_count"] for r in parts["leak_by_stars"].collect()) == total
         assert sum(r["n_repos"] for r in parts["repo_profile"].collect()) == total
+
+
+def test_report_reads_the_issues_once(spark):
+    """All sections but those of repositories come from one aggregate over a narrow copy."""
+    issues = views.issues_meta(spark, FOLDER)
+    with trend_report.report_sections(views.repos(spark, FOLDER), issues) as parts:
+        for part in parts.values():
+            plan = part._jdf.queryExecution().optimizedPlan().toString()
+            assert "orders" not in plan and "o_orderdate" not in plan
+        months = parts["by_month"].agg({"n_leaks": "sum"}).first()[0]
+        assert months == parts["by_year"].agg({"n_leaks": "sum"}).first()[0] == parts["summary"].first()["total_issues"]

@@ -59,6 +59,35 @@ def test_array_files(spark, tmp_path):
     assert {r["size_kb"] for r in readers.read_repos(spark, str(tmp_path / "l.json")).collect()} == {1, 2}
 
 
+def test_folders_of_both_kinds(spark, tmp_path):
+    """A file of lines beside a file that is one array: every record, whatever the sizes."""
+    for n_array, n_lines, name in ((30, 3, "a b"), (2, 50, "c")):
+        folder = tmp_path / name
+        folder.mkdir()
+        array = ",\n".join(f'  {{"full_name": "a{i}",\n   "size": {i}}}' for i in range(n_array))
+        (folder / "array.json").write_text(f"\n \n[\n{array}\n]\n")
+        (folder / "lines.json").write_text("".join(f'{{"full_name": "l{i}", "size_kb": {i}}}\n' for i in range(n_lines)))
+        (folder / "empty.json").write_text("")
+        rows = {r["full_name"]: r["size_kb"] for r in readers.read_repos(spark, str(folder)).collect()}
+        assert rows == {f"a{i}": i for i in range(n_array)} | {f"l{i}": i for i in range(n_lines)}
+    (tmp_path / "d.json").write_text('[{"issue_id": "1", "text": "t", "candidate_string": "c", "label": 1}]')
+    assert tuple(readers.read_dataset(spark, str(tmp_path / "d.json"), LABELLED).first()) == ("1", "t", "c", 1)
+    assert readers.read_dataset(spark, str(tmp_path / "c" / "lines.json")).columns == ["full_name", "size_kb"]
+
+
+def test_a_repeated_run_leaves_one_copy(spark, tmp_path):
+    path, hits = str(tmp_path / "hits"), spark.createDataFrame([("u1",), ("u2",)], "url string")
+    for run in ("a", "b", "a", "a"):
+        sinks.append_hits(hits, path, run)
+    assert sorted(map(tuple, spark.read.parquet(path).groupBy("run_id").count().collect())) == [("a", 2), ("b", 2)]
+
+
+def test_progress_comes_from_the_write(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "Secret"), (2, None), (3, "Non-sensitive")], "id int, predicted_label string").repartition(3)
+    assert sinks.write_with_progress(rows, str(tmp_path / "out")) == {"total": 3, "done": 2, "remaining": 1}
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
 def test_url_list(spark, tmp_path):
     (tmp_path / "urls.txt").write_text(" a \n\nb\na\n   \n")
     assert sorted(r["url"] for r in readers.read_url_list(spark, str(tmp_path / "urls.txt")).collect()) == ["a", "b"]
