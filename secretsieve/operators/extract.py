@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.columns import once
+from ..functions.columns import bind, once
 from ..functions.text import context_window
 
 
@@ -70,25 +70,22 @@ def _lowered(df: DataFrame, body: str) -> DataFrame:
     return df.withColumn("_low", F.lower(F.col(body)))
 
 
+def _hit(rank: int, rule: Rule, flags: str, body: Column, low: Column, accept=None) -> Column:
+    """(rank, type, text) of the rule's first match if that is accepted, else NULL.
+
+    The pattern of a rule with a needle or sign runs once, as no match of it is empty."""
+    pattern = flags + rule.pattern
+    hit = F.struct(F.lit(rank).alias("pattern_rank"), F.lit(rule.name).alias("secret_type"), F.regexp_extract(body, pattern, 0).alias("candidate_string"))
+    text = lambda h: h.getField("candidate_string")
+    real = lambda h: F.lit(True) if accept is None else accept(text(h))
+    if rule.needle or rule.sign:
+        return F.when(_present(rule, low), bind(hit, lambda h: F.when((text(h) != "") & real(h), h)))
+    return F.when(_present(rule, low) & body.rlike(pattern), bind(hit, lambda h: F.when(real(h), h)))
+
+
 def _first_match(rules: list[Rule], body: Column, low: Column, accept=None) -> Column:
     """(rank, type, text) of the first rule in order whose first match is accepted."""
-    branches = []
-    for rank, rule in enumerate(rules, 1):
-        pattern = "(?i)" + rule.pattern
-        match = F.regexp_extract(body, pattern, 0)
-        found = _present(rule, low) & body.rlike(pattern)
-        if accept is not None:
-            found = found & accept(match)
-        branches.append(
-            F.when(
-                found,
-                F.struct(
-                    F.lit(rank).alias("pattern_rank"), F.lit(rule.name).alias("secret_type"),
-                    match.alias("candidate_string"),
-                ),
-            )
-        )
-    return F.coalesce(*branches)
+    return F.coalesce(*[_hit(rank, rule, "(?i)", body, low, accept) for rank, rule in enumerate(rules, 1)])
 
 
 def _emit(df: DataFrame) -> DataFrame:
@@ -116,13 +113,13 @@ def mark_hits(issues: DataFrame, rules: list[Rule] | None = None, body: str = "b
 def strict_scan(issues: DataFrame, rules: list[Rule] | None = None, body: str = "body") -> DataFrame:
     """:func:`first_match_scan` without placeholders: bodies that mention one are
     dropped, and a rule whose match is one gives way to the next rule."""
-    # The phrases hold no metacharacters; one pattern names the match once.
-    real = lambda match: ~F.upper(match).rlike("|".join(fv.PLACEHOLDER_CANDIDATE))
-    hit = _first_match(rules or CATALOG, F.col(body), F.col("_low"), accept=real)
-    raised = once(issues, "_up", F.upper(F.col(body)))
-    mentions = [F.coalesce(F.col("_up").contains(p), F.lit(False)) for p in fv.PLACEHOLDER_BODY]
-    kept = raised.filter(~reduce(lambda a, b: a | b, mentions)).drop("_up")
-    return _emit(once(_lowered(kept, body), "_hit", hit))
+    # Only a body with a match is raised.  The phrases hold no metacharacters; one pattern names the match once.
+    text = F.col(body)
+    fake = "|".join(fv.PLACEHOLDER_CANDIDATE)
+    told = lambda: bind(F.upper(text), lambda up: reduce(lambda a, b: a | b, [F.contains(up, F.lit(p)) for p in fv.PLACEHOLDER_BODY]))
+    real = lambda match: ~F.upper(match).rlike(fake) & ~told()
+    hit = _first_match(rules or CATALOG, text, F.col("_low"), accept=real)
+    return _emit(once(_lowered(issues, body), "_hit", hit))
 
 
 def pattern_flags(
@@ -130,19 +127,7 @@ def pattern_flags(
 ) -> DataFrame:
     """Every rule that matches an issue, with its first match; with ``per_issue``
     only the first ones in catalog order.  Case is ignored and ``^ $`` match at lines."""
-    text, low = F.col(body), F.col("_low")
-    tests = []
-    for rank, rule in enumerate(rules or CATALOG, 1):
-        pattern = "(?im)" + rule.pattern
-        tests.append(
-            F.when(
-                _present(rule, low) & text.rlike(pattern),
-                F.struct(
-                    F.lit(rank).alias("pattern_rank"), F.lit(rule.name).alias("secret_type"),
-                    F.regexp_extract(text, pattern, 0).alias("candidate_string"),
-                ),
-            )
-        )
+    tests = [_hit(rank, rule, "(?im)", F.col(body), F.col("_low")) for rank, rule in enumerate(rules or CATALOG, 1)]
     hits = F.array_compact(F.array(*tests))
     if per_issue is not None:
         hits = F.slice(hits, 1, per_issue)
