@@ -23,8 +23,10 @@ A passage in a third of all documents is sent once per block and sorted once.  D
 ``length``, a block by ``block_bytes`` (or one document), and a part of a shard by about ``shard_bytes``, as far as hashes deal
 evenly and but for one string's copies, one from each block.
 
-Defined results: a null text is empty; texts shorter than ``length`` stay; rows with the same id are one
-document whose texts follow each other in text order, matches staying within a row; null ids come last; cuts may
+Blocks hash id and text, so rows with the same id, or none, are spread as all others.
+
+Defined results: a null text is empty; texts shorter than ``length`` stay; rows with the same id are documents
+of their own, in the order of a hash of their text; equal rows stand behind each other; null ids come last; cuts may
 part a code point, so the bytes that are left are binary; an empty table gives no rows.
 """
 
@@ -87,14 +89,19 @@ def segments(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     return np.concatenate(hashes), start, np.diff(start, append=held), np.concatenate(several)
 
 
+def rank_of(text: bytes) -> int:
+    """Orders the rows of an id."""
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
 class Texts:
     """The rows of a block in order, with their segments."""
 
     def __init__(self, table: pa.Table, length: int):
-        rows = [(LAST if i is None else i, x or b"", i) for i, x in zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist())]
-        rows.sort(key=lambda r: (r[2] is None, r[0], r[1]))
-        self.ids = [r[2] for r in rows]
-        self.texts = [r[1] for r in rows]
+        rows = [(LAST if i is None else i, rank_of(x or b""), x or b"", i) for i, x in zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist())]
+        rows.sort(key=lambda r: (r[3] is None, *r[:3]))
+        self.ids = [r[3] for r in rows]
+        self.texts = [r[2] for r in rows]
         found = [segments(np.frombuffer(x, dtype=np.uint8), length) for x in self.texts]
         self.hash = np.concatenate([f[0] for f in found])
         self.start = np.concatenate([f[1] for f in found])
@@ -102,11 +109,7 @@ class Texts:
         self.several = np.concatenate([f[3] for f in found])
         self.row = np.repeat(np.arange(len(rows)), [len(f[0]) for f in found])
         self.doc = np.array([r[0] for r in rows], dtype=np.int64)
-        # Texts of the same id lie behind each other.
-        sizes = np.array([len(x) for x in self.texts], dtype=np.int64)
-        ahead = np.cumsum(sizes) - sizes
-        first = np.concatenate(([True], self.doc[1:] != self.doc[:-1]))
-        self.base = ahead - np.maximum.accumulate(np.where(first, ahead, 0))
+        self.rank = np.array([r[1] for r in rows], dtype=np.int64)
 
 
 def shard_of(hashes: np.ndarray, n_shards: int) -> np.ndarray:
@@ -203,7 +206,7 @@ class Passages:
         self.home = shard_of(least[first], n_shards) + n_shards * (dealt % parts[first].astype(np.uint64)).astype(np.int64)
 
 
-SENT = "shard long, block int, texts binary, sizes binary, docs binary, starts binary"
+SENT = "shard long, block int, texts binary, sizes binary, docs binary, ranks binary, starts binary"
 
 
 def send(docs: pa.Table, answers: pa.Table, length: int, n_shards: int) -> pa.Table:
@@ -211,16 +214,16 @@ def send(docs: pa.Table, answers: pa.Table, length: int, n_shards: int) -> pa.Ta
     p = Passages(docs, answers, length, n_shards)
     t, first = p.texts, np.array(p.first, dtype=np.int64)
     home, passages, out = p.home, list(p.passage), []
-    doc, start = t.doc[p.row[first]], p.start[first] + t.base[p.row[first]]
+    doc, rank, start = t.doc[p.row[first]], t.rank[p.row[first]], p.start[first]
     order = np.argsort(home, kind="stable")
     cuts = np.flatnonzero(np.diff(home[order], prepend=-1))
     for at in np.split(order, cuts[1:]) if len(order) else []:
         texts = [passages[i] for i in at.tolist()]
         out.append((
             int(home[at[0]]), docs.column("block")[0].as_py(), zstandard.ZstdCompressor(level=1).compress(b"".join(texts)),
-            squeeze(np.array([len(x) for x in texts], dtype="<i8")), squeeze(doc[at].astype("<i8")), squeeze(start[at].astype("<i8")),
+            squeeze(np.array([len(x) for x in texts], dtype="<i8")), *[squeeze(x[at].astype("<i8")) for x in (doc, rank, start)],
         ))
-    types = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    types = (pa.int64(), pa.int32(), *[pa.binary()] * 5)
     return pa.table([pa.array([r[i] for r in out], x) for i, x in enumerate(types)], names=[c.split()[0] for c in SENT.split(", ")])
 
 
@@ -332,8 +335,9 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, length: int) -> np.ndar
     return np.minimum(out, length)
 
 
-def later_starts(passages: list[bytes], doc: np.ndarray, start: np.ndarray, length: int) -> list[np.ndarray]:
-    """For every passage, which of its strings of ``length`` bytes also start earlier.  ``doc``, ``start``: its first place."""
+def later_starts(passages: list[bytes], places: np.ndarray, length: int) -> list[np.ndarray]:
+    """For every passage, which of its strings of ``length`` bytes also start earlier.  ``places``: its first one, a row of
+    document, rank and start."""
     sizes = np.array([len(x) for x in passages], dtype=np.int64)
     text = np.frombuffer(b"\0".join(passages) + b"\0" * (length + 16), dtype=np.uint8)
     begin = np.cumsum(sizes + 1) - sizes - 1
@@ -342,13 +346,13 @@ def later_starts(passages: list[bytes], doc: np.ndarray, start: np.ndarray, leng
     fresh = common_prefixes(text, order, length) < length
     fresh[0] = True
     owner = np.searchsorted(begin, order, side="right") - 1
-    where, whose = start[owner] + order - begin[owner], doc[owner]
     heads = np.flatnonzero(fresh)
     group = np.cumsum(fresh) - 1
-    least_doc = np.minimum.reduceat(whose, heads)
-    mine = whose == least_doc[group]
-    least_start = np.minimum.reduceat(np.where(mine, where, LAST), heads)
-    late = ~(mine & (where == least_start[group]))
+    first = np.ones(len(order), dtype=bool)
+    for value in (places[owner, 0], places[owner, 1], places[owner, 2] + order - begin[owner]):
+        least = np.minimum.reduceat(np.where(first, value, LAST), heads)
+        first &= value == least[group]
+    late = ~first
     marks = np.zeros(len(text), dtype=bool)
     marks[order[late]] = True
     return [marks[b : b + k] for b, k in zip(begin.tolist(), n.tolist())]
@@ -357,24 +361,24 @@ def later_starts(passages: list[bytes], doc: np.ndarray, start: np.ndarray, leng
 def settle(table: pa.Table, length: int) -> pa.Table:
     """A shard: sorts the suffixes of its passages and tells every block which strings of its passages start earlier."""
     rows, number, sent = table.to_pylist(), {}, []
-    docs, starts = [], []
+    firsts: list[tuple[int, int, int]] = []
     for r in rows:
         data, at = zstandard.ZstdDecompressor().decompress(r["texts"]), 0
         own = []
-        for size, doc, start in zip(expand(r["sizes"], "<i8").tolist(), expand(r["docs"], "<i8").tolist(), expand(r["starts"], "<i8").tolist()):
-            i = number.setdefault(data[at : at + size], len(docs))
+        sizes, *places = [expand(r[c], "<i8").tolist() for c in ("sizes", "docs", "ranks", "starts")]
+        for size, place in zip(sizes, zip(*places)):
+            i = number.setdefault(data[at : at + size], len(firsts))
             at += size
-            if i == len(docs):
-                docs.append(doc)
-                starts.append(start)
-            elif (doc, start) < (docs[i], starts[i]):
-                docs[i], starts[i] = doc, start
-            own.append((i, doc, start, size - length + 1))
+            if i == len(firsts):
+                firsts.append(place)
+            elif place < firsts[i]:
+                firsts[i] = place
+            own.append((i, place, size - length + 1))
         sent.append(own)
-    late = later_starts(list(number), np.array(docs, dtype=np.int64), np.array(starts, dtype=np.int64), length)
+    late = later_starts(list(number), np.array(firsts, dtype=np.int64), length)
     out = []
     for r, own in zip(rows, sent):
-        marks = [late[i] if (doc, start) == (docs[i], starts[i]) else np.ones(n, dtype=bool) for i, doc, start, n in own]
+        marks = [late[i] if place == firsts[i] else np.ones(n, dtype=bool) for i, place, n in own]
         out.append((r["block"], 1, r["shard"], zstandard.ZstdCompressor(level=1).compress(np.packbits(np.concatenate(marks)).tobytes()), None))
     return replies(out)
 
@@ -427,11 +431,11 @@ def dedup_substrings(
     size = total(df, F.octet_length(text_col))
     n_blocks, n_shards = max(1, -(-size // block_bytes)), max(1, -(-size // shard_bytes))
     docs = df.select(
-        F.pmod(F.xxhash64(df[id_col].cast("long")), F.lit(n_blocks)).cast("int").alias("block"), df[id_col].cast("long").alias("doc_id"),
+        F.pmod(F.xxhash64(df[id_col].cast("long"), df[text_col]), F.lit(n_blocks)).cast("int").alias("block"), df[id_col].cast("long").alias("doc_id"),
         F.coalesce(df[text_col], F.lit("")).cast("binary").alias("text"),
     )
     # One plan: the three looks at the documents share one exchange of the texts.
-    empty = lambda schema: pa.table([pa.array([], x) for x in (pa.int64(), pa.int32()) + (pa.binary(),) * 4], names=[c.split()[0] for c in schema.split(", ")])
+    empty = lambda schema: pa.table([pa.array([], x) for x in (pa.int64(), pa.int32()) + (pa.binary(),) * 5], names=[c.split()[0] for c in schema.split(", ")])
     asked = docs.groupBy("block").applyInArrow(lambda t: ask(t, length, n_shards), ASKED)
     known = asked.groupBy("shard").applyInArrow(lambda t: repeated(t, length, shard_bytes), REPLY)
     sent = docs.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(

@@ -2,12 +2,13 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 
 from secretsieve.llm import suffix_dedup
 
 
 def brute(rows, length):
-    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, (r[1] or "").encode()))
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, xxhash.xxh3_64_intdigest((r[1] or "").encode())))
     seen, out, ends = set(), [], {}
     for doc, text, *_ in order:
         data = (text or "").encode()
@@ -55,6 +56,21 @@ def test_a_hot_gram_is_split(table, monkeypatch, tmp_path):
     assert sizes and max(sizes) <= 2 * limit
 
 
+def test_rows_without_id_are_spread(table):
+    """Many rows of one id, or none, make as many blocks as others, and match brute force."""
+    rng = random.Random(4)
+    text = lambda: " ".join(f"w{rng.randrange(60)}" for _ in range(60))
+    shared = " ".join(f"shared{k}" for k in range(30))
+    rows = [(rng.choice([None, None, 5, i]), f"{text()} {shared if i % 3 else ''} {text()}") for i in range(120)]
+    rows += [(None, rows[0][1])] * 3 + [(5, rows[1][1])] * 2
+    done = suffix_dedup.dedup_substrings(table(rows), block_bytes=4000, shard_bytes=4000)
+    got = sorted([(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in done.collect()], key=str)
+    assert got == brute(rows, 100) and sum(r[2] for r in got) > 5000
+    nulls = table([(None, f"text number {i}") for i in range(4000)])
+    blocks = nulls.select(suffix_dedup.F.pmod(suffix_dedup.F.xxhash64("doc_id", "text"), suffix_dedup.F.lit(16)).alias("b")).distinct().count()
+    assert blocks == 16
+
+
 def test_empty_table(table):
     assert suffix_dedup.dedup_substrings(table([])).count() == 0
     assert suffix_dedup.dedup_substrings(table([(1, "short"), (2, None)])).count() == 2
