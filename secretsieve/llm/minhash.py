@@ -14,7 +14,6 @@ likeness is 1 to another empty one and 0 to all others; an empty table gives no
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -23,14 +22,16 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import CAPITALS, SMALL, map_batches, mixed, total
+from .common import CAPITALS, SMALL, landed, map_batches, mixed
 
 LOWER = bytes.maketrans(CAPITALS.encode(), SMALL.encode())
 BINS, BITS, SHINGLE = 256, 4, 5
 STEPS = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) & (1 << 64) - 1 | 1 for i in range(64)], dtype=np.uint64)
-BLOCK_BYTES, MAX_BLOCKS, BLOCKS_PER_TASK = 4 << 20, 10_000, 4
+BLOCK_BYTES, BLOCKS_PER_TASK = 4 << 20, 4
+CELLS, HOT, RUN, MAX_BROADCAST_BLOCKS = 1 << 12, 4, 1 << 10, 1 << 18
 
 
 @lru_cache(maxsize=4)
@@ -103,48 +104,97 @@ def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return map_batches(df.select(df[id_col].cast("long").alias("doc_id"), df[text_col]), run, "doc_id long, fingerprint string")
 
 
-def neighbours(df: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
-    """Documents dealt to blocks of falling ids, each block followed by the first document of the next.
+class Cut:
+    """How the descending order of (id, text hash), null ids last, is cut into blocks of some ``block_bytes``.
 
-    Block bounds are quantiles of the ids.  The largest id of every block (one number a
-    block reaches the driver) also goes to the block before it as a guest, so
-    texts are shuffled once and no task needs the whole order.  A task gets several small blocks, which evens out their hashing.  After the last block comes the first.
+    Two levels: ``CELLS`` ranges of ids of equal width, and one of its own for every id in ``hot``; each cut into as many equal
+    ranges as its bytes need, of ids between its own extremes, or of text hashes if it has one id only.
     """
-    lowest = -(1 << 63)
-    docs = df.select(
-        df[id_col].cast("long").alias("doc_id"), F.coalesce(df[id_col].cast("long"), F.lit(lowest)).alias("_order"),
-        F.coalesce(df[text_col], F.lit("")).alias("text"),
-    )
-    n = min(MAX_BLOCKS, max(1, math.ceil(total(docs, F.octet_length("text")) / block_bytes)))
-    quantiles = docs.approxQuantile("_order", [i / n for i in range(1, n)], max(1e-4, 1 / (8 * n))) if n > 1 else []
-    bounds = np.unique(np.array(quantiles, dtype=np.float64))
-
-    def place(order: np.ndarray) -> np.ndarray:
-        return len(bounds) - np.searchsorted(bounds, order.astype(np.float64), side="left")
 
-    @F.pandas_udf("int")
-    def block_of(order: pd.Series) -> pd.Series:
-        return pd.Series(place(order.to_numpy())).astype("int32")
+    def __init__(self, low: int, high: int, hot: list[int]):
+        width = (high - low) // CELLS + 1
+        starts = {low + i * width for i in range(1, CELLS)} | {h + i for h in hot for i in (0, 1)}
+        self.starts = np.array(sorted(x for x in starts if low < x <= high), dtype=np.int64)
+
+    def cell(self, ids: np.ndarray, missing: np.ndarray) -> np.ndarray:
+        n = len(self.starts)
+        return np.where(missing, n + 1, n - np.searchsorted(self.starts, ids, side="right"))
+
+    def fill(self, cells: list[tuple], block_bytes: int) -> int:
+        """``cells``: (cell, bytes, least id, largest id).  The number of blocks."""
+        self.parts, self.top, self.span = (np.zeros(len(self.starts) + 2, dtype=t) for t in (np.int64, np.int64, np.float64))
+        for cell, size, least, largest in cells:
+            self.parts[cell] = max(1, -(-size // block_bytes))
+            if least is not None and least < largest:
+                self.top[cell], self.span[cell] = largest, float(largest - least + 1)
+        self.first = np.cumsum(self.parts) - self.parts
+        return int(self.parts.sum())
+
+    def block(self, ids: np.ndarray, missing: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+        cell = self.cell(ids, missing)
+        by_id = (self.top[cell].view(np.uint64) - ids.view(np.uint64)).astype(np.float64) / np.maximum(self.span[cell], 1.0)
+        by_rank = (ranks.astype(np.float64) + 2.0**63) / 2.0**64
+        share = np.where(self.span[cell] > 0, by_id, by_rank)
+        return self.first[cell] + np.minimum((share * self.parts[cell]).astype(np.int64), self.parts[cell] - 1)
+
+
+def guests(tops: DataFrame) -> DataFrame:
+    """(block, ..., home): the non-empty block ahead of each one, of the first one the last.  Blocks are looked at in runs of ``RUN``; a number
+    a run reaches the driver."""
+    runs = tops.withColumn("_run", F.expr(f"block div {RUN}"))
+    ends = sorted(tuple(r) for r in runs.groupBy("_run").agg(F.max("block")).collect())
+    before = [(run, ends[i - 1][1]) for i, (run, _) in enumerate(ends)]
+    ahead = F.broadcast(tops.sparkSession.createDataFrame(before, "_run long, _ahead long"))
+    home = F.coalesce(F.lag("block").over(W.partitionBy("_run").orderBy("block")), F.col("_ahead"))
+    return runs.join(ahead, "_run").withColumn("home", home).drop("_run", "_ahead")
 
-    tops = docs.select("_order", block_of("_order").alias("_block")).groupBy("_block").agg(F.max("_order").alias("_top")).orderBy("_block").collect()
-    top = np.array([r["_top"] for r in tops], dtype=np.int64)
-    blocks = [r["_block"] for r in tops]
-    guest_of = {int(t): blocks[i - 1] for i, t in enumerate(top)}
 
-    @F.pandas_udf("array<int>")
-    def homes(order: pd.Series) -> pd.Series:
-        own = place(order.to_numpy()).tolist()
-        return pd.Series([[b, guest_of[o]] if o in guest_of else [b] for o, b in zip(order.tolist(), own)])
+def neighbours(df: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
+    """Documents dealt to blocks of falling ids, each block followed by the first document of the next.
 
-    placed = docs.select("doc_id", "_order", "text", F.posexplode(homes("_order")).alias("guest", "block"))
-    return placed.repartition(max(1, len(blocks) // BLOCKS_PER_TASK), "block").sortWithinPartitions("block", "guest", F.desc("_order"), "text"), len(blocks)
+    That document also goes to the block before it as a guest, so
+    texts are shuffled once and no task needs the whole order.  A task gets several small blocks, which evens out their hashing.  After the last block comes the first.
+    The list of first documents is broadcast if it has at most ``MAX_BROADCAST_BLOCKS`` rows, and joined as any table beyond.
+    """
+    text = F.coalesce(df[text_col], F.lit(""))
+    docs = df.select(df[id_col].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("_rank"))
+    missing, known = F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0).cast("long"))
+    ends = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    size = F.sum(F.octet_length("text"))
+    # Ids with several blocks of text: one in HOT * block_bytes of the input at most.
+    hot = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(size.alias("n")).filter(F.col("n") > HOT * block_bytes).collect()
+    cut = Cut(ends[0] or 0, ends[1] or 0, [r["doc_id"] for r in hot])
+
+    @F.pandas_udf("long")
+    def cell_of(ids: pd.Series, missing: pd.Series) -> pd.Series:
+        return pd.Series(cut.cell(ids.to_numpy(np.int64), missing.to_numpy(bool)))
+
+    sizes = docs.select("doc_id", cell_of(known, missing).alias("cell"), F.octet_length("text").alias("n"))
+    cells = sizes.groupBy("cell").agg(F.sum("n"), F.min("doc_id"), F.max("doc_id")).collect()
+    n_blocks = cut.fill([tuple(r) for r in cells], block_bytes)
+
+    @F.pandas_udf("long")
+    def block_of(ids: pd.Series, missing: pd.Series, ranks: pd.Series) -> pd.Series:
+        return pd.Series(cut.block(ids.to_numpy(np.int64), missing.to_numpy(bool), ranks.to_numpy(np.int64)))
+
+    order = F.struct(missing.alias("none"), F.bitwise_not("doc_id").alias("falling"), F.col("_rank").alias("rank"))
+    placed = docs.withColumn("block", block_of(known, missing, F.col("_rank")))
+    tops = landed(placed.groupBy("block").agg(F.min(order).alias("_top")), "block-tops")
+    homes = landed(guests(tops), "block-homes")
+    homes = homes.select(F.col("block").alias("_block"), "_top", "home")
+    small = homes.count() <= MAX_BROADCAST_BLOCKS
+    rows = placed.join(F.broadcast(homes) if small else homes, (F.col("block") == F.col("_block")) & order.eqNullSafe(F.col("_top")), "left")
+    both = F.when(F.col("home").isNull(), F.array("block")).otherwise(F.array("block", "home"))
+    rows = rows.select("doc_id", "_rank", "text", F.posexplode(both).alias("guest", "block"))
+    dealt = rows.repartition(max(1, n_blocks // BLOCKS_PER_TASK), "block")
+    return dealt.sortWithinPartitions("block", "guest", F.desc_nulls_last("doc_id"), "_rank", "text"), n_blocks
 
 
 def compare_with_next(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likenesses.
 
     The edited text has its last third of code points replaced by the first as many of
-    the next document in order of falling ids (rows with the same id in text order, null ids last).
+    the next document in order of falling ids (rows with the same id by a hash of their text, null ids last).
     """
     rows, _ = neighbours(df, id_col, text_col, block_bytes)
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]

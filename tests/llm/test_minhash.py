@@ -1,16 +1,41 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from secretsieve.llm import minhash
 
 
+@pytest.mark.parametrize("limit", [1 << 18, 3])
+def test_blocks_of_hot_and_scattered_ids(table, monkeypatch, limit):
+    """One id, or none, fills as many blocks as its bytes need; ids far apart too; each block meets the first document of the next."""
+    monkeypatch.setattr(minhash, "MAX_BROADCAST_BLOCKS", limit)
+    monkeypatch.setattr(minhash, "RUN", 4)
+    rng = random.Random(2)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))
+    ids = [None] * 60 + [7] * 60 + list(range(100, 160)) + [-(1 << 63), (1 << 63) - 1, 1 << 61]
+    rows = [(i, text()) for i in ids]
+    docs = table(rows)
+    rank = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    dealt, n_blocks = minhash.neighbours(docs, "doc_id", "text", 1000)
+    homes = Counter(r["block"] for r in dealt.filter("guest = 0").collect())
+    assert n_blocks > 40 and max(homes.values()) < 20
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), rank[r[1]]))
+    after = {t: order[(k + 1) % len(order)][1] for k, (_, t) in enumerate(order)}
+    got = Counter((r["doc_id"], r["edited_sha256"]) for r in minhash.compare_with_next(docs, block_bytes=1000).collect())
+    edited = lambda t: t[: len(t) - len(t) // 3] + after[t][: len(t) // 3]
+    assert got == Counter((i, hashlib.sha256(edited(t).encode()).hexdigest()) for i, t in rows)
+
+
 @pytest.mark.parametrize("block", [1 << 24, 4000])
 def test_edited_texts_and_neighbours(table, corpus, block):
-    got = minhash.compare_with_next(table(corpus), block_bytes=block).collect()
-    order = sorted(corpus, key=lambda r: (r[0] is None, -(r[0] or 0), (r[1] or "").encode()))
+    rows = table(corpus)
+    rank = {r["t"]: r["h"] for r in rows.select(F.coalesce("text", F.lit("")).alias("t")).distinct().withColumn("h", F.xxhash64("t")).collect()}
+    got = minhash.compare_with_next(rows, block_bytes=block).collect()
+    order = sorted(corpus, key=lambda r: (r[0] is None, -(r[0] or 0), rank[r[1] or ""]))
     want = []
     for k, (doc, text, *_) in enumerate(order):
         text, after = text or "", order[(k + 1) % len(order)][1] or ""
