@@ -22,12 +22,25 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
-def landed(df: DataFrame, purpose: str) -> DataFrame:
+def landed(df: DataFrame, purpose: str, instead_of: DataFrame | None = None) -> DataFrame:
     """Write a table to the cluster's shared folder and read it back: lineage
-    ends there, and a lost executor costs no recomputation."""
+    ends there, and a lost executor costs no recomputation.  ``instead_of`` is a landed table that
+    nothing reads any more: its files go once the new one is written."""
     path = shared_folder(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.folder = path
+    if instead_of is not None:
+        discard(instead_of)
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a landed table; any other table stays as it is."""
+    folder, spark = table.__dict__.pop("folder", None), table.sparkSession
+    if folder:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def byte_texts(column: pa.Array) -> list[bytes]:

@@ -31,4 +31,4 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u").filter("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        edges = landed(small.unionByName(small_least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        edges = landed(small.unionByName(small_least.select("u", F.col("m").alias("v"))).distinct(), "edges", instead_of=edges)

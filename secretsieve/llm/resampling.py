@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import byte_texts, landed, map_batches
+from .common import byte_texts, discard, landed, map_batches
 
 BUCKETS, LEAST_WORDS, SHARE, SEED = 10_000, 20, 25, 7
 SLICE_BYTES, CACHED_WORDS = 1 << 20, 1 << 17
@@ -249,7 +249,9 @@ def radix_ranked(df: DataFrame, *, block_rows: int = BLOCK_ROWS, digit_bits: int
         ahead = np.cumsum(ahead)
         before = W.partitionBy("digit").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
         offsets = counts.select("block", "digit", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-        rows = landed(rows.groupBy("block").cogroup(offsets.groupBy("block")).applyInArrow(counting_sort(key, turn, ahead, top, block_rows), ROWS), "radix")
+        moved = rows.groupBy("block").cogroup(offsets.groupBy("block")).applyInArrow(counting_sort(key, turn, ahead, top, block_rows), ROWS)
+        rows = landed(moved, "radix", instead_of=rows)
+        discard(counts)
     return rows.select(*PAYLOAD, "pos")
 
 

@@ -90,3 +90,19 @@ def test_run_gives_the_last_stage(spark, stages):
 
     rows = corpus_pipeline.run(spark, FOLDER)
     assert rows.columns == stages[-1].columns and rows.agg({"length": "sum"}).first()[0] == stages[-1].agg({"length": "sum"}).first()[0]
+
+
+def test_superseded_tables_go(spark, tmp_path):
+    import os
+
+    from secretsieve.llm.common import discard, landed
+
+    given = spark.range(5)
+    first = landed(given, "first", instead_of=given)
+    path = first.folder.removeprefix("file:")
+    assert os.path.isdir(path)
+    second = landed(first.selectExpr("id + 1 AS id"), "second", instead_of=first)
+    assert not os.path.exists(path) and sorted(r["id"] for r in second.collect()) == [1, 2, 3, 4, 5]
+    discard(first)
+    discard(given)
+    assert given.count() == 5
