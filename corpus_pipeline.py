@@ -58,8 +58,8 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read back."""
+    """All stages over ``documents``; each result is written to the shared folder and read back, and goes when the next one is there."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = landed(stage(spark, docs, sf_dir), name)
+        docs = landed(stage(spark, docs, sf_dir), name, instead_of=docs)
     return STAGES[-1][1](spark, docs, sf_dir)
