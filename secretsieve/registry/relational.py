@@ -295,10 +295,16 @@ def keyword_filter(spark, folder):
 _STRICT = strict_terms()
 
 
+# The given texts hold none of the strict terms, so derived ones are searched too.
+_SEARCHED = "SELECT 'text/' || issue_id AS issue_id, text FROM texts UNION ALL SELECT 'derived/' || issue_id, text FROM derived_texts"
+
+
 @query("B11_keyword_filter_strict", q.with_views(
-    "texts", f"SELECT DISTINCT issue_id FROM texts, (SELECT unnest({q.listed(_STRICT)}) AS term) WHERE contains(lower(text), term)"))
+    "texts derived_texts", f"SELECT DISTINCT issue_id FROM searched, (SELECT unnest({q.listed(_STRICT)}) AS term) WHERE contains(lower(text), term)", searched=_SEARCHED))
 def keyword_filter_strict(spark, folder):
-    return relational.keyword_filter(views.texts(spark, folder), _STRICT, "text").select("issue_id")
+    given, derived = views.texts(spark, folder), views.derived_texts(spark, folder)
+    rows = [df.select(F.concat(F.lit(f"{name}/"), "issue_id").alias("issue_id"), "text") for name, df in (("text", given), ("derived", derived))]
+    return relational.keyword_filter(rows[0].unionByName(rows[1]), _STRICT, "text").select("issue_id")
 
 
 @query("B11_strict_on_derived", q.with_views(

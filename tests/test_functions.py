@@ -289,3 +289,21 @@ def test_prompts_hold_their_parts(spark):
         assert train == ask + "Secret" + marks[3]
     few = df.select(prompts.few_shot_prompt(F.col("c"), F.col("w"))).collect()
     assert few[0][0].count("label:") == 6 and few[1][0].endswith("issue_report: \nlabel:")
+
+
+def test_all_terms_that_occur(spark):
+    """All terms that occur, also inside and behind others, in long texts as well."""
+    import random
+
+    from secretsieve.functions.terms import broad_terms, strict_terms
+    from secretsieve.operators.relational import add_terms
+
+    rng = random.Random(5)
+    terms = [*broad_terms(), *strict_terms(), "a", "ab", "abc", "bc", "b.c", "(", "=="]
+    pieces = [*terms, "Secret ", "ABC", "x", " ", "\n", "=", "é", "TOKEN"]
+    texts = ["", None, "abc", "=====", "a" * 100_000, *["".join(rng.choice(pieces) for _ in range(rng.randint(1, 40))) for _ in range(150)]]
+    texts.append("".join(rng.choice(pieces) for _ in range(20_000)))
+    for chosen in (terms, terms[:40], ["abc", "x"]):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, body string").repartition(4)
+        got = {r["i"]: set(r["terms"]) for r in add_terms(df, chosen).collect()}
+        assert got == {i: {x for x in chosen if x in (t or "").lower()} for i, t in enumerate(texts)}
