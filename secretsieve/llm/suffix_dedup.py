@@ -265,34 +265,38 @@ def suffix_order(text: np.ndarray, start: np.ndarray, n: np.ndarray, stop: np.nd
     the buckets of first bytes in ascending order: every suffix puts its predecessor, if that is larger, behind those
     already in the bucket of the predecessor's first byte.
     """
-    size = len(text)
-    change = np.flatnonzero(text[1:] != text[:-1])  # last positions of runs of a byte
-    run_end = change[np.minimum(np.searchsorted(change, np.arange(size)), len(change) - 1)]
-    smaller = np.zeros(size, dtype=bool)
-    inside = run_end < size - 1
-    smaller[inside] = text[run_end[inside]] < text[run_end[inside] + 1]
-    smaller[stop] = True
+    size, stop = len(text), stop.astype(np.int32)  # a shard's text is far below 2 GB
+    differs = text[1:] != text[:-1]
+    change = np.flatnonzero(differs).astype(np.int32)  # last positions of runs of a byte
+    ahead = np.zeros(size, dtype=np.int32)
+    np.cumsum(differs, out=ahead[1:], dtype=np.int32)
+    run_end = change[np.minimum(ahead, len(change) - 1)]
+    at_stop = np.zeros(size, dtype=bool)
+    at_stop[stop] = True
     # Equal bytes that run into a passage's end are larger than their successors.
-    passage = np.searchsorted(stop, np.arange(size))
-    passage_stop = stop[np.minimum(passage, len(stop) - 1)]
-    smaller &= (run_end + 1 <= passage_stop) | (np.arange(size) == passage_stop)
-    smaller[(run_end + 1 == passage_stop) & (np.arange(size) != passage_stop)] = False
-    smalls = np.flatnonzero(smaller)
+    np.cumsum(at_stop[:-1], out=ahead[1:], dtype=np.int32)
+    passage_stop = stop[np.minimum(ahead, len(stop) - 1)]
+    del ahead, differs
+    smaller = (run_end < size - 1) & (run_end + 1 < passage_stop)
+    smaller &= text[run_end] < text[np.minimum(run_end + 1, size - 1)]
+    smaller[stop] = True
+    del run_end
+    smalls = np.flatnonzero(smaller).astype(np.int32)
     bound = smalls[np.searchsorted(smalls, start + n)]  # the first directly sorted suffix behind the wanted ones
     covered = np.zeros(size + 1, dtype=np.int8)
     np.add.at(covered, start, 1)
     np.add.at(covered, bound + 1, -1)
     needed = np.cumsum(covered[:-1], dtype=np.int8) > 0
-    direct = np.flatnonzero(needed & smaller)
+    direct = np.flatnonzero(needed & smaller).astype(np.int32)
     induced = needed & ~smaller
+    del needed, smaller
     ordered = sort_directly(text, direct, passage_stop[direct], length)
+    del passage_stop
     heads = np.searchsorted(text[ordered], np.arange(257))
-    at_stop = np.zeros(size, dtype=bool)
-    at_stop[stop] = True
     buckets: list[list[np.ndarray]] = [[] for _ in range(256)]
     out = []
     for c in range(256):
-        scanned, now = [], np.concatenate(buckets[c]) if buckets[c] else np.array([], dtype=np.int64)
+        scanned, now = [], np.concatenate(buckets[c]) if buckets[c] else np.array([], dtype=np.int32)
         own, buckets[c] = ordered[heads[c] : heads[c + 1]], []
         if c == 0:  # ends of passages come ahead of all else, and zeros may be induced from them
             now, own = own[at_stop[own]], own[~at_stop[own]]
