@@ -10,7 +10,7 @@ from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import SparkContext, StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -76,11 +76,20 @@ def fit(name: str, train: DataFrame, vectors_per_partition: int = 20_000) -> Pip
         if name == "rbf_svm":
             names = [f"_rbf{i}" for i in range(RBF_FEATURES)]
             stages = [fourier_features(rows, RBF_FEATURES), assembled(names)]
-        return Pipeline(stages=[*stages, classifier(name, size)]).fit(rows)
+        return without_summary(Pipeline(stages=[*stages, classifier(name, size)]).fit(rows))
     finally:
         rows.unpersist()
 
 
+def without_summary(model: PipelineModel) -> PipelineModel:
+    """The model without the summary of its training, which holds the training rows and the session, and
+    with it all that a session may hold that cannot be sent to tasks (such as observed metrics)."""
+    for stage in model.stages:
+        if getattr(stage, "hasSummary", False):
+            stage._java_obj.setSummary(SparkContext._active_spark_context._jvm.scala.Option.empty())
+    return model
+
+
 # ------------------------------------------------------------ a kernel by random features
 def fourier_features(vectors: DataFrame, n: int, columns: list[str] | None = None, gamma: float | None = None, seed: int = SEED) -> SQLTransformer:
     """A stage that adds ``n`` columns whose inner products approach the kernel exp(-gamma |x - y|^2).

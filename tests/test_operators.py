@@ -483,3 +483,12 @@ def test_best_epoch_per_model(spark):
     df = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.7), ("a", 3, 0.7), ("b", 1, 0.1), ("b", 2, 0.0)], "model string, epoch int, f1 double")
     assert sorted(map(tuple, evaluate.best_epoch(df, model="model").collect())) == [("a", 2, 0.7), ("b", 1, 0.1)]
     assert tuple(evaluate.best_epoch(df).first()) == ("a", 2, 0.7)
+
+
+def test_models_predict_after_observed_metrics(spark, tmp_path, noisy):
+    from secretsieve.sources import sinks
+
+    train, _ = noisy
+    sinks.write_with_progress(train.withColumnRenamed("label", "predicted_label"), str(tmp_path / "seen"))
+    for name in ("logistic_regression", "linear_svm", "decision_tree"):
+        assert scoring.predict(scoring.fit(name, train), train).count() == 500
