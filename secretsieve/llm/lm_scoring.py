@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import byte_texts, landed, map_batches, mixed, total
 
 END = b"\n"  # no word holds white space
-BLOCK_BYTES, SHARD_ITEMS = 12 << 20, 2_000_000
+BLOCK_BYTES, SHARD_ITEMS = 8 << 20, 2_000_000
 BUCKETS, STEP, NONE = 64, 8, -(1 << 20)
 STREAMS = "block long, fold boolean, n_tokens long, n_items long, docs binary, hashes binary, tokens binary"
 STREAM_TYPES = [("block", pa.int64()), ("fold", pa.bool_()), ("n_tokens", pa.int64()), ("n_items", pa.int64()), ("docs", pa.binary()), ("hashes", pa.binary()), ("tokens", pa.binary())]
