@@ -121,14 +121,19 @@ class Cut:
         return np.where(missing, n + 1, n - np.searchsorted(self.starts, ids, side="right"))
 
     def fill(self, cells: list[tuple], block_bytes: int) -> int:
-        """``cells``: (cell, bytes, least id, largest id).  The number of blocks."""
-        self.parts, self.top, self.span = (np.zeros(len(self.starts) + 2, dtype=t) for t in (np.int64, np.int64, np.float64))
-        for cell, size, least, largest in cells:
+        """``cells``: (cell, bytes, least id, largest id).  Neighbours share a block as far as they fit.  The number of blocks."""
+        self.parts, self.first, self.top, self.span = (np.zeros(len(self.starts) + 2, dtype=t) for t in (np.int64, np.int64, np.int64, np.float64))
+        block = held = 0
+        for cell, size, least, largest in sorted(cells):
             self.parts[cell] = max(1, -(-size // block_bytes))
-            if least is not None and least < largest:
-                self.top[cell], self.span[cell] = largest, float(largest - least + 1)
-        self.first = np.cumsum(self.parts) - self.parts
-        return int(self.parts.sum())
+            if held and held + size > block_bytes:
+                block, held = block + 1, 0
+            self.first[cell], held = block, held + size
+            if self.parts[cell] > 1:
+                block, held = block + int(self.parts[cell]), 0
+                if least is not None and least < largest:
+                    self.top[cell], self.span[cell] = largest, float(largest - least + 1)
+        return block + (held > 0 or block == 0)
 
     def block(self, ids: np.ndarray, missing: np.ndarray, ranks: np.ndarray) -> np.ndarray:
         cell = self.cell(ids, missing)
