@@ -1,6 +1,9 @@
+import math
+import struct
 import zlib
 from collections import Counter
 
+import xxhash
 from pyspark.sql import functions as F
 
 from secretsieve.llm import sharding
@@ -48,5 +51,29 @@ def test_a_heavier_child_only_gains(spark):
     assert abs(sum(r["new"] == 1 for r in ids) / 5000 - 2 / 3) < 0.03
 
 
+def plain_shard(key, tree):
+    """The descent in plain Python: the least of -ln(u) / weight on each level."""
+
+    def winner(key, children):
+        seed = 42 if key is None else xxhash.xxh64(struct.pack("<q", key) if isinstance(key, int) else key.encode(), seed=42).intdigest()
+        unit = lambda name: ((xxhash.xxh64(name.encode(), seed=seed).intdigest() >> 11) + 0.5) / (1 << 53)
+        return min((-math.log(unit(name)) / weight, number) for name, number, weight in children)[1]
+
+    regions = [(f"region{r}", r, tree.racks * tree.shards) for r in range(tree.regions)]
+    region = winner(key, regions + [(f"extra{x}", tree.regions + x, 1) for x in range(tree.extra)])
+    whole = tree.racks * tree.shards
+    if region >= tree.regions:
+        return tree.regions * whole + region - tree.regions
+    path = "/".join(str(x) for x in (key, region) if x is not None)
+    rack = winner(path, [(f"rack{k}", k, tree.shards) for k in range(tree.racks)])
+    return region * whole + rack * tree.shards + winner(f"{path}/{rack}", [(f"shard{s}", s, 1) for s in range(tree.shards)])
+
+
+def test_descent_matches_plain_python(table):
+    ids = [None, *range(600), -5, 1 << 62, -(1 << 63)]
+    got = {r["doc_id"]: (r["shard"], r["grown_shard"]) for r in sharding.assign(table([(i, "x") for i in ids])).collect()}
+    assert got == {i: (plain_shard(i, HashTree()), plain_shard(i, HashTree().grown())) for i in ids}
+
+
 def test_empty_table(table):
     assert sharding.assign(table([])).count() == 0
