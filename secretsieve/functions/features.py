@@ -51,7 +51,7 @@ def add_features(df: DataFrame, candidate: str = "candidate_string", context: st
         "starts_with_dollar": trim.startswith("$"),
         "has_password_word": _has(low, "password"),
         "has_spaces": _has(c, " "),
-        "has_html_tags": ctx.rlike("<[^>]+>"),
+        "has_html_tags": ctx.contains("<") & ctx.rlike("<[^>]+>"),
         "starts_with_comment": comment,
         "has_arrow": _has(c, "->", "=>"),
         "has_prog_keywords": _has(low, *fv.PROGRAM_WORDS),
