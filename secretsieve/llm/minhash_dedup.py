@@ -8,8 +8,8 @@ is dropped as soon as the posterior probability that it reaches the threshold is
 survivors, never pairs.  A bucket of more than ``split_above`` nodes is split by every second key of its nodes (a pair at the threshold
 shares two keys or more with 0.99998); one that is still larger is taken as one group unseen.
 
-Verification.  The survivors' components are groups that hold every linked pair.  Full sets are computed once more, for
-their members alone (a Bloom sketch of text hashes picks one text a node), and shipped once to their group.  A group of more than ``group_shingles``
+Verification.  The survivors' components are groups that hold every linked pair.  One text of each member (a Bloom sketch of
+text hashes picks them) is shipped to its group, where the full sets are computed once more.  A group of more than ``group_shingles``
 is cut into cells by size class (linked sets differ by at most one class) and hash, and pairs of
 neighbouring cells meet in tiles; so a group of any size is compared whole, in parts of bounded size.  In a tile a pair already connected is
 skipped, the others pass the checks and then 100 * intersection >= percent * union on full sets.  Links make the components.
@@ -287,33 +287,22 @@ def verified(df: DataFrame, docs: DataFrame, nodes: DataFrame, grouped: DataFram
     wanted = counting_bloom.finder(members, "text_hash", counting_bloom.merged(members, "text_hash", segments, least=1), segments)
     texts = wanted(df.select(df[text_col].alias("text"), F.xxhash64(F.coalesce(df[text_col], F.lit(""))).alias("text_hash")), "text_hash")
 
-    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in batches:
-            out = []
-            for text_hash, text in zip(b.column(0).to_pylist(), byte_texts(b.column(1))):
-                if text_hash not in seen:
-                    seen.add(text_hash)
-                    out.append((text_hash, shingle_set(text, k).tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.binary()))], names=["text_hash", "shingles"])
-
-    full = map_batches(texts.select("text_hash", "text"), sets, "text_hash long, shingles binary").groupBy("text_hash").agg(F.first("shingles").alias("shingles"))
-    rows = tiled(members, percent, group_shingles).join(full, "text_hash")
+    one_each = texts.groupBy("text_hash").agg(F.first("text").alias("text"))
+    rows = tiled(members, percent, group_shingles).join(one_each, "text_hash")
     least = least_matches(percent, miss)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_runs(batches, "tile"):
             u, v = [], []
             node, side, checks = t.column("node").to_numpy(), t.column("side").to_numpy(), checks_of(t.column("checks"))
-            found = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+            found = [shingle_set(x, k) for x in byte_texts(t.column("text"))]
             for lo, n in zip(*(x.tolist() for x in runs(t.column("tile").to_numpy()))):
                 for a, b in tile_links(side[lo : lo + n], checks[lo : lo + n], found[lo : lo + n], percent, least):
                     u.append(node[lo + a])
                     v.append(node[lo + b])
             yield links_batch(np.array(u, dtype=np.int64), np.array(v, dtype=np.int64))
 
-    dealt = rows.repartition("tile").sortWithinPartitions("tile").select("tile", "side", "node", "checks", "shingles")
+    dealt = rows.repartition("tile").sortWithinPartitions("tile").select("tile", "side", "node", "checks", "text")
     return map_batches(dealt, run, "u long, v long")
 
 
