@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,22 +66,22 @@ def nearest_neighbours(train: DataFrame, test: DataFrame, key: str = "id", k: in
     What is kept per signature are its extent and ``2 * k`` points a range, a short list; a table of the
     signatures (at most 2 to the number of flags) is one value of the plan.
     """
-    points = land(
-        top_k_per_group(
-            feature_vector(train).select(F.col(key).cast("string").alias("_key"), F.col("label").cast("int"), "_bits", "_micro"),
-            ["_bits", "_micro"], [F.col("_key")], k,
-        ).select("_bits", "_micro", F.expr(f"_micro div {RANGE}").alias("_range"), "_key", "label"),
-        "points",
-    )
+    points = top_k_per_group(
+        feature_vector(train).select(F.col(key).cast("string").alias("_key"), F.col("label").cast("int"), "_bits", "_micro"),
+        ["_bits", "_micro"], [F.col("_key")], k,
+    ).select("_bits", "_micro", F.expr(f"_micro div {RANGE}").alias("_range"), "_key", "label")
     vectors = feature_vector(test)
+    # Neither needs the other, and features are computed once for each.
+    with ThreadPool(2) as pool:
+        points, asking = pool.starmap(inheritable_thread_target(train.sparkSession)(land), [
+            (points, "points"), (vectors.select(F.col("_bits").alias("_own"), "_micro").distinct(), "probes"),
+        ])
     extent = points.groupBy("_bits").agg(F.count(F.lit(1)).alias("n"), F.min("_micro").alias("lo"), F.max("_micro").alias("hi"))
     table = extent.agg(F.collect_list(F.struct(F.col("_bits").alias("bits"), "n", "lo", "hi")).alias("_all"))
     probes = (
-        vectors.select(F.col("_bits").alias("_own"), "_micro").distinct().withColumn("_all", table.scalar())
-        .select("_own", "_micro", F.explode(F.expr(asked_signatures(k))).alias("_bits"))
+        asking.withColumn("_all", table.scalar()).select("_own", "_micro", F.explode(F.expr(asked_signatures(k))).alias("_bits"))
         .withColumn("_range", F.expr(f"_micro div {RANGE}"))
     )
-    probes = land(probes, "probes")
     asked = probes.select("_bits", "_range").distinct()
     own = F.struct("_key", "label", "_micro").alias("_point")
     # The k points at either end of every range; equal entropies by key.
