@@ -40,7 +40,7 @@ ARROW = pa.schema([
 ])
 # Shares of a window that a cut, or one window more, may cost in padding.
 DOCUMENT_CUT, SENTENCE_CUT, WORD_CUT, WINDOW_COST = 0.0, 1 / 256, 1 / 64, 1 / 128
-CACHED_WORDS, LONGEST_CACHED = 600_000, 64  # in each of two generations
+CACHED_WORDS, LONGEST_CACHED = 400_000, 64  # in each of two generations
 # Neither letters nor digits, and in no added token; an apostrophe may begin a piece.
 CLOSING = b".,!?;:$%&#*()[]{}+=/@^~-"
 LATIN_END = "\u0250"
