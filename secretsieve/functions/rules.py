@@ -20,7 +20,6 @@ _KEY_VALUE = spark_regex(r"\A([a-zA-Z_][a-zA-Z0-9_]*)\s*[=:]\s*(.+)")
 _SPECIAL = r"[!@#$%^&*()_+\-=\[\]{}|;:,.<>?/\\~`]"
 
 _HARMLESS = whole(any_of([spark_regex(p) for _, p in fv.HARMLESS_SHAPES]))
-_DUMMY = any_of([spark_regex(p) for _, p in fv.DUMMY_MARKS])
 
 
 def _first(tests: list[tuple[str, Column]]) -> Column:
@@ -48,15 +47,21 @@ def is_harmless(lowered: Column) -> Column:
 
 
 def harmless_shape(lowered: Column) -> Column:
-    return _first([(n, lowered.rlike(whole(spark_regex(p)))) for n, p in fv.HARMLESS_SHAPES])
+    # Few candidates have one; one search for all shapes tells which.
+    return F.when(is_harmless(lowered), _first([(n, lowered.rlike(whole(spark_regex(p)))) for n, p in fv.HARMLESS_SHAPES]))
+
+
+def _mark_test(lowered: Column, name: str, pattern: str) -> Column:
+    needles, found = fv.DUMMY_NEEDLES.get(name, []), lowered.rlike(spark_regex(pattern))
+    return _any([F.contains(lowered, F.lit(x)) for x in needles]) & found if needles else found
 
 
 def is_dummy(lowered: Column) -> Column:
-    return lowered.rlike(_DUMMY)
+    return _any([_mark_test(lowered, n, p) for n, p in fv.DUMMY_MARKS])
 
 
 def dummy_mark(lowered: Column) -> Column:
-    return _first([(n, lowered.rlike(spark_regex(p))) for n, p in fv.DUMMY_MARKS])
+    return _first([(n, _mark_test(lowered, n, p)) for n, p in fv.DUMMY_MARKS])
 
 
 def _service_test(candidate: Column, pattern: str, shortest: int, literal: str) -> Column:
@@ -107,7 +112,7 @@ def is_key_value(candidate: Column) -> Column:
     name = F.lower(F.regexp_extract(candidate, _KEY_VALUE, 1))
     value = F.regexp_extract(candidate, _KEY_VALUE, 2)
     return (
-        _any([name.contains(w) for w in fv.KEY_WORDS])
+        name.rlike("|".join(fv.KEY_WORDS))
         & (F.length(value) >= 16)
         & (entropy_level(shannon_entropy(value)) > 3.0)
     )
@@ -132,45 +137,80 @@ def heuristic_label(candidate: Column) -> Column:
     )
 
 
-def add_verdict(df: DataFrame, candidate: str = "candidate_string", words: list[str] | None = None) -> DataFrame:
-    """Add ``label``, ``stage`` and ``rule``: who decided, and how."""
-    c, low = F.col("_c"), F.col("_low")
-    outcome = lambda label, stage, rule=None: F.struct(
+VALUES = ("shape", "mark", "service", "score", "entropy", "has_word", "very_random", "format", "is_pair")
+
+
+def add_values(df: DataFrame, candidate: str = "candidate_string", words: list[str] | None = None) -> DataFrame:
+    """Add what every single rule says of the trimmed candidate, each computed once per row (:data:`VALUES`)."""
+    c, low, e = F.col("_c"), F.col("_low"), F.col("entropy")
+    stripped = strip(F.col(candidate))
+    return (
+        df.withColumns({"_c": stripped, "_low": F.lower(stripped)})
+        .withColumns({
+            "shape": harmless_shape(low), "mark": dummy_mark(low), "service": service_format(c), "score": complexity(c),
+            "entropy": shannon_entropy(c), "has_word": has_context_word(low, words), "is_pair": is_key_value(c),
+        })
+        .withColumns({"very_random": is_very_random(c, e), "format": unknown_format(c, e)})
+        .drop("_c", "_low")
+    )
+
+
+def _outcome(label: int, stage: str, rule: Column | None = None) -> Column:
+    return F.struct(
         F.lit(label).alias("label"),
         F.lit(stage).alias("stage"),
         (F.lit(stage) if rule is None else rule).alias("rule"),
     )
+
+
+def _early(shaped: Column, shape: Column, marked: Column, mark: Column) -> Column:
+    return F.when(shaped, _outcome(0, "harmless_shape", shape)).when(marked, _outcome(0, "dummy", mark))
+
+
+def add_verdict(
+    df: DataFrame, candidate: str = "candidate_string", words: list[str] | None = None, valued: bool = False
+) -> DataFrame:
+    """Add ``label``, ``stage`` and ``rule``: who decided, and how.
+
+    ``valued`` rows have the values of :func:`add_values`, which are then taken; other rows get no
+    further than the stage that decides."""
+    c, low = F.col("_c"), F.col("_low")
     stripped = strip(F.coalesce(F.col(candidate), F.lit("")))
-    gated = (
-        df.withColumns({"_c": stripped, "_low": F.lower(stripped)})
-        .withColumn(
-            "_early",
-            F.when(is_harmless(low), outcome(0, "harmless_shape", harmless_shape(low)))
-            .when(is_dummy(low), outcome(0, "dummy", dummy_mark(low))),
+    gated = df.withColumns({"_c": stripped, "_low": F.lower(stripped)})
+    if valued:
+        v = {name: F.col(name) for name in VALUES}
+        tests = (v["has_word"], (F.length(c) >= 16) & (v["score"] >= 3), v["very_random"], v["format"], v["is_pair"])
+        gated = gated.withColumns({
+            "_early": _early(v["shape"].isNotNull(), v["shape"], v["mark"].isNotNull(), v["mark"]), "_service": v["service"], "_entropy": v["entropy"]})
+    else:
+        e = F.col("_entropy")
+        tests = (has_context_word(low, words), is_complex(c), is_very_random(c, e), unknown_format(c, e), is_key_value(c))
+        gated = (
+            gated.withColumn("_early", _early(is_harmless(low), harmless_shape(low), is_dummy(low), dummy_mark(low)))
+            .withColumn("_service", F.when(F.col("_early").isNull(), service_format(c)))
+            # Entropy is the dearest value: only rows still open and long enough need it.
+            .withColumn(
+                "_entropy",
+                F.when(
+                    F.col("_early").isNull() & F.col("_service").isNull() & (F.length(c) >= fv.MIN_LENGTH),
+                    shannon_entropy(c),
+                ),
+            )
         )
-        .withColumn("_service", F.when(F.col("_early").isNull(), service_format(c)))
-        # Entropy is the dearest value: only rows still open and long enough need it.
-        .withColumn(
-            "_entropy",
-            F.when(
-                F.col("_early").isNull() & F.col("_service").isNull() & (F.length(c) >= fv.MIN_LENGTH),
-                shannon_entropy(c),
-            ),
-        )
-    )
+    has_word, complex_, random, shape, pair = tests
     e = F.col("_entropy")
     late = (
-        F.when(has_context_word(low, words), outcome(1, "context_word"))
-        .when(is_complex(c), outcome(1, "complexity"))
-        .when(is_very_random(c, e), outcome(1, "very_random"))
-        .when(unknown_format(c, e).isNotNull(), outcome(1, "unknown_format", unknown_format(c, e)))
-        .when(is_key_value(c), outcome(1, "key_value"))
-        .otherwise(outcome(1, "fallback"))
+        F.when(has_word, _outcome(1, "context_word"))
+        .when(complex_, _outcome(1, "complexity"))
+        .when(random, _outcome(1, "very_random"))
+        .when(shape.isNotNull(), _outcome(1, "unknown_format", shape))
+        .when(pair, _outcome(1, "key_value"))
+        .otherwise(_outcome(1, "fallback"))
     )
     verdict = (
         F.when(F.col("_early").isNotNull(), F.col("_early"))
-        .when(F.col("_service").isNotNull(), outcome(1, "service", F.col("_service")))
-        .when(e.isNull() | is_too_plain(c, e), outcome(0, "too_plain"))
+        .when(F.col("_service").isNotNull(), _outcome(1, "service", F.col("_service")))
+        .when(e.isNull() | is_too_plain(c, e), _outcome(0, "too_plain"))
         .otherwise(late)
     )
     kept = [F.col(f"`{name}`") for name in df.columns if name not in ("label", "stage", "rule")]

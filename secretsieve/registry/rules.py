@@ -115,13 +115,9 @@ def funnel(spark, folder):
     CASE WHEN {q.level(q.entropy('c'))} > 4.0 THEN {q.UNKNOWN} END AS format, {q.KEY_VALUE}::INT AS is_pair, label, stage, rule FROM shaped_again""",
     **q.verdicts("derived_candidates"), shaped_again=f"SELECT *, {q.TRIMMED} AS c, lower({q.TRIMMED}) AS low FROM verdicts"))
 def rules_on_derived(spark, folder):
-    rows = rules.add_verdict(views.derived_candidates(spark, folder)).withColumn("low", F.lower(C()))
-    entropy = shannon_entropy(C())
-    return rows.select(
-        *KEYS, rules.harmless_shape(F.col("low")).alias("shape"), rules.dummy_mark(F.col("low")).alias("mark"),
-        rules.service_format(C()).alias("service"), rules.has_context_word(F.col("low")).cast("int").alias("has_word"),
-        rules.complexity(C()).alias("score"), rules.is_very_random(C(), entropy).cast("int").alias("very_random"),
-        rules.unknown_format(C(), entropy).alias("format"), rules.is_key_value(C()).cast("int").alias("is_pair"), "label", "stage", "rule")
+    rows = rules.add_verdict(rules.add_values(views.derived_candidates(spark, folder)), valued=True)
+    rows = rows.withColumns({name: F.col(name).cast("int") for name in ("has_word", "very_random", "is_pair")})
+    return rows.select(*KEYS, "shape", "mark", "service", "has_word", "score", "very_random", "format", "is_pair", "label", "stage", "rule")
 
 
 # ------------------------------------------------------------------- features

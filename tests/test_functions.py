@@ -11,6 +11,7 @@ from secretsieve.functions import features, prompts, rules, terms
 from secretsieve.functions import text as t
 from secretsieve.functions.entropy import shannon_entropy
 from secretsieve.functions.regex import spark_regex, strip
+from secretsieve.registry import QUERIES, views
 
 
 def column(spark, values, make):
@@ -160,6 +161,26 @@ def test_dummy_marks(spark):
     assert dict(zip(DUMMY_EXAMPLES, got)) == DUMMY_EXAMPLES
 
 
+def test_dummy_needles_prune_nothing(spark):
+    """Each literal, alone and with more around it, against the bare patterns."""
+    needles = sorted({x for some in fv.DUMMY_NEEDLES.values() for x in some})
+    more = ["your-api_key", "replaceme", "change-me", "edit_me", "test_token", "demo_key", "insert-here", "add_here", "token = key", "key:secret",
+            "pk_test_a test", "sk_test_ test", "development", "comingsoon", "not-implemented", "copypaste", "ctrl_v", "xxxxxx", "aaaa", "true", "z"]
+    values = [f"{a}{x}{b}" for x in needles + more + list(DUMMY_EXAMPLES) for a, b in (("", ""), ("q", "q"), ("=", ""))]
+    slow = lambda c: F.coalesce(*[F.when(c.rlike(spark_regex(p)), n) for n, p in fv.DUMMY_MARKS])
+    want = column(spark, values, slow)
+    assert column(spark, values, rules.dummy_mark) == want
+    assert column(spark, values, rules.is_dummy) == [w is not None for w in want]
+
+
+@pytest.mark.parametrize("name,needles", fv.DUMMY_NEEDLES.items())
+def test_dummy_needles_are_in_every_alternative(name, needles):
+    pattern = dict(fv.DUMMY_MARKS)[name]
+    for example in [*DUMMY_EXAMPLES, *needles, *re.split(r"[|()]", pattern)]:
+        found = re.search(pattern, re.sub(r"\[_-\]\?|\+|\\(?=[.*])", "", example).lower())
+        assert not found or any(x in found[0] for x in needles)
+
+
 A = "Zq9Xw7Lm"
 SERVICE_EXAMPLES = {
     "AKIA" + "Z9" * 8: "aws_access_key", "ghp_" + "aZ9" * 12: "github_token", "glpat-" + "aZ9_-" * 4: "gitlab_token",
@@ -208,6 +229,31 @@ def test_stages_and_label_agree(spark):
     assert {r["candidate_string"]: r["stage"] for r in rows}[None] == "too_plain"
 
 
+def test_verdict_of_given_values(spark):
+    values = list(SERVICE_EXAMPLES) + list(DUMMY_EXAMPLES) + list(HARMLESS_EXAMPLES) + [
+        "qwrtzpsdfgh-jklvbnm.cQ", "Kj8#mQ2$vLp9!xRt4&wZ", " zqrwvmlk yphjgf sdtn ", None, "  ", "Zq9 Xw7 Lm2 Pv5 Rt8 Ky1 Bn", "colour = Zq9Xw7LmRt5Ky2Pv"]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, candidate_string string")
+    told = lambda rows: [tuple(r) for r in rows.orderBy("i").select("label", "stage", "rule").collect()]
+    assert told(rules.add_verdict(rules.add_values(df), valued=True)) == told(rules.add_verdict(df))
+
+
+def test_rules_on_derived_compute_each_entropy_once(spark, tmp_path):
+    spark.createDataFrame([(1, "Customer#1", 3)], "c_custkey long, c_name string, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    plan = QUERIES["E_rules_on_derived"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 2  # of the candidate, and of the value of a pair
+
+
+def test_derived_candidates_are_spread(spark, tmp_path):
+    """One file of one row group: a task for some thousand rows all the same."""
+    n = 2 * views.ROWS_PER_TASK + 1
+    rows = spark.range(n).select(
+        F.col("id").alias("c_custkey"), F.concat(F.lit("Customer#"), "id").alias("c_name"), (F.col("id") % 25).cast("int").alias("c_nationkey"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    derived = views.derived_candidates(spark, str(tmp_path))
+    assert derived.rdd.getNumPartitions() == 3
+    assert derived.select("issue_id").distinct().count() == n and derived.count() == n * len(views.DERIVED)
+
+
 def test_context_words_can_be_extended(spark):
     low = ["my wombat", "nothing of note", "apikey"]
     assert column(spark, low, rules.has_context_word) == [False, False, True]
