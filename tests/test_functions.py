@@ -243,15 +243,16 @@ def test_rules_on_derived_compute_each_entropy_once(spark, tmp_path):
     assert plan.count("aggregate(") == 2  # of the candidate, and of the value of a pair
 
 
-def test_derived_candidates_are_spread(spark, tmp_path):
+@pytest.mark.parametrize("view,per_row", [("derived_candidates", len(views.DERIVED)), ("derived_texts", 1)])
+def test_derived_rows_are_spread(spark, tmp_path, view, per_row):
     """One file of one row group: a task for some thousand rows all the same."""
     n = 2 * views.ROWS_PER_TASK + 1
     rows = spark.range(n).select(
         F.col("id").alias("c_custkey"), F.concat(F.lit("Customer#"), "id").alias("c_name"), (F.col("id") % 25).cast("int").alias("c_nationkey"))
     rows.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
-    derived = views.derived_candidates(spark, str(tmp_path))
+    derived = getattr(views, view)(spark, str(tmp_path))
     assert derived.rdd.getNumPartitions() == 3
-    assert derived.select("issue_id").distinct().count() == n and derived.count() == n * len(views.DERIVED)
+    assert derived.select("issue_id").distinct().count() == n and derived.count() == n * per_row
 
 
 def test_context_words_can_be_extended(spark):
