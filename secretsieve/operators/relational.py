@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.columns import once, text_array
-from ..functions.terms import any_term
+from ..functions.terms import any_term, by_part
 from .selection import keep_first, top_k_per_group
 
 
@@ -120,13 +120,25 @@ def keyword_filter(issues: DataFrame, terms: list[str], body: str = "body") -> D
     return lowered.filter(_mentions(F.col("_low"), terms)).drop("_low")
 
 
+def _contained(lowered: Column, terms: list[str]) -> Column:
+    """The terms that occur.  Many terms share a part, and most parts are in no text: a term is looked for
+    where a part of it of three letters and one of six are."""
+    has = lambda part: F.contains(lowered, part)
+    row = lambda part, **inner: F.struct(F.lit(part).alias("part"), *[c.alias(n) for n, c in inner.items()])
+    groups = F.array(*[
+        row(short, longer=F.array(*[row(part, terms=text_array(held)) for part, held in by_part(some, 6).items()]))
+        for short, some in by_part(terms, 3).items()
+    ])
+    present = lambda parts, use: F.flatten(F.transform(F.filter(parts, lambda p: has(p["part"])), use))
+    found = present(groups, lambda g: present(g["longer"], lambda p: F.filter(p["terms"], has)))
+    return F.array_intersect(text_array(terms), found)  # in the order of the terms
+
+
 def add_terms(issues: DataFrame, terms: list[str], body: str = "body") -> DataFrame:
     """Add ``terms``: all terms that the body contains, ignoring case."""
-    low = F.col("_low")
-    unique = text_array(list(dict.fromkeys(t.lower() for t in terms)))
-    found = F.when(_mentions(low, terms), F.filter(unique, lambda t: F.contains(low, t)))
+    unique = list(dict.fromkeys(t.lower() for t in terms)) or [""]
     lowered = once(issues, "_low", F.lower(F.col(body)))
-    return once(lowered, "terms", F.coalesce(found, F.array().cast("array<string>"))).drop("_low")
+    return once(lowered, "terms", _contained(F.col("_low"), unique)).drop("_low")
 
 
 def matched_terms(issues: DataFrame, terms: list[str], body: str = "body") -> DataFrame:

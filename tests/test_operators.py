@@ -6,11 +6,13 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from secretsieve.functions import terms
 from secretsieve.functions.features import FEATURE_COLUMNS, FLAG_COLUMNS
 from secretsieve.operators import certificates, dataset, evaluate, extract, neighbours, relational, scoring, trends
 from secretsieve.operators.extract import Rule
 from secretsieve.operators.selection import keep_first, top_k_per_group, value_at_rank
 from secretsieve.plans import dataset_build, inference, issue_scan
+from secretsieve.registry import QUERIES
 
 
 # --------------------------------------------------------------------- selection
@@ -89,6 +91,26 @@ def test_keyword_filter_and_yield(spark):
         ("api_key=", 1, 0), ("api_key", 1, 0), ("token=", 1, 1), ("token", 1, 1)}
 
 
+@pytest.mark.parametrize("listed", [terms.strict_terms(), terms.broad_terms(), ["==", "=", "", "Ab", "abc"], []])
+def test_terms_of_a_body_are_whole(spark, listed):
+    bodies = [*listed, *[t[1:] for t in listed], *[t[:-1].upper() for t in listed], " ".join(reversed(listed)), "".join(listed), "nothing of note", "ß====", ""]
+    df = spark.createDataFrame([*enumerate(bodies), (len(bodies), None)], "issue_id int, body string")
+    got = {r["issue_id"]: r["terms"] for r in relational.add_terms(df, listed).collect()}
+    unique = [t.lower() for t in listed] or [""]
+    assert got == {**{i: [t for t in unique if t in b.lower()] for i, b in enumerate(bodies)}, len(bodies): []}
+
+
+def test_terms_are_looked_for_by_their_parts(spark, tmp_path):
+    """Half the time went into a second run of the filter's pattern and a search of every text for every term."""
+    spark.createDataFrame([(1, "Customer#1", 3)], "c_custkey long, c_name string, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    plan = QUERIES["B11_strict_on_derived"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE(") == 1
+    for listed in (terms.strict_terms(), terms.broad_terms()):
+        groups = terms.by_part(listed, 3)
+        assert len(groups) < len(listed) / 5 and sorted(t for held in groups.values() for t in held) == sorted(listed)
+        assert all(part in t for part, held in groups.items() for t in held)
+
+
 # -------------------------------------------------------------------- extraction
 RULES = [Rule("word", r"secret[0-9]+", "secret"), Rule("caps", r"[A-Z]{4,}_[A-Z0-9]+"), Rule("hex", r"^[0-9a-f]{6}$")]
 
